@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.tables import saved, shared_dir
+
+__all__ = ["saved", "shared_dir"]
+
 #: ASCII white space, [\x20\x09-\x0D].
 SPACES = b" \t\n\x0b\x0c\r"
 IS_SPACE = np.zeros(256, bool)
@@ -37,23 +39,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="siftline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: lineage ends here, and lost executors lose nothing of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siftline/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """did: doc_id, or the largest long for a null one. h: a hash that tells rows with one doc_id apart. Null texts are empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import exact, lines, packing, substrings
+from siftline.llm import brown, exact, leaks, lines, packing, partenum, substrings
 from siftline.llm.common import documents
 
 
@@ -14,6 +14,14 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.substring_dedup(documents(spark, sf_dir))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.lm_scores(documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir))
 
@@ -26,7 +34,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op6_exact_dedup, op7_line_dedup, op8_packing)}
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_components(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op3_decontamination, op4_lm_scoring, op6_exact_dedup, op7_line_dedup, op8_packing, op10_ngram_jaccard_join)}
 
 #: White space at the ends, as in a line's key.
 _STRIP = r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
@@ -53,4 +65,20 @@ j AS (SELECT k.*, c.last IS NOT NULL AND k.doc_id <> c.last AS gone FROM k LEFT
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id""",
+    "op3_decontamination": r"""
+WITH i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+s AS (SELECT DISTINCT item_id, least(5, len(w)) AS k, list_slice(w, p, p + least(5, len(w)) - 1) AS g FROM i, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS u(p) WHERE len(w) > 0),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT DISTINCT doc_id, list_slice(w, p, p + k - 1) AS g FROM d, (SELECT DISTINCT k FROM s) AS ks, unnest(range(1, len(w) - k + 2)) AS u(p)),
+n AS (SELECT item_id, count(*) AS item_shingles FROM s GROUP BY item_id)
+SELECT doc_id, item_id, item_shingles, count(*) AS shared, count(*) / item_shingles AS containment
+FROM s JOIN t USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, item_shingles HAVING 100 * count(*) >= 80 * item_shingles""",
+    "op10_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(list_slice(w, p, p + least(3, len(w)) - 1)) AS g FROM d, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS u(p) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.c) AS component_id FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id, n.n""",
 }
