@@ -1,2 +1,419 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Queries over the driver's tables, and the SQL that must give the same rows.
+
+Documents are files /source/lang/doc_id.txt; line items are files l_orderkey/number whose content is l_partkey; signs of
+an embedding's values are a 64-bit sketch.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from siftline.functions import paths, values
+from siftline.model import Action, Rule, ScanOptions
+from siftline.operators import actions, cache, exact, filters, folders, history, keep, report, similar
+from siftline.sources.tables import as_files, documents_as_files
+
+THRESHOLD, SAMPLE = 4096, 512
+PROTECTED = ("/src3",)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: The documents as files, and their duplicates.
+FILES = """f AS (SELECT doc_id, '/' || source || '/' || lang || '/' || doc_id || '.txt' AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size, doc_id AS ino,
+  CASE WHEN doc_id % 11 <> 0 THEN (doc_id * 7919) % 1000 * 1000000 END AS mtime_ns, sha256(text) AS digest, text FROM documents)"""
+MEMBERS = FILES + """,
+m AS (SELECT f.*, size || '-' || digest AS group_id FROM f WHERE (size, digest) IN (SELECT (size, digest) FROM f GROUP BY size, digest HAVING count(DISTINCT ino) > 1))"""
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.digested(documents_as_files(spark, sf_dir))
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.members(_files(spark, sf_dir))
+
+
+def _joined(column: str) -> Column:
+    return F.array_join(column, "|")
+
+
+@query(f"WITH {MEMBERS} SELECT group_id, size, string_agg(path, '|' ORDER BY string_split(path, '/')) AS paths FROM m GROUP BY group_id, size")
+def exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.groups(_members(spark, sf_dir)).select("group_id", "size", _joined("paths").alias("paths"))
+
+
+@query(f"WITH {MEMBERS} SELECT group_id, path, size FROM m")
+def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _members(spark, sf_dir).select("group_id", "path", "size")
+
+
+@query(f"""WITH {MEMBERS} SELECT (SELECT count(*) FROM f) AS files_scanned, (SELECT CAST(sum(size) AS BIGINT) FROM f) AS bytes_scanned,
+  (SELECT count(DISTINCT group_id) FROM m) AS duplicate_groups, (SELECT count(*) FROM m) AS duplicate_files""")
+def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir)
+    return exact.summary(files, exact.members(files))
+
+
+@query(f"""WITH {FILES}, s AS (SELECT * FROM f WHERE size IN (SELECT size FROM f GROUP BY size HAVING count(*) > 1)),
+b AS (SELECT encode(text) AS c, greatest(size // 2 - {SAMPLE // 2}, 0) AS m, * FROM s WHERE size > {THRESHOLD}),
+h AS (SELECT *, sha256(c[1:{SAMPLE}] || c[m + 1:m + {SAMPLE}] || c[size - {SAMPLE} + 1:size]) AS partial FROM b),
+q AS (SELECT * FROM h WHERE (size, partial) IN (SELECT (size, partial) FROM h GROUP BY size, partial HAVING count(*) > 1)),
+r AS (SELECT size FROM q UNION ALL SELECT size FROM s WHERE size <= {THRESHOLD} AND size > 0),
+d AS (SELECT * FROM f WHERE (size, digest) IN (SELECT (size, digest) FROM f GROUP BY size, digest HAVING count(*) > 1))
+SELECT CAST(0 AS INTEGER) AS step, 'all' AS stage, count(*) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM f
+UNION ALL SELECT 1, 'same_size', count(*), CAST(coalesce(sum(size), 0) AS BIGINT) FROM s UNION ALL SELECT 2, 'sampled', count(*), CAST(coalesce(sum(size), 0) AS BIGINT) FROM b
+UNION ALL SELECT 3, 'same_sample', count(*), CAST(coalesce(sum(size), 0) AS BIGINT) FROM q UNION ALL SELECT 4, 'hashed', count(*), CAST(coalesce(sum(size), 0) AS BIGINT) FROM r
+UNION ALL SELECT 5, 'duplicate', count(*), CAST(coalesce(sum(size), 0) AS BIGINT) FROM d""")
+def funnel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.funnel(documents_as_files(spark, sf_dir), THRESHOLD, SAMPLE)
+
+
+@query(f"WITH {MEMBERS} SELECT group_id, path FROM m")
+def verified_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = documents_as_files(spark, sf_dir)
+    found = exact.members(files.withColumn("digest", F.sha2("content", 256)))
+    return exact.verified(found).select("group_id", "path")
+
+
+@query("""WITH f AS (SELECT url, CAST(octet_length(encode(html)) AS BIGINT) AS size FROM pages UNION ALL
+  SELECT '/' || doc_id || '.' || upper(lang), CAST(octet_length(encode(text)) AS BIGINT) FROM documents)
+SELECT url AS path, size FROM f WHERE size BETWEEN 500 AND 5000 AND lower(regexp_extract(regexp_extract(url, '[^/]*$'), '^.+\\.([^.]*)$', 1)) IN ('en', 'de', 'html')
+  AND lower(regexp_extract(regexp_extract(url, '[^/]*$'), '^.+\\.([^.]*)$', 1)) NOT IN ('de')""".replace("\\\\", "\\"))
+def filter_size_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path"), F.octet_length("html").cast("long").alias("size"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = d.select(F.concat(F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.upper("lang")).alias("path"), F.octet_length("text").cast("long").alias("size"))
+    return filters.filtered(p.unionByName(d), ScanOptions(min_size=500, max_size=5000, include_extensions=("EN", "de", "html"), exclude_extensions=("DE",)))
+
+
+@query(f"WITH {FILES} SELECT path, size FROM f WHERE NOT (path = '/src1' OR starts_with(path, '/src1/')) AND NOT (path = '/src2/en' OR starts_with(path, '/src2/en/'))")
+def exclude_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filtered(documents_as_files(spark, sf_dir), ScanOptions(exclude_paths=("/src1", "/src2/en"))).select("path", "size")
+
+
+@query("WITH u AS (SELECT DISTINCT url FROM pages) SELECT url AS path, row_number() OVER (PARTITION BY length(url) ORDER BY string_split(url, '/')) AS place FROM u")
+def path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path")).distinct()
+    own = Window.partitionBy(F.length("path")).orderBy(paths.components(F.col("path")))
+    return pages.withColumn("place", F.row_number().over(own).cast("long"))
+
+
+_LINES = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as /order/number files of l_quantity bytes whose content is l_partkey."""
+    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity")
+    path = F.concat(F.lit("/t/"), F.col("l_orderkey").cast("string"), F.lit("/"), F.row_number().over(own).cast("string"))
+    return items.select(path.alias("path"), F.col("l_quantity").cast("long").alias("size"), F.lit(0).cast("long").alias("dev"), F.col("l_partkey").alias("ino"), F.col("l_orderkey").alias("order"))
+
+
+@query(f"""WITH f AS (SELECT '/t/' || l_orderkey || '/' || {_LINES} AS path, CAST(l_quantity AS BIGINT) AS size, l_partkey AS ino FROM lineitem),
+g AS (SELECT size, ino, arg_min(path, string_split(path, '/')) AS rep_path, count(*) AS aliases FROM f GROUP BY size, ino) SELECT size, ino, rep_path, aliases FROM g""")
+def hardlink_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.collapsed(_lines(spark, sf_dir)).select("size", "ino", "rep_path", "aliases")
+
+
+@query(f"""WITH f AS (SELECT '/t/' || l_orderkey || '/' || {_LINES} AS path, CAST(l_quantity AS BIGINT) AS size, l_partkey AS ino FROM lineitem)
+SELECT size, count(DISTINCT ino) AS ids, count(*) AS paths FROM f GROUP BY size HAVING count(DISTINCT ino) > 1""")
+def same_size_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.several(_lines(spark, sf_dir), ["size"])
+
+
+_DEPTH = "len(list_filter(string_split(path, '/'), lambda x: x <> '')) + 1"
+#: A deeper path for some, so that depth tells files apart.
+_DEEPER = MEMBERS.replace("'/' || source || '/' || lang || '/' || doc_id || '.txt'", "'/' || source || '/' || lang || CASE WHEN doc_id % 3 = 0 THEN '/deep' ELSE '' END || '/' || doc_id || '.txt'")
+
+
+def _deeper(members: DataFrame) -> DataFrame:
+    return members.withColumn("path", F.when(F.col("ino") % 3 == 0, F.concat(paths.parent(F.col("path")), F.lit("/deep/"), paths.name(F.col("path")))).otherwise(F.col("path")))
+
+
+def _keep(name: str, rule: Rule, protected: tuple[str, ...], order: str, reason: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return keep.kept(_deeper(_members(spark, sf_dir)), rule, protected).select("group_id", "kept", "keep_reason")
+
+    run.__name__ = name
+    query(f"""WITH {_DEEPER}, r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY {order}, string_split(path, '/')) AS k FROM m)
+SELECT group_id, path AS kept, {reason} AS keep_reason FROM r WHERE k = 1""")(run)
+
+
+_UNREAD = f"CASE WHEN mtime_ns IS NULL THEN '{keep.UNREADABLE.replace(chr(39), chr(39) * 2)}' ELSE '{{}} modification time' END"
+_keep("keep_alphabetical", Rule.ALPHABETICAL, (), "1", "'alphabetically first'")
+_keep("keep_newest", Rule.NEWEST, (), "mtime_ns DESC NULLS LAST", _UNREAD.format("most recent"))
+_keep("keep_oldest", Rule.OLDEST, (), "mtime_ns NULLS LAST", _UNREAD.format("oldest"))
+_keep("keep_shortest_path", Rule.SHORTEST_PATH, (), _DEPTH, "'shortest path'")
+_keep("keep_longest_path", Rule.LONGEST_PATH, (), f"-({_DEPTH})", "'longest path'")
+_SAFE = "starts_with(path, '/src3/')"
+_keep("keep_protected", Rule.NEWEST, PROTECTED, f"{_SAFE} DESC, CASE WHEN {_SAFE} THEN NULL ELSE mtime_ns END DESC NULLS LAST", f"CASE WHEN {_SAFE} THEN '{keep.PROTECTED}' ELSE {_UNREAD.format('most recent')} END")
+
+_PLAN = f"""{MEMBERS}, k AS (SELECT group_id, arg_min(path, string_split(CASE WHEN {_SAFE} THEN '0' ELSE '1' END || path, '/')) AS kept, bool_or({_SAFE}) AS safe FROM m GROUP BY group_id),
+p AS (SELECT m.group_id, size, kept, path, CASE WHEN safe THEN '{keep.PROTECTED}' ELSE 'alphabetically first' END AS keep_reason FROM m JOIN k USING (group_id) WHERE path <> kept AND NOT {_SAFE})"""
+
+
+@query(f"WITH {_PLAN} SELECT group_id, size, kept, path, 'delete' AS kind, keep_reason FROM p")
+def action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return actions.planned(_members(spark, sf_dir), Action.DELETE, Rule.ALPHABETICAL, PROTECTED).select("group_id", "size", "kept", "path", "kind", "keep_reason")
+
+
+@query(f"WITH {_PLAN} SELECT count(DISTINCT group_id) AS groups, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes_reclaimed, CAST(sum(size) AS BIGINT) AS physical_bytes FROM p")
+def plan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return actions.totals(actions.planned(_members(spark, sf_dir), Action.DELETE, Rule.ALPHABETICAL, PROTECTED))
+
+
+@query("""WITH f AS (SELECT '/t/' || l_orderkey || '/' || n AS path, * FROM (SELECT l_orderkey, l_partkey AS ino, CAST(l_quantity AS BIGINT) AS size, """ + _LINES + """ AS n FROM lineitem)),
+m AS (SELECT * FROM f WHERE size IN (SELECT size FROM f GROUP BY size HAVING count(DISTINCT ino) > 1)),
+k AS (SELECT size, arg_min(path, string_split(path, '/')) AS kept, arg_min(ino, string_split(path, '/')) AS ki FROM m GROUP BY size)
+SELECT CAST(m.size AS VARCHAR) AS group_id, count(*) AS targets, CAST(sum(m.size) AS BIGINT) AS bytes, CAST(count(DISTINCT ino) * m.size AS BIGINT) AS physical FROM m JOIN k USING (size) WHERE ino <> ki GROUP BY m.size""")
+def alias_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items of one quantity taken as equal, with one file id a part: aliases of the kept file aren't targets."""
+    found = exact.members(_lines(spark, sf_dir).withColumn("digest", F.lit(""))).withColumn("group_id", F.col("size").cast("string"))
+    plan = actions.planned(found, Action.DELETE)
+    return plan.groupBy("group_id").agg(F.count("*").alias("targets"), F.sum("size").alias("bytes"), F.sum(F.when(F.col("physical"), F.col("size")).otherwise(0)).alias("physical"))
+
+
+@query(f"""WITH {FILES}, p AS (SELECT (doc_id // 4) AS group_id, path, size, coalesce(mtime_ns, 0) AS mtime_ns, doc_id FROM f),
+l AS (SELECT path, size + CASE WHEN doc_id % 50 = 1 THEN 1 ELSE 0 END AS s, mtime_ns + CASE WHEN doc_id % 70 = 2 THEN 1 ELSE 0 END AS t, doc_id % 90 <> 3 AS is_file FROM p WHERE doc_id % 110 <> 4)
+SELECT group_id, bool_or(l.path IS NULL OR NOT is_file OR s <> size OR t <> mtime_ns) AS stale FROM p LEFT JOIN l USING (path) GROUP BY group_id""")
+def stale_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = documents_as_files(spark, sf_dir).select("path", "size", F.coalesce("mtime_ns", F.lit(0)).alias("mtime_ns"), "ino")
+    plan = files.withColumn("group_id", F.floor(F.col("ino") / 4))
+    live = files.where(F.col("ino") % 110 != 4).select(
+        "path", (F.col("size") + F.when(F.col("ino") % 50 == 1, 1).otherwise(0)).alias("size"), (F.col("mtime_ns") + F.when(F.col("ino") % 70 == 2, 1).otherwise(0)).alias("mtime_ns"), (F.col("ino") % 90 != 3).alias("is_file")
+    )
+    return actions.stale(plan, live)
+
+
+@query(f"WITH {_PLAN}, r AS (SELECT path, size % 2 = 0 AS ok FROM p WHERE size % 3 <> 0) SELECT path, CASE WHEN ok THEN 'done' WHEN NOT ok THEN 'failed' ELSE 'not tried' END AS outcome FROM p LEFT JOIN r USING (path)")
+def action_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = actions.planned(_members(spark, sf_dir), Action.DELETE, Rule.ALPHABETICAL, PROTECTED)
+    results = plan.where("size % 3 <> 0").select("path", (F.col("size") % 2 == 0).alias("ok"))
+    outcome = F.when(F.col("ok"), "done").when(~F.col("ok"), "failed").otherwise("not tried")
+    return actions.outcomes(plan, results).select("path", outcome.alias("outcome"))
+
+
+@query(f"""WITH {MEMBERS}, u AS (SELECT group_id, path FROM m WHERE NOT (starts_with(path, '/src1/') OR starts_with(path, '/src0/en/') OR path = '/src2/en/2.txt'))
+SELECT group_id, path FROM m WHERE group_id IN (SELECT group_id FROM u)""")
+def group_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = spark.createDataFrame([("/src1",), ("/src0/en",), ("/src2/en/2.txt",)], "root string")
+    return actions.uncovered(_members(spark, sf_dir), roots).select("group_id", "path")
+
+
+@query(f"WITH {MEMBERS}, n AS (SELECT group_id, size, count(*) AS n FROM m GROUP BY 1, 2) SELECT CAST(sum(size * (n - 1)) AS BIGINT) AS bytes FROM n")
+def reclaim_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.reclaimable(_members(spark, sf_dir))
+
+
+_KIND = "CASE lang WHEN 'en' THEN '.jpg' WHEN 'de' THEN '.mp3' WHEN 'fr' THEN '.tar.GZ' ELSE '' END"
+
+
+@query(f"""WITH {MEMBERS}, k AS (SELECT m.*, '/' || source || '/' || m.doc_id || {_KIND} AS p FROM m JOIN documents USING (doc_id)),
+g AS (SELECT group_id, size, count(*) AS n, arg_min(p, string_split(p, '/')) AS first FROM k GROUP BY group_id, size),
+c AS (SELECT CASE WHEN first LIKE '%.jpg' THEN 'photo' WHEN first LIKE '%.mp3' THEN 'audio' WHEN first LIKE '%.GZ' THEN 'archive' ELSE 'other' END AS category, sum(size * (n - 1)) AS bytes FROM g GROUP BY 1)
+SELECT category, CASE category WHEN 'photo' THEN 'Photos' WHEN 'audio' THEN 'Audio' WHEN 'archive' THEN 'Archives' ELSE 'Other' END AS label, CAST(bytes AS BIGINT) AS bytes, CAST(floor(CAST(bytes AS DOUBLE) / CAST(sum(bytes) OVER () AS DOUBLE) * 100 + 0.5) AS BIGINT) AS pct FROM c""")
+def reclaim_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("lang") == "en", ".jpg").when(F.col("lang") == "de", ".mp3").when(F.col("lang") == "fr", ".tar.GZ").otherwise("")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    files = as_files(d, F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), kind), F.col("text"), ino=F.col("doc_id"))
+    return report.by_category(exact.members(exact.digested(files)))
+
+
+@query(f"""WITH {MEMBERS}, d AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, count(DISTINCT group_id) AS items FROM m GROUP BY 1),
+a AS (SELECT DISTINCT regexp_extract(dir, '^/[^/]+') AS dir FROM d)
+SELECT dir, items, 'direct' AS tier FROM d UNION ALL SELECT dir, CAST(0 AS BIGINT), 'ancestor' FROM a WHERE dir NOT IN (SELECT dir FROM d)""")
+def dir_dup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.per_folder(_members(spark, sf_dir))
+
+
+_FOLDERS = f"""f AS (SELECT l_orderkey AS dir, {_LINES} AS rel, l_partkey AS gid, CAST(l_quantity AS BIGINT) AS size FROM lineitem),
+g AS (SELECT gid FROM f GROUP BY gid HAVING count(*) > 1),
+s AS (SELECT dir, list(rel || ':' || f.gid ORDER BY rel) AS sig, count(*) AS n, sum(size) AS bytes, count(g.gid) AS dup FROM f LEFT JOIN g ON g.gid = f.gid GROUP BY dir),
+w AS (SELECT * FROM s WHERE n = dup),
+e AS (SELECT sig FROM w GROUP BY sig HAVING count(*) > 1)"""
+
+
+def _folders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The closure of the line items' folders (one level) and its signatures; a part's line items are one group."""
+    files = _lines(spark, sf_dir)
+    shared = files.groupBy("ino").count().where("count > 1").select("ino")
+    found = files.join(shared, "ino", "left_semi").select("path", F.col("ino").alias("group_id"))
+    closed = folders.closure(files.select("path", "size"), found, "/t").where("dir <> '/t'")
+    return closed, folders.signatures(closed)
+
+
+@query(f"""WITH {_FOLDERS} SELECT min(dir) AS first_dir, count(*) AS dirs, n AS file_count, CAST(min(bytes) AS BIGINT) AS bytes FROM w WHERE sig IN (SELECT sig FROM e) GROUP BY sig, n""")
+def folder_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    closed, signed = _folders(spark, sf_dir)
+    number = paths.name(F.col("dir")).cast("long")
+    return folders.exact(signed, closed).groupBy("sig", "file_count").agg(F.min(number).alias("first_dir"), F.count("*").alias("dirs"), F.min("bytes").alias("bytes")).drop("sig")
+
+
+@query(f"""WITH {_FOLDERS}, o AS (SELECT w.* FROM w WHERE sig NOT IN (SELECT sig FROM e)), p AS (SELECT a.dir AS subset, b.dir AS superset, count(*) AS c
+  FROM f AS a JOIN f AS b ON a.rel = b.rel AND a.gid = b.gid AND a.dir <> b.dir WHERE a.dir IN (SELECT dir FROM o) GROUP BY 1, 2)
+SELECT subset, superset, n AS file_count, CAST(bytes AS BIGINT) AS bytes FROM p JOIN o ON o.dir = p.subset WHERE c = n""")
+def folder_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    closed, signed = _folders(spark, sf_dir)
+    number = lambda c: paths.name(F.col(c)).cast("long").alias(c)
+    return folders.contained(signed, closed).select(number("subset"), number("superset"), "file_count", "bytes")
+
+
+@query()
+def folder_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claimed matches where folders nest: line items as /t/order / 4/order/number."""
+    files = _lines(spark, sf_dir).withColumn("path", F.concat(F.lit("/t/"), F.floor(F.col("order") / 4).cast("string"), F.substring("path", 3, 1 << 20)))
+    found = files.select("path", F.col("ino").alias("group_id"))
+    return folders.folder_matches(files.select("path", "size"), found, "/t")
+
+
+_SKETCH = "list_sum(list_transform(embedding[1:64], lambda x, i: CASE WHEN x > 0 THEN CAST(1 AS HUGEINT) << (i - 1) ELSE 0 END))::HUGEINT"
+_PAIRS = f"""h AS (SELECT vec_id, CAST({_SKETCH} AS UBIGINT) AS h FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM h AS a JOIN h AS b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 20)"""
+BITS = 20
+
+
+def _sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    bits = F.aggregate(F.transform(F.slice("embedding", 1, 64), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return e.select(F.col("vec_id").alias("id"), bits.alias("hash"))
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, distance FROM p")
+def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.pairs(_sketches(spark, sf_dir), BITS)
+
+
+@query(f"""WITH RECURSIVE {_PAIRS}, l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r(id, g) AS (SELECT a, a FROM l UNION SELECT l.b, r.g FROM r JOIN l ON l.a = r.id)
+SELECT id, min(g) AS "group" FROM r GROUP BY id""")
+def similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.similar(_sketches(spark, sf_dir), BITS)
+
+
+@query(f"""WITH RECURSIVE {_PAIRS}, l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r(id, g) AS (SELECT a, a FROM l UNION SELECT l.b, r.g FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(g) AS g FROM r GROUP BY id), x AS (SELECT c.g, h.h FROM c JOIN h ON h.vec_id = c.id)
+SELECT a.g AS "group", CAST(max(bit_count(xor(a.h, b.h))) AS INTEGER) AS max_distance FROM x AS a JOIN x AS b ON a.g = b.g GROUP BY a.g""")
+def similar_widest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashes = _sketches(spark, sf_dir)
+    return similar.widest(similar.similar(hashes, BITS), hashes)
+
+
+_CACHE = f"{FILES}, c AS (SELECT path, size, coalesce(mtime_ns, 0) + CASE WHEN doc_id % 10 = 0 THEN 1 ELSE 0 END AS mtime_ns, digest AS hash FROM f WHERE doc_id % 2 = 0), g AS (SELECT path, size, coalesce(mtime_ns, 0) AS mtime_ns FROM f)"
+
+
+def _cached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Files, and a cache of those with an even id, each tenth of them stale."""
+    files = _files(spark, sf_dir).withColumn("mtime_ns", F.coalesce("mtime_ns", F.lit(0)))
+    held = files.where("ino % 2 = 0").select("path", "size", (F.col("mtime_ns") + F.when(F.col("ino") % 10 == 0, 1).otherwise(0)).alias("mtime_ns"), F.col("digest").alias("hash"))
+    return files.select("path", "size", "mtime_ns", "dev", "ino"), held
+
+
+@query(f"WITH {_CACHE} SELECT path, size, mtime_ns, hash FROM g JOIN c USING (path, size, mtime_ns)")
+def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.hits(*_cached(spark, sf_dir)).select("path", "size", "mtime_ns", "hash")
+
+
+@query(f"WITH {_CACHE} SELECT path, size, mtime_ns FROM g WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.path = g.path AND c.size = g.size AND c.mtime_ns = g.mtime_ns)")
+def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.misses(*_cached(spark, sf_dir)).select("path", "size", "mtime_ns")
+
+
+@query(f"WITH {_CACHE}, n AS (SELECT g.path, size, mtime_ns, 'new' AS hash FROM g WHERE size % 2 = 0) SELECT * FROM n UNION ALL SELECT * FROM c WHERE path NOT IN (SELECT path FROM n)")
+def cache_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, held = _cached(spark, sf_dir)
+    return cache.updated(held, files.where("size % 2 = 0").withColumn("hash", F.lit("new")))
+
+
+@query(f"""WITH {FILES}, g AS (SELECT path, size, ino, coalesce(mtime_ns, 0) AS mtime_ns FROM f),
+c AS (SELECT ino, CASE ino % 3 WHEN 0 THEN size WHEN 1 THEN 4096 ELSE 16384 END AS chunk_len, mtime_ns // 1000000 + CASE WHEN ino % 7 = 0 THEN 1 ELSE 0 END AS ms, size AS len, 'h' || ino AS hash FROM g
+  UNION ALL SELECT ino, 16384, mtime_ns // 1000000, size, 'second' || ino FROM g WHERE ino % 3 <> 2 AND ino % 5 = 0),
+t AS (SELECT g.*, u.turn, u.chunk_len FROM g, LATERAL (SELECT 0 AS turn, g.size AS chunk_len UNION ALL SELECT 1, 4096 WHERE g.size <= 4096 UNION ALL SELECT 2, 16384 WHERE g.size <= 16384) AS u),
+j AS (SELECT t.path, t.size, t.mtime_ns, c.*, row_number() OVER (PARTITION BY t.path ORDER BY turn) AS k FROM t JOIN c ON c.ino = t.ino AND c.chunk_len = t.chunk_len)
+SELECT path, hash FROM j WHERE k = 1 AND len = size AND ms = mtime_ns // 1000000""")
+def import_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, _ = _cached(spark, sf_dir)
+    ms = F.floor(F.col("mtime_ns") / 1_000_000)
+    own = F.when(F.col("ino") % 3 == 0, F.col("size")).when(F.col("ino") % 3 == 1, 4096).otherwise(16384)
+    entry = lambda length, stamp, hash_: ("dev", "ino", F.lit(0).cast("long").alias("chunk_pos"), length.cast("long").alias("chunk_len"), stamp.alias("modified_ms"), F.col("size").alias("file_len"), F.col("size").alias("data_len"), F.concat(F.lit(hash_), F.col("ino").cast("string")).alias("hash"))
+    held = files.select(*entry(own, ms + F.when(F.col("ino") % 7 == 0, 1).otherwise(0), "h")).unionByName(files.where("ino % 3 <> 2 AND ino % 5 = 0").select(*entry(F.lit(16384), ms, "second")))
+    return cache.imported(files, held).select("path", "hash")
+
+
+_SCANS = """s AS (SELECT o_orderkey AS id, o_orderpriority AS root, CAST(epoch(o_orderdate) AS BIGINT) AS started_at, o_custkey AS files_scanned, CAST(floor(o_totalprice) AS BIGINT) AS bytes_scanned,
+  o_orderkey % 7 AS duplicate_groups, o_orderkey % 13 AS duplicate_files, CASE WHEN o_orderstatus = 'F' THEN CAST(floor(o_totalprice / 2) AS BIGINT) END AS bytes_reclaimed, CASE WHEN o_orderstatus = 'F' THEN o_custkey % 5 END AS files_acted_on FROM orders)"""
+
+
+def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, done = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderstatus") == "F"
+    return o.select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("root"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("started_at"), F.col("o_custkey").alias("files_scanned"), F.floor("o_totalprice").cast("long").alias("bytes_scanned"),
+        (F.col("o_orderkey") % 7).alias("duplicate_groups"), (F.col("o_orderkey") % 13).alias("duplicate_files"), F.when(done, F.floor(F.col("o_totalprice") / 2).cast("long")).alias("bytes_reclaimed"), F.when(done, F.col("o_custkey") % 5).alias("files_acted_on"),
+    )
+
+
+@query(f"WITH {_SCANS} SELECT id, root, started_at, files_scanned, bytes_scanned FROM s ORDER BY started_at DESC, id DESC LIMIT 20")
+def history_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.latest(_scans(spark, sf_dir)).select("id", "root", "started_at", "files_scanned", "bytes_scanned")
+
+
+def _stats(where: str) -> str:
+    sums = ", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in ("files_scanned", "bytes_scanned", "duplicate_groups", "duplicate_files", "bytes_reclaimed", "files_acted_on"))
+    return f"WITH {_SCANS} SELECT count(*) AS scans, {sums} FROM s {where}"
+
+
+@query(_stats(""))
+def history_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.stats(_scans(spark, sf_dir))
+
+
+@query(_stats("WHERE started_at >= 800000000 AND started_at <= 850000000"))
+def history_stats_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.stats(_scans(spark, sf_dir), 800000000, 850000000)
+
+
+@query(f"WITH {FILES} SELECT path, '/archive/' || array_to_string(list_filter(string_split('/.' || path || '/..', '/'), lambda x: x NOT IN ('', '.', '..')), '/') AS archived FROM f")
+def archived_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = F.concat(F.lit("/."), F.col("path"), F.lit("/.."))
+    return documents_as_files(spark, sf_dir).select("path", paths.archived(odd, "/archive").alias("archived"))
+
+
+@query(f"""WITH {FILES} SELECT path, regexp_replace(path, '/[^/]*$', '') AS parent, regexp_extract(path, '[^/]*$') AS name, 'txt' AS ext, CAST(4 AS INTEGER) AS depth, 'document' AS category,
+  CASE WHEN size < 1024 THEN size || ' B' ELSE printf('%.1f KB', floor(size / 1024.0 * 10 + 0.5) / 10) END AS human, regexp_replace(path, '^/[^/]*/', '') AS rel, array_to_string(string_split(path, '/')[1:2], '/') AS base FROM f""")
+def path_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("path")
+    top = F.concat(F.lit("/"), paths.components(p)[1])
+    return documents_as_files(spark, sf_dir).select(
+        p, paths.parent(p).alias("parent"), paths.name(p).alias("name"), paths.extension(p).alias("ext"), paths.depth(p).alias("depth"), values.category(p).alias("category"), values.human_bytes(F.col("size")).alias("human"),
+        paths.relative(p, top).alias("rel"), paths.without_suffix(p, paths.relative(p, top)).alias("base"),
+    )
+
+
+@query(f"WITH {FILES} SELECT path, 'data:image/png;base64,' || base64(encode(text)) AS uri FROM f WHERE doc_id % 2 = 0")
+def media_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = documents_as_files(spark, sf_dir)
+    shown = files.select("path", values.preview(F.col("content"), F.when(F.col("ino") % 2 == 0, "PNG").otherwise("txt")).alias("uri"))
+    return shown.where("uri IS NOT NULL")
+
+
+@query(f"WITH {FILES} SELECT DISTINCT source AS name, '/' || source AS path, true AS has_children FROM documents")
+def subfolders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.sources import fswalk
+
+    return fswalk.subfolders(documents_as_files(spark, sf_dir).select("path"), "/")
+
+
+@query(f"""WITH {MEMBERS}, g AS (SELECT group_id, size, list(path ORDER BY string_split(path, '/')) AS paths FROM m GROUP BY 1, 2)
+SELECT '{{"type":"duplicate_group","size":' || size || ',"paths":["' || array_to_string(paths, '","') || '"]}}' AS value FROM g""")
+def event_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.group_events(exact.groups(_members(spark, sf_dir)))
