@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +51,13 @@ def doc_id() -> F.Column:
     return F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id")
 
 
+def trim() -> None:
+    """Gives freed memory back: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in runs of rows with about `most` bytes in a column; a longer row makes a run alone."""
     for batch in batches:
@@ -60,6 +69,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch
+        trim()
 
 
 def flat(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ WORDS, PERCENT = 3, 90
 PARTS = 3
 #: Bits of a parity sketch.
 SKETCH = 2048
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 #: Bits of the Bloom filter of candidates at most; beyond what it can tell apart, more rows pass it.
 BLOOM_BITS = 1 << 25
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377], np.uint64)
@@ -120,7 +120,7 @@ def candidates(base: DataFrame, n: int, percent: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             did = batch.column("did").to_numpy()
             sets = shingle_sets(batch.column("text"), n)
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -188,7 +188,7 @@ def sets_of(base: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.frombuffer(filled.value, np.uint64)
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             ok = np.ones(batch.num_rows, bool)
             for p in ("p1", "p2"):
                 at = batch.column(p).to_numpy()
@@ -205,7 +205,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, link: whether any rows of the two documents link."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "two", 8 << 20):
+        for batch in slices(batches, "two", 4 << 20):
             link = [linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(link, pa.bool_())], ["a", "b", "link"])
 

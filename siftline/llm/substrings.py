@@ -24,7 +24,7 @@ WINDOW, GRAM = 13, 3
 #: Windows in one packed string at most.
 LONGEST_RUN = 256
 #: Bytes of input for each bucket.
-BUCKET_BYTES = 3 << 20
+BUCKET_BYTES = 2 << 20
 
 
 def runs_of(words: np.ndarray, before: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +105,7 @@ def covered(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in slices(batches, "text", 12 << 20):
+        for batch in slices(batches, "text", 5 << 20):
             buf, off = flat(batch.column("text"))
             starts, lens, before = word_spans(buf, off)
             first, many, least = runs_of(span_hashes(buf, starts, lens), before, window, gram)
@@ -168,7 +168,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wit
     spans = covered(base, window, gram)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             total, removed, sha, kept = [], [], [], []
             for text, ranges in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 words = text.encode().split()
