@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import keyed, saved
+from siftline.llm.common import doc_id, keyed, saved
 
 LEAST, MOST = 2048, 8192
 #: A cut comes after white space that follows one of these.
@@ -29,7 +29,7 @@ def identifier(chunk: Column, salt: int) -> Column:
 
 
 def recipes(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """did, text_sha256, recipe: the ordered identifiers of each row's chunks, verified over all rows."""
+    """id, text_sha256, recipe: the ordered identifiers of each row's chunks, verified over all rows."""
     base = keyed(docs).select("did", "text")
     cut = base.select(F.explode(chunks(F.col("text"), least, most)).alias("chunk"))
     for salt in range(100):
@@ -38,7 +38,7 @@ def recipes(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
         if distinct.groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").isEmpty():
             break
     ids = F.transform(chunks(F.col("text"), least, most), lambda c: identifier(c, salt))
-    return base.select("did", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.array_join(F.transform(ids, F.hex), "").alias("recipe"))
+    return base.select(doc_id().alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.array_join(F.transform(ids, F.hex), "").alias("recipe"))
 
 
 def exact_dedup(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
@@ -49,7 +49,21 @@ def exact_dedup(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFr
     group_size each and are kept or dropped alike. Other columns are left out; an empty table gives no rows.
     """
     rows = saved(recipes(docs, least, most), "recipes")
-    id_ = F.when(F.col("did") != (1 << 63) - 1, F.col("did"))
-    groups = rows.groupBy("recipe").agg(F.max(id_).alias("keep_id"), F.count("*").alias("group_size"))
-    out = rows.join(groups, "recipe").select(id_.alias("doc_id"), "keep_id", "group_size", id_.eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    return out
+    groups = rows.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    return rows.join(groups, "recipe").select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def without_copies(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """The rows of docs, all columns, that exact_dedup keeps; of rows that repeat doc_id and text, one."""
+    rows = saved(recipes(docs, least, most), "recipes")
+    groups = rows.groupBy("recipe").agg(F.max("id").alias("keep"))
+    # the text's own SHA-256 stands for it here: a kept row is known by its doc_id and text
+    kept = rows.join(groups, "recipe").where(F.col("id").eqNullSafe(F.col("keep"))).groupBy("id", "text_sha256").agg(F.count("*").alias("times"))
+    kept = saved(kept.select(F.col("id").alias("kept_id"), F.col("text_sha256").alias("kept_text"), "times"), "kept")
+    all_ = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256).alias("own_text"))
+    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_text") == F.col("kept_text"))
+    once = all_.join(kept.where("times = 1"), same, "left_semi")
+    more = kept.where("times > 1")
+    if not more.isEmpty():
+        once = once.unionByName(all_.join(more, same, "left_semi").dropDuplicates(["own_id", "own_text"]))
+    return once.select("row.*")
