@@ -13,6 +13,7 @@ A bounded sample of the labelled rows is learned from: ROWS of each label, chose
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -25,19 +26,24 @@ from siftline.llm.common import NO_ID, doc_id, in_fold, slices
 
 LENGTH, DECAY = 4, 0.6
 LANDMARKS, GRAMS = 64, (4, 5, 6, 7)
-ROWS, BYTES = 2500, 1 << 16
+ROWS, BYTES = 1500, 1 << 15
 LIMIT = 0.3
 #: Longest word looked at as one; longer ones are seen through overlapping windows.
 SPAN = 24
 START = "^"
+#: A kernel below this part of a landmark's own counts as none.
+FLOOR = 0.15
 #: Likeness up to this much, of which long texts have plenty, counts as none.
 FAINT = 0.4
 KEPT_WORDS = 300_000
 
 
+NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
 def plain(word: str) -> str:
     """A word's letters."""
-    return word if word.isalpha() else "".join(c for c in word if c.isalpha())
+    return word if word.isalpha() else NO_LETTERS.sub("", word)
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -68,7 +74,8 @@ class Kernel:
         self.ids = {ord(c): i + 1 for i, c in enumerate(chars)}
         self.marks = [np.array([self.ids.get(ord(c), 251) for c in x], np.int64) for x in landmarks]
         self.own = np.array([self.raw(self.rows([x])[0], m)[0] for x, m in zip(landmarks, self.marks)])
-        self.seen: dict[str, tuple] = {}
+        self.seen: set[str] = set()
+        self.like: dict[str, tuple] = {}
 
     def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Windows of words as rows of character ids, 0 for any that no landmark has, and the word of each."""
@@ -119,50 +126,52 @@ class Kernel:
             before = new
         return total
 
-    def of(self, words: Iterable[str]) -> dict[str, tuple]:
-        """Of each word, (landmark, kernel) pairs of those that aren't 0."""
-        todo = [w for w in words if w not in self.seen]
-        if len(self.seen) + len(todo) > KEPT_WORDS:
-            self.seen = {}
-            todo = list(words)
-        self.seen.update(dict.fromkeys(todo, ()))
+    def look_at(self, words: set[str]) -> None:
+        """Adds those of the words that are like a landmark to self.like: (landmark, kernel) pairs."""
+        if len(self.seen) > KEPT_WORDS:
+            self.seen, self.like = set(), {}
+        todo = words - self.seen
+        self.seen |= todo
         bare: dict[str, list[str]] = {}
         for w in todo:
             if len(p := plain(w)) >= LENGTH - 1:
                 bare.setdefault(p, []).append(w)
-        if bare:
-            names = list(bare)
-            rows, word = self.rows([START + b for b in names])
-            for k, mark in enumerate(self.marks):
-                near = np.flatnonzero(self.common(rows, mark) >= LENGTH)
-                if len(near):
-                    value = np.minimum(self.raw(rows[near], mark) / self.own[k], 1.0)
-                    best: dict[int, float] = {}
-                    for w, v in zip(word[near].tolist(), value.tolist()):
-                        best[w] = max(v, best.get(w, 0.0))
-                    for w, v in best.items():
-                        for name in bare[names[w]]:
-                            self.seen[name] += ((k, v),)
-        return self.seen
+        if not bare:
+            return
+        names = list(bare)
+        rows, word = self.rows([START + b for b in names])
+        for k, mark in enumerate(self.marks):
+            near = np.flatnonzero(self.common(rows, mark) >= LENGTH)
+            value = np.minimum(self.raw(rows[near], mark) / self.own[k], 1.0)
+            best: dict[int, float] = {}
+            for w, v in zip(word[near[value >= FLOOR]].tolist(), value[value >= FLOOR].tolist()):
+                best[w] = max(v, best.get(w, 0.0))
+            for w, v in best.items():
+                for name in bare[names[w]]:
+                    self.like[name] = (*self.like.get(name, ()), (k, v))
 
     def features(self, texts: list[str]) -> list[tuple[list[dict[int, float]], list[dict[int, float]], int]]:
         """Of each text: the best kernels with landmarks in each sentence and in each distinct word that has any; its number of words."""
-        split = [sentences(t) for t in texts]
-        seen = self.of({w for s in split for words in s for w in words})
+        split = [t.lower().split() for t in texts]
+        sets = [set(words) for words in split]
+        # runs of single letters are rare, and only they add words
+        spelt = {i: sentences(texts[i]) for i, s in enumerate(sets) if sum(len(plain(w)) == 1 for w in s if len(w) < 3) > 1}
+        self.look_at(set().union(*sets, *(words for rows in spelt.values() for words in rows)))
         out = []
-        for text in split:
-            rows, words_ = [], {}
-            for words in text:
+        for i, (text, own) in enumerate(zip(texts, sets)):
+            found = own & self.like.keys() if i not in spelt else {w for words in spelt[i] for w in words} & self.like.keys()
+            rows = []
+            for words in (spelt.get(i) or sentences(text)) if found else ():
                 row: dict[int, float] = {}
                 for w in words:
-                    if found := seen[w]:
-                        words_[plain(w)] = found
-                        for k, v in found:
+                    if w in found:
+                        for k, v in self.like[w]:
                             if v > row.get(k, 0.0):
                                 row[k] = v
                 if row:
                     rows.append(row)
-            out.append((rows, [dict(x) for x in words_.values()], sum(map(len, text))))
+            distinct = {plain(w): self.like[w] for w in sorted(found)}
+            out.append((rows, [dict(x) for x in distinct.values()], len(split[i])))
         return out
 
 
@@ -184,16 +193,26 @@ def chosen(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> list[st
     """Strings that are often in many toxic texts and seldom in others, and together in as many toxic ones as can be."""
     if not toxic:
         return []
-    counts = [grams_of(t) for t in toxic]
+    least = max(3, len(toxic) // 100)
+    # a table of hashes first: only strings that may be in enough texts are held by name
+    table = np.zeros(1 << 22, np.int32)
+    for t in toxic:
+        at = np.array([hash(g) & (len(table) - 1) for g in grams_of(t)], np.int64)
+        table[np.unique(at)] += 1
+
+    def some(text: str) -> Counter:
+        return Counter({g: n for g, n in grams_of(text).items() if table[hash(g) & (len(table) - 1)] >= least})
+
+    counts = [some(t) for t in toxic]
     held: dict[str, list[int]] = {}
     texts_with = Counter(g for c in counts for g in c)
-    often = {g for g, n in texts_with.items() if n >= max(3, len(toxic) // 100)}
+    often = {g for g, n in texts_with.items() if n >= least}
     for i, c in enumerate(counts):
         for g in c.keys() & often:
             held.setdefault(g, []).append(i)
     other: Counter = Counter()
     for t in clean:
-        c = grams_of(t)
+        c = some(t)
         for g in c.keys() & often:
             other[g] += c[g]
     size = sum(len(t) for t in toxic) / max(1, sum(len(t) for t in clean))
@@ -218,13 +237,15 @@ def chosen(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> list[st
     return out
 
 
-def machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 30) -> tuple[np.ndarray, float]:
-    """A linear support vector machine with squared hinge loss, by Newton's method. y: -1 or 1."""
+def machine(x: np.ndarray, y: np.ndarray, scale: float, steps: int = 30) -> tuple[np.ndarray, float]:
+    """A linear support vector machine with squared hinge loss, by Newton's method. y: -1 or 1; scale: weight of the -1 rows.
+
+    What is seen on both sides gets a decision between, so decisions also tell how sure a likeness is.
+    """
     x1 = np.c_[x, np.ones(len(x))]
     w = np.zeros(x1.shape[1])
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y) * cost / len(y)
-    ridge = np.eye(len(w)) * 1e-2
-    ridge[-1, -1] = 1e-6
+    weight = np.where(y > 0, 1.0, scale)
+    ridge = np.diag([*[1.0] * x.shape[1], 1e-6])
     for _ in range(steps):
         bad = y * (x1 @ w) < 1
         a = x1[bad] * weight[bad, None]
@@ -269,7 +290,7 @@ class Scorer:
         rows, words, n = found
         s, w = [self.likeness(r) for r in rows], [self.likeness(r) for r in words]
         m = max(s, default=0.0)
-        return [m, m**4, np.log1p(sum(s)), np.log1p(sum(w)), sum(w) / (1 + n / 100), np.log1p(n) / 4]
+        return [m, max(0.0, m - 0.8), max(0.0, m - 1.2), np.log1p(sum(s)), np.log1p(sum(w)), sum(w) / (1 + n / 100), np.log1p(n) / 4]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         x = np.array([self.summary(f) for f in self.kernel.features(texts)]) if self.kernel and texts else np.zeros((len(texts), len(self.last) - 1))
@@ -288,12 +309,13 @@ def trained(toxic: list[str], clean: list[str], share: float) -> Scorer:
         rows, _ = kernel.rows([mark])
         gram[i] = [kernel.raw(rows, kernel.marks[j])[0] for j in range(m)]
     # kernels are taken as parts of a landmark's own, which is its scale here
-    scale = np.sqrt(np.diag(gram))
-    value, vector = np.linalg.eigh(gram / scale[:, None] / scale[None, :])
+    own = np.sqrt(np.diag(gram))
+    value, vector = np.linalg.eigh(gram / own[:, None] / own[None, :])
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
     texts = kernel.features([*toxic, *clean])
     y = np.r_[np.ones(len(toxic)), -np.ones(len(clean))]
     out = Scorer(kernel, np.ones(m), np.zeros(1))
+    scale = (1 - share) / max(share, 1e-9) * len(toxic) / max(1, len(clean))
     for _ in range(3):  # by the weights so far, the sentences that stand for their text
         x, sign = [], []
         for (rows, _, _), label in zip(texts, y.tolist()):
@@ -303,10 +325,10 @@ def trained(toxic: list[str], clean: list[str], share: float) -> Scorer:
                 sign.append(label)
         if len(set(sign)) < 2:
             break
-        w, _ = machine(np.stack(x) @ root, np.array(sign))
+        w, _ = machine(np.stack(x) @ root, np.array(sign), scale)
         out.weights = root @ w
     out.last = curve(np.array([out.summary(f) for f in texts]), y, share)
-    kernel.seen = {}
+    kernel.seen, kernel.like = set(), {}
     return out
 
 
