@@ -2,7 +2,7 @@
 
 Items are partitioned by their number of shingles, to powers of two. For a partition up to size s, each document is seen
 as overlapping windows of 2 s shingles, s apart, so an item's passage lies whole in a window not much larger than itself,
-whatever the document's length. One permutation of hash values dealt to BINS * s bins gives an item's and a window's
+whatever the document's length. One permutation of hash values dealt to bins gives an item's and a window's
 MinHash signature: the least value of each bin. A document is a candidate for an item if one of its windows shares a value
 with the item's signature; candidates are verified by exact shingle containment, word by word.
 
@@ -22,9 +22,6 @@ from pyspark.sql import functions as F
 from siftline.llm.common import doc_id, flat, gram_hashes, keyed, plan_bytes, slices, span_hashes, word_spans
 
 WORDS, PERCENT = 5, 80
-#: Bins for each shingle of a partition's upper size. With 8, a contained item of q shingles is missed with a chance
-#: below 0.25 ** (0.8 * q) at worst, and items of few shingles sit in windows of few.
-BINS = 8
 #: Bytes of item texts broadcast at once.
 BLOCK_BYTES = 16 << 20
 
@@ -45,7 +42,7 @@ class Items:
                 continue
             k, upper = len(next(iter(grams))), 1 << max(0, len(grams) - 1).bit_length()
             hashes = np.array([hash_of(g) for g in grams], np.uint64)
-            for h in minima(hashes, bins_of(hashes, BINS * upper)).tolist():
+            for h in minima(hashes, bins_of(hashes, bins_for(upper))).tolist():
                 rows.setdefault((k, upper), []).append((h, item))
         for key, pairs in rows.items():
             pairs.sort()
@@ -55,6 +52,12 @@ class Items:
             self.parts[key] = (values, np.array([p[1] for p in pairs], np.int64), bits)
 
 
+def bins_for(upper: int) -> int:
+    """Bins for items of up to `upper` shingles: eight a shingle at least, and so many for few shingles that one value of
+    theirs is hidden by a smaller one in its bin in less than 1 of 10,000 windows."""
+    return max(8 * upper, 65536 // upper)
+
+
 def hash_of(gram: tuple[bytes, ...]) -> int:
     buf, off = flat(pa.array([b" ".join(gram)], pa.binary()))
     starts, lens, _ = word_spans(buf, off)
@@ -94,7 +97,7 @@ def candidates(items: Items, words: np.ndarray, before: np.ndarray) -> set[tuple
                     continue
                 seen.add((doc, w))
                 window = grams[first + w * upper : min(last, first + (w + 2) * upper)]
-                sign = minima(window, bins_of(window, BINS * upper))
+                sign = minima(window, bins_of(window, bins_for(upper)))
                 a, b = np.searchsorted(values, sign, "left"), np.searchsorted(values, sign, "right")
                 for x, y in zip(a[b > a].tolist(), b[b > a].tolist()):
                     out.update((doc, item) for item in owners[x:y].tolist())
