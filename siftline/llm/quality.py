@@ -21,6 +21,8 @@ DIMENSIONS = 1 << 16
 TRAIN_ROWS = 8000
 ROUNDS = 6
 KEEP = 0.5
+#: What is known of the labellers beforehand: none calls more good documents bad than this share.
+FALSE_ALARMS = 0.02
 
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = True
@@ -36,6 +38,7 @@ LABELLERS = {
     "symbols": ((0.04, None), (None, 0.015)),
     "capitals": ((0.4, None), (None, 0.15)),
     "repeats": ((0.15, None), (None, 0.03)),
+    "runs": ((0.1, None), (None, 0.01)),
     "tails": ((0.15, None), (None, 0.03)),
     "marks": ((0.15, None), (None, 0.05)),
     "distinct": ((None, 0.3), (0.4, None)),
@@ -44,7 +47,7 @@ LABELLERS = {
     "lines": ((0.4, None), (None, 0.15)),
 }
 #: Words that a document needs for a vote by its name; others vote on any that has a word.
-NEEDS = {"distinct": 60, "stops": 30, "lines": 20, "repeats": 10}
+NEEDS = {"capitals": 5, "distinct": 60, "stops": 30, "lines": 20, "repeats": 10, "runs": 10}
 
 
 def measures(batch: pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -87,6 +90,7 @@ def measures(batch: pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray,
         "symbols": bytes_in(PUNCTUATION & ~PLAIN) / np.maximum(visible, 1),
         "capitals": bytes_in(UPPER) / np.maximum(letters, 1),
         "repeats": share(again),
+        "runs": share(again & np.r_[False, again[:-1]]) if len(again) else share(again),
         "tails": share(double),
         "marks": share(alone),
         "distinct": distinct / np.maximum(n, 1) ** 0.9,
@@ -111,24 +115,25 @@ def votes(found: dict[str, np.ndarray], n: np.ndarray) -> np.ndarray:
     return out
 
 
-def posteriors(patterns: np.ndarray, counts: np.ndarray, steps: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
-    """Of each pattern, the probability of a good document; of each labeller, P(vote | bad), P(vote | good); P(good)."""
+def posteriors(patterns: np.ndarray, counts: np.ndarray, steps: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of each pattern, the probability of a good document; of each labeller, P(it votes bad | it votes, and the document
+    is bad or good); P(good). A labeller that abstains says nothing."""
     names = len(LABELLERS)
-    digits = np.stack([patterns // 3 ** (names - 1 - j) % 3 for j in range(names)], 1).astype(int)
-    table = np.tile(np.array([[0.2, 0.6, 0.2], [0.2, 0.1, 0.7]]), (names, 1, 1))
-    prior, post = 0.8, np.zeros(len(patterns))
+    digits = np.stack([patterns // 3 ** (names - 1 - j) % 3 for j in range(names)], 1)
+    bad, good = (digits == 1).astype(float), (digits == 2).astype(float)
+    table, prior, post = np.tile([0.5, 0.05], (names, 1)), 0.8, np.zeros(len(patterns))
     for _ in range(steps):
-        log = np.log(table)[np.arange(names)[None, :], :, digits].sum(1) + np.log([1 - prior, prior])
-        new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
+        # log odds of bad against good
+        odds = bad @ np.log(table[:, 0] / table[:, 1]) + good @ np.log((1 - table[:, 0]) / (1 - table[:, 1])) + np.log((1 - prior) / prior)
+        new = 1 / (1 + np.exp(np.clip(odds, -500, 500)))
         done = np.abs(new - post).max(initial=0) < 1e-9
         post = new
         if done:
             break
-        for j in range(names):
-            for c, p in ((0, 1 - post), (1, post)):
-                seen = np.bincount(digits[:, j], weights=counts * p, minlength=3) + 1
-                table[j, c] = seen / seen.sum()
-        prior = float(np.clip((counts @ post + 1) / (counts.sum() + 2), 0.01, 0.99))
+        for c, p in ((0, counts * (1 - post)), (1, counts * post)):
+            table[:, c] = (p @ bad + (0.5, 0.05)[c] * 10) / (p @ (bad + good) + 10)
+        table[:, 1] = np.minimum(table[:, 1], FALSE_ALARMS)
+        prior = float(np.clip((counts @ post + 8) / (counts.sum() + 10), 0.01, 0.99))
     return post, table, prior
 
 
