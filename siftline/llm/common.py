@@ -33,8 +33,11 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate, which needs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's size estimate, which needs no job; where it has none, the bytes of the texts, counted."""
+    found = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if found < 1 << 56:
+        return found
+    return int(df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -151,3 +154,33 @@ def byte_strings(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> list[
 def in_fold(fold: int, of: int) -> F.Column:
     """Whether crc32(doc_id as text) mod `of` is `fold`; false for a null doc_id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % of == fold, F.lit(False))
+
+
+#: Bits of a Bloom filter at most: 4 MB, whatever the number of keys. One that is too full just lets more rows pass.
+BLOOM_BITS = 1 << 25
+
+
+class Bloom:
+    """Which 64-bit hashes may be among the keys; two probes. Rows that fail aren't among them."""
+
+    def __init__(self, words: bytes, bits: int) -> None:
+        self.words, self.bits = words, bits
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> Bloom:
+        """Of the one column of keys, a hash."""
+        k = F.col(keys.columns[0])
+        bits = min(BLOOM_BITS, max(1 << 12, 1 << int(np.ceil(np.log2(10 * max(1, keys.count()))))))
+        at = F.explode(F.array(k.bitwiseAND(bits - 1), F.shiftrightunsigned(k, 32).bitwiseAND(bits - 1)))
+        words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set")).toPandas()  # at most BLOOM_BITS / 64 rows
+        out = np.zeros(bits // 64, np.int64)
+        out[words["word"].to_numpy(np.int64)] = words["set"].to_numpy(np.int64)
+        return cls(out.tobytes(), bits)
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        words, keys = np.frombuffer(self.words, np.uint64), keys.view(np.uint64)
+        ok = np.ones(len(keys), bool)
+        for k in (keys, keys >> np.uint64(32)):
+            at = k & np.uint64(self.bits - 1)
+            ok &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return ok

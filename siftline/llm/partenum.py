@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import NO_ID, ODD, flat, gram_hashes, keyed, mixed, plan_bytes, saved, shuffle_partitions, slices, span_hashes, word_spans
+from siftline.llm.common import NO_ID, ODD, Bloom, flat, gram_hashes, keyed, mixed, plan_bytes, saved, shuffle_partitions, slices, span_hashes, word_spans
 from siftline.operators.components import components
 
 WORDS, PERCENT = 3, 90
@@ -29,8 +29,6 @@ PARTS = 3
 #: Bits of a parity sketch.
 SKETCH = 2048
 BUCKET_BYTES = 2 << 20
-#: Bits of the Bloom filter of candidates at most; beyond what it can tell apart, more rows pass it.
-BLOOM_BITS = 1 << 25
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377], np.uint64)
 
 
@@ -170,35 +168,18 @@ def candidates(base: DataFrame, n: int, percent: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(receive, "a long, b long, kind int")
 
 
-def bloom(ids: DataFrame) -> tuple[bytes, int]:
-    """A Bloom filter with two probes: its bits, at most BLOOM_BITS."""
-    bits = min(BLOOM_BITS, max(1 << 12, 1 << int(np.ceil(np.log2(10 * max(1, ids.count()))))))
-    at = F.explode(F.array(*(F.pmod(F.xxhash64(F.lit(s), F.col("did")), F.lit(bits)) for s in (1, 2))))
-    words = ids.select(at.alias("at")).groupBy((F.col("at") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set")).toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["set"].to_numpy(np.int64)
-    return out.tobytes(), bits
-
-
 def sets_of(base: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """did, shingles (sorted hashes, 8 bytes each): of all rows whose did is among ids, and perhaps of some others."""
-    filled, bits = bloom(ids)
-    filled = base.sparkSession.sparkContext.broadcast(filled)
-    probes = [F.pmod(F.xxhash64(F.lit(s), F.col("did")), F.lit(bits)).alias(f"p{s}") for s in (1, 2)]
+    held = base.sparkSession.sparkContext.broadcast(Bloom.of(ids.select(F.xxhash64("did"))))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.frombuffer(filled.value, np.uint64)
         for batch in slices(batches, "text", 4 << 20):
-            ok = np.ones(batch.num_rows, bool)
-            for p in ("p1", "p2"):
-                at = batch.column(p).to_numpy()
-                ok &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            batch = batch.filter(pa.array(ok))
+            batch = batch.filter(pa.array(held.value.passes(batch.column("k").to_numpy())))
             if batch.num_rows:
                 sets = [s.tobytes() for s in shingle_sets(batch.column("text"), n)]
                 yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(sets, pa.binary())], ["did", "shingles"])
 
-    return base.where(F.col("did") != NO_ID).select("did", "text", *probes).mapInArrow(make, "did long, shingles binary")
+    return base.where(F.col("did") != NO_ID).select("did", "text", F.xxhash64("did").alias("k")).mapInArrow(make, "did long, shingles binary")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import FIRST, doc_id, eights, flat, gram_hashes, keyed, mixed, plan_bytes, shuffle_partitions, slices, span_hashes, texts_of, word_spans
+from siftline.llm.common import FIRST, Bloom, doc_id, eights, flat, gram_hashes, keyed, mixed, plan_bytes, saved, shuffle_partitions, slices, span_hashes, texts_of, word_spans
 
 WINDOW, GRAM = 13, 3
 #: Windows in one packed string at most.
@@ -153,7 +153,7 @@ def covered(docs: DataFrame, window: int, gram: int) -> DataFrame:
         return pa.table({"did": did[rows], "h": h[rows], "a": begin[rows].astype(np.int64) + word[heads], "b": begin[rows].astype(np.int64) + word[ends] + window})
 
     sent = docs.mapInArrow(send, "bucket long, block binary")
-    found = sent.groupBy("bucket").applyInArrow(receive, "did long, h long, a long, b long")
+    found = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(receive, "did long, h long, a long, b long")
     return found.groupBy("did", "h").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
@@ -165,28 +165,45 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wit
     other; a null doc_id counts as larger than all others. Other columns are left out; an empty table gives no rows.
     """
     base = keyed(docs)
-    spans = covered(base, window, gram)
+    spans = saved(covered(base, window, gram), "spans")
+    key = F.xxhash64("did", "h")
+    held = docs.sparkSession.sparkContext.broadcast(Bloom.of(spans.select(key)))
+    names = ["did", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
+    schema = "did long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+
+    def without(text: bytes, ranges: list[dict] | None) -> tuple[int, int, bytes]:
+        words = text.split()
+        total = len(words)
+        if ranges:
+            edge = np.zeros(total + 1, np.int64)
+            np.add.at(edge, [r["a"] for r in ranges], 1)
+            np.add.at(edge, [r["b"] for r in ranges], -1)
+            words = [w for w, stays in zip(words, (np.cumsum(edge[:-1]) == 0).tolist()) if stays]
+        return total, total - len(words), b" ".join(words)
+
+    def rows(did: pa.Array, texts: list[bytes], ranges: list) -> pa.RecordBatch:
+        done = [without(t, r) for t, r in zip(texts, ranges)]
+        out = [did, pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([hashlib.sha256(d[2]).hexdigest() for d in done], pa.string())]
+        return pa.RecordBatch.from_arrays([*out, pa.array([d[2].decode() for d in done], pa.string())] if with_text else out, names)
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            batch = batch.filter(pa.array(~held.value.passes(batch.column("k").to_numpy())))
+            yield rows(batch.column("did"), [t.encode() for t in batch.column("text").to_pylist()], [None] * batch.num_rows)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches, "text", 4 << 20):
-            total, removed, sha, kept = [], [], [], []
-            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                words = text.encode().split()
-                total.append(len(words))
-                if ranges:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, [r["a"] for r in ranges], 1)
-                    np.add.at(edge, [r["b"] for r in ranges], -1)
-                    stays = np.cumsum(edge[:-1]) == 0
-                    words = [w for w, s in zip(words, stays.tolist()) if s]
-                removed.append(total[-1] - len(words))
-                left = b" ".join(words)
-                sha.append(hashlib.sha256(left).hexdigest())
-                if with_text:
-                    kept.append(left.decode())
-            out = [batch.column("did"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), *([pa.array(kept, pa.string())] if with_text else [])]
-            yield pa.RecordBatch.from_arrays(out, ["did", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])])
-
-    joined = base.join(spans, ["did", "h"], "left").select("did", "text", "spans")
-    done = joined.mapInArrow(cut, "did long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
-    return done.select(doc_id(), "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else []))
+            batch = batch.filter(pa.array(held.value.passes(batch.column("k").to_numpy())))
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("h"), pa.array([pack.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["did", "h", "packed"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in slices(batches, "packed", 2 << 20):
+            yield rows(batch.column("did"), [unpack.decompress(p) for p in batch.column("packed").to_pylist()], batch.column("spans").to_pylist())
+
+    # only texts that lose words move, compressed; the others are done where they are read
+    marked = base.withColumn("k", key)
+    some = marked.mapInArrow(packed, "did long, h long, packed binary").join(spans, ["did", "h"], "left").select("did", "packed", "spans")
+    done = marked.mapInArrow(untouched, schema).unionByName(some.mapInArrow(cut, schema))
+    return done.select(doc_id(), *names[1:])
