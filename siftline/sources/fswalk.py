@@ -210,7 +210,7 @@ def relisted(spark: SparkSession, root: str, index: DataFrame, rescan_all: bool
         own = rows.select("dir", F.explode("files").alias("name", "s")).select(F.concat_ws("/", "dir", "name").alias("path"), "s.size", "s.dev", "s.ino")
         here = stamped.join(rows.select("dir", "reused"), "dir")
         files, folders = (own, here) if files is None else (files.unionByName(own), folders.unionByName(here))
-        level = rows.select(F.concat_ws("/", "dir", F.explode("subdirs")).alias("dir"))
+        level = rows.select("dir", F.explode("subdirs").alias("name")).select(F.concat_ws("/", "dir", "name").alias("dir"))
     if files is None:
         raise InvalidRoot(root)
     return files, folders
@@ -272,7 +272,7 @@ def read_hashes(files: DataFrame, sample: int | None = None, algorithm: str = "s
 
     from pyspark.sql.types import StringType, StructType
 
-    schema = StructType(files.schema.fields).add("digest", StringType()).add("error", StringType())
+    schema = StructType(list(files.schema.fields)).add("digest", StringType()).add("error", StringType())
     return files.mapInArrow(run, schema)
 
 
