@@ -28,8 +28,14 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 NO_ID = (1 << 63) - 1
 
 
+#: A table with fewer bytes than this for each core is dealt anew: its file may well be one task's.
+CORE_BYTES = 4 << 20
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name == "documents" and plan_bytes(df) < CORE_BYTES * cores else df
 
 
 def plan_bytes(df: DataFrame) -> int:

@@ -4,11 +4,15 @@ Sets of word shingles fall into size bands, each as wide as similar sets' sizes
 differ in at most k elements. PartEnum deals the domain of elements to n1 parts of `PARTS` subparts; with n1 above k / 2,
 two similar sets agree in all but one subpart of some part, so each set gets a signature for each choice of PARTS - 1
 subparts of each part, and similar sets share one. A set also gets the signatures of the next band, for larger partners.
+Signatures of no elements tell nothing, so `spare(n1)` more parts are dealt: similar sets then agree in so many parts
+that a set with at most as many empty ones can do without them; only sets with more keep theirs, as their partners do.
 
 Sets that share a signature are compared with the smallest document among them only (a star, first within a block of
 input, then among blocks' smallest), never all with all. Where a comparison fails, the members of that signature which
-are still in different components are compared by parity sketches, which bound their difference from below, and what
-is left by their sets. So no link between components is lost.
+are still in different components are compared with each other. So no link between components is lost.
+
+Before sets move to be compared, parity sketches are: two of them differ in at most as many bits as their sets do in
+elements, so pairs that are too far apart go without losing any other.
 """
 
 from __future__ import annotations
@@ -21,13 +25,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import NO_ID, ODD, Bloom, flat, gram_hashes, keyed, mixed, plan_bytes, saved, shuffle_partitions, slices, span_hashes, word_spans
+from siftline.llm.common import NO_ID, ODD, Bloom, flat, gram_hashes, keyed, mixed, plan_bytes, saved, shuffle_partitions, slices, span_hashes, trim, word_spans
 from siftline.operators.components import components
 
 WORDS, PERCENT = 3, 90
 PARTS = 3
-#: Bits of a parity sketch.
-SKETCH = 2048
+#: Powers of two that bound the bits of a parity sketch; in between, it has two bits an element or more.
+SKETCH = 11, 16
 BUCKET_BYTES = 2 << 20
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377], np.uint64)
 
@@ -55,6 +59,11 @@ def bands(longest: int, percent: int) -> list[int]:
     return [*out[1:], (out[-1] + 1) * 100 // percent]
 
 
+def spare(n1: np.ndarray) -> np.ndarray:
+    """Parts with an empty signature that a set can do without."""
+    return np.select([n1 >= 10, n1 >= 5, n1 >= 3], [3 + n1 // 50, 2, 1], 0)
+
+
 def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures, and the set each belongs to."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -70,34 +79,39 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     for step in (0, 1):
         band = own + step
         k = differ[band]
-        n1 = np.where(sizes > 0, k // 2 + 1, 0)
+        extra = spare(k // 2 + 1)
+        n1 = np.where(sizes > 0, k // 2 + 1 + extra, 0)
         base = np.concatenate([[0], np.cumsum(n1)])
         p1 = ((part * n1[of].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        place = (base[of] + p1) * PARTS + np.where(k[of] == 0, 0, sub.astype(np.int64))
         sums = np.zeros(base[-1] * PARTS, np.uint64)
-        np.add.at(sums, (base[of] + p1) * PARTS + np.where(k[of] == 0, 0, sub.astype(np.int64)), weight)
+        np.add.at(sums, place, weight)
         sums = sums.reshape(-1, PARTS)
+        some = np.bincount(place, minlength=base[-1] * PARTS).reshape(-1, PARTS)
         doc = np.repeat(np.arange(len(sets)), n1)
-        place = (band[doc] * 1_000_003 + np.arange(base[-1]) - base[doc]).astype(np.uint64)
-        total = sums.sum(1, dtype=np.uint64)
+        where = (band[doc] * 1_000_003 + np.arange(base[-1]) - base[doc]).astype(np.uint64)
+        total, all_ = sums.sum(1, dtype=np.uint64), some.sum(1)
+        # a part with all elements in one subpart, or with none, has an empty signature
+        bare = np.bincount(doc, weights=(some == all_[:, None]).any(1), minlength=len(sets))
+        thin = (bare > extra)[doc]
         for j in range(PARTS):
-            keep = k[doc] > 0 if j else np.ones(len(doc), bool)
-            left = total if not j else total - sums[:, j]
             # with k = 0, all is in the first subpart, and the whole set is its one signature
-            left = np.where(k[doc] > 0, total - sums[:, j], left)
-            found.append(mixed(mixed(left + ODD) + place * np.uint64(PARTS) + np.uint64(j))[keep])
+            left = np.where(k[doc] > 0, total - sums[:, j], total)
+            keep = (k[doc] > 0) & ((some[:, j] < all_) | thin) | (k[doc] == 0) & (j == 0)
+            found.append(mixed(mixed(left + ODD) + where * np.uint64(PARTS) + np.uint64(j))[keep])
             whose.append(doc[keep])
     return np.concatenate(found), np.concatenate(whose)
 
 
 def star(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows with one key: edges from the smallest node to the others, and the rows of smallest nodes."""
+    """The order of rows by key and node, and in that order the smallest node and the number of rows of each one's key."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
-    hub = nodes[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(keys) else nodes
-    edge = hub != nodes
-    return hub[edge], nodes[edge], order[new]
+    heads = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    return order, nodes[heads[group]], np.diff(np.append(heads, len(keys)))[group]
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -109,11 +123,39 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-CANDIDATE, SAME, DOCUMENT = 0, 1, 2
+def sketch(values: np.ndarray) -> bytes:
+    """The parity of the number of elements that fall on each bit."""
+    bits = 1 << min(SKETCH[1], max(SKETCH[0], (2 * len(values) - 1).bit_length() if len(values) else 0))
+    return np.packbits(np.bincount((mixed(values ^ SEEDS[4]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A sketch in `size` bytes: its parts, added up without carry."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
+
+
+def within(n: np.ndarray | int, m: np.ndarray | int, differ: np.ndarray | int, percent: int) -> np.ndarray | bool:
+    """Whether sets of n and m elements that differ in `differ` may link."""
+    return differ * (100 + percent) <= (n + m) * (100 - percent)
+
+
+def near(one: bytes, n: int, two: bytes, m: int, percent: int) -> bool:
+    """Whether two sketches leave a link possible."""
+    if not within(n, m, abs(n - m), percent):
+        return False
+    a, b = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
+    size = min(len(a), len(b))
+    return bool(within(n, m, int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum()), percent))
+
+
+CANDIDATE, SAME, DOCUMENT, MEMBER = 0, 1, 2, 3
+#: A signature that more documents of one block share sends on the smallest of them only.
+CROWD = 64
 
 
 def candidates(base: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b, kind: pairs to compare, pairs with equal sets, and (DOCUMENT) each row's did and number of shingles."""
+    """a, b, kind, bits: pairs to compare, pairs with equal sets, each row's did, number of shingles and sketch (DOCUMENT),
+    and documents by a signature, or a number for several signatures, that at least three share (MEMBER)."""
     buckets = max(shuffle_partitions(base.sparkSession), plan_bytes(base) // BUCKET_BYTES, 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,37 +177,79 @@ def candidates(base: DataFrame, n: int, percent: int) -> DataFrame:
                         same.append((did[j], did[i]))
             sig, of = signatures([sets[i] for i in mine], percent)
             node = did[np.array(mine, np.int64)][of] if mine else np.zeros(0, np.int64)
-            a, b, hubs = star(sig, node)
-            edges = np.unique(np.stack([a, b], 1), axis=0)
-            rows = np.concatenate([np.c_[edges, np.full(len(edges), CANDIDATE)], np.array([(x, y, SAME) for x, y in same], np.int64).reshape(-1, 3), np.c_[did, sizes, np.full(len(did), DOCUMENT)]])
-            sig, node = sig[hubs], node[hubs]
+            order, hub, size = star(sig, node)
+            sig, node, crowd = sig[order], node[order], size > CROWD
+            edges = np.unique(np.stack([hub, node], 1)[crowd & (node != hub)], axis=0)
+            held = np.c_[sig.view(np.int64), node, np.full(len(node), MEMBER)][crowd]
+            on = ~crowd | (node == hub)
+            sig, node, crowd = sig[on], node[on], crowd[on].astype(np.uint8)
+            rows = np.concatenate([np.c_[edges, np.full(len(edges), CANDIDATE)], held, np.array([(x, y, SAME) for x, y in same], np.int64).reshape(-1, 3)])
             to, row_to = (sig % np.uint64(buckets)).astype(np.int64), (mixed(rows[:, 1].astype(np.uint64) ^ rows[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             order, row_order = np.lexsort((node, to)), np.argsort(row_to, kind="stable")
-            sig, node, to, rows, row_to = sig[order], node[order], to[order], rows[row_order], row_to[row_order]
-            used, blocks = np.union1d(to, row_to), []
+            sig, node, crowd, to, rows, row_to = sig[order], node[order], crowd[order], to[order], rows[row_order], row_to[row_order]
+            doc_to = (mixed(did.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            docs_of: dict[int, list[int]] = {}
+            for i, k in enumerate(doc_to.tolist()):
+                docs_of.setdefault(k, []).append(i)
+            used, blocks = np.unique(np.concatenate([to, row_to, doc_to])), []
             for k in used.tolist():
                 x, y = np.searchsorted(to, [k, k + 1])
                 u, v = np.searchsorted(row_to, [k, k + 1])
-                step = np.diff(node[x:y], prepend=0)
-                blocks.append(pack.compress(np.array([y - x, v - u], "<i8").tobytes() + step.astype("<i8").tobytes() + sig[x:y].tobytes() + rows[u:v].T.astype("<i8").tobytes()))
+                own = docs_of.get(k, [])
+                bits = [sketch(sets[i]) for i in own]
+                parts = [np.array([y - x, v - u, len(own)], "<i8"), np.diff(node[x:y], prepend=0).astype("<i8"), sig[x:y], rows[u:v].T.astype("<i8"), did[own].astype("<i8"), sizes[own].astype("<i8"), np.array([len(b) for b in bits], "<i8"), crowd[x:y]]
+                blocks.append(pack.compress(b"".join(p.tobytes() for p in parts) + b"".join(bits)))
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
     def receive(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
-        sig, node, rows = [], [], []
+        sig, node, crowd, rows, docs, bits = [], [], [], [], [], []
         for block in table.column("block").to_pylist():
             raw = unpack.decompress(block)
-            m, r = np.frombuffer(raw, "<i8", 2).tolist()
-            node.append(np.cumsum(np.frombuffer(raw, "<i8", m, 16)))
-            sig.append(np.frombuffer(raw, "<u8", m, 16 + 8 * m))
-            rows.append(np.frombuffer(raw, "<i8", 3 * r, 16 + 16 * m).reshape(3, -1).T)
-        a, b, _ = star(np.concatenate(sig), np.concatenate(node))
-        edges = np.unique(np.stack([a, b], 1), axis=0)
-        rows = np.concatenate([*rows, np.c_[edges, np.full(len(edges), CANDIDATE)]])
-        return pa.table({"a": rows[:, 0], "b": rows[:, 1], "kind": rows[:, 2].astype(np.int32)})
+            m, r, d = np.frombuffer(raw, "<i8", 3).tolist()
+            node.append(np.cumsum(np.frombuffer(raw, "<i8", m, 24)))
+            sig.append(np.frombuffer(raw, "<u8", m, 24 + 8 * m))
+            at = 24 + 16 * m
+            rows.append(np.frombuffer(raw, "<i8", 3 * r, at).reshape(3, -1).T)
+            at += 24 * r
+            did, n, size = np.frombuffer(raw, "<i8", 3 * d, at).reshape(3, -1)
+            docs.append(np.c_[did, n, np.full(d, DOCUMENT)])
+            at += 24 * d
+            crowd.append(np.frombuffer(raw, np.uint8, m, at))
+            at += m
+            for k in size.tolist():
+                bits.append(raw[at : at + k])
+                at += k
+        sig, node = np.concatenate(sig), np.concatenate(node)
+        order, hub, size = star(sig, node)
+        sig, node, crowd = sig[order], node[order], np.concatenate(crowd)[order].astype(np.int64)
+        edges = np.unique(np.stack([hub, node], 1)[node != hub], axis=0)
+        head = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]][: len(sig)])
+        of = np.repeat(np.arange(len(head)), size[head])
+        if len(head):
+            # the documents of a signature of three or more, once for all signatures with just these
+            crowd = np.add.reduceat(crowd, head) > 0
+            name = np.where(crowd, sig[head], np.add.reduceat(mixed(node.astype(np.uint64)), head))
+            open_ = (crowd | (size[head] > 2)) & np.isin(np.arange(len(head)), np.unique(name, return_index=True)[1])
+            rows.append(np.c_[name[of].view(np.int64), node, np.full(len(node), MEMBER)][open_[of]])
+        rows = np.concatenate([*rows, np.c_[edges, np.full(len(edges), CANDIDATE)], *docs])
+        trim()
+        return pa.table({"a": rows[:, 0], "b": rows[:, 1], "kind": rows[:, 2].astype(np.int32), "bits": pa.array([None] * (len(rows) - len(bits)) + bits, pa.binary())})
 
     sent = base.select("did", "text").mapInArrow(send, "bucket long, block binary")
-    return sent.groupBy("bucket").applyInArrow(receive, "a long, b long, kind int")
+    return sent.groupBy("bucket").applyInArrow(receive, "a long, b long, kind int, bits binary")
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """a, b of those pairs whose sketches (did, n, bits) leave a link possible."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "two", 4 << 20):
+            ok = [near(*x, percent) for x in zip(*(batch.column(c).to_pylist() for c in ("one", "n", "two", "m")))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    one, two = (sketches.select(F.col("did").alias(x), F.col("n").alias(n), F.col("bits").alias(y)) for x, n, y in (("a", "n", "one"), ("b", "m", "two")))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "one", "n", "two", "m").mapInArrow(check, "a long, b long").distinct()
 
 
 def sets_of(base: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -195,43 +279,59 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b", "one", "two").mapInArrow(check, "a long, b long, link boolean").groupBy("a", "b").agg(F.max("link").alias("link"))
 
 
-def unlinked(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """a, b: documents of different components that share a signature and whose sketches don't rule a link out."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "shingles", 4 << 20):
-            held = [np.frombuffer(x, "<u8") for x in batch.column("shingles").to_pylist()]
-            sig, of = signatures(held, percent)
-            yield pa.RecordBatch.from_arrays([batch.column("did").take(pa.array(of)), pa.array(sig.view(np.int64))], ["did", "sig"])
+def open_pairs(did: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray, failed: list[set[int]], percent: int) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of different components whose sketches don't rule a link out and that haven't failed, and whether these are all.
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "shingles", 4 << 20):
-            held = [np.frombuffer(x, "<u8") for x in batch.column("shingles").to_pylist()]
-            bits = [np.packbits(np.bincount((mixed(v ^ SEEDS[4]) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes() for v in held]
-            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array([len(v) for v in held], pa.int64()), pa.array(bits, pa.binary())], ["did", "n", "bits"])
+    If there are more than rows, only each component's nearest is given: once it is compared, components merge or it is
+    out of the way, and the others are looked at again.
+    """
+    _, comp = np.unique(comp, return_inverse=True)
+    out: list[tuple[int, int]] = []
+    whole = True
+    best = np.full(comp.max() + 1, 1 << 40)
+    nearest = np.zeros((comp.max() + 1, 2), np.int64)
+    for i in range(len(did) - 1):
+        j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (did[i + 1 :] != did[i]))
+        j = j[within(n[j], n[i], np.abs(n[j] - n[i]), percent)]
+        far = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+        ok = within(n[j], n[i], far, percent)
+        j, far = j[ok], far[ok]
+        if failed[i]:
+            ok = np.array([d not in failed[i] for d in did[j].tolist()], bool)
+            j, far = j[ok], far[ok]
+        if not len(j):
+            continue
+        if whole:
+            out += [(i, k) for k in j.tolist()]
+            whole = len(out) <= len(did)
+        order = np.argsort(far, kind="stable")
+        _, first = np.unique(comp[j[order]], return_index=True)
+        for k, d in zip(j[order][first].tolist(), far[order][first].tolist()):
+            for c in (comp[i], comp[k]):
+                if d < best[c]:
+                    best[c], nearest[c] = d, (i, k)
+    if not whole:
+        out = list({tuple(x) for x in nearest[best < 1 << 40].tolist()})
+    return [(min(did[i], did[k]), max(did[i], did[k])) for i, k in out], whole
+
+
+def unlinked(members: DataFrame, sketches: DataFrame, labels: DataFrame, failed: DataFrame, percent: int) -> DataFrame:
+    """a, b, whole: pairs of members (sig, did) that share a signature, are in different components and may link."""
 
     def pairs(table: pa.Table) -> pa.Table:
         did, comp, n = (table.column(c).to_numpy() for c in ("did", "component", "n"))
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(did), -1)
-        left, right = [], []
-        for i in range(len(did) - 1):
-            j = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
-            total = n[j] + n[i]
-            j = j[(np.abs(n[j] - n[i]) * (100 + percent) <= total * (100 - percent))]
-            far = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-            j = j[far * (100 + percent) <= (n[j] + n[i]) * (100 - percent)]
-            left.append(np.full(len(j), did[i]))
-            right.append(did[j])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    of = sets.join(labels.select(F.col("node").alias("did"), "component"), "did", "left").select("did", "shingles", F.coalesce("component", "did").alias("component"))
-    held = of.select("did", "shingles").mapInArrow(rows, "did long, sig long").join(of.select("did", "component").distinct(), "did")
-    mixed_ = held.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-    members = saved(held.join(mixed_, "sig").distinct(), "mixed-signatures")
-    sketches = sets.mapInArrow(sketch, "did long, n long, bits binary").join(members.select("did").distinct(), "did", "left_semi")
-    found = members.join(sketches, "did").groupBy("sig").applyInArrow(pairs, "a long, b long")
-    return found.where("a <> b").distinct()
+        held = [np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]
+        size = min(map(len, held))
+        found, whole = open_pairs(did, comp, n, np.stack([folded(x, size) for x in held]).view(np.uint64), [set(f or ()) for f in table.column("failed").to_pylist()], percent)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64()), "whole": pa.array([whole] * len(found), pa.bool_())})
+
+    of = labels.select(F.col("node").alias("did"), "component")
+    now = members.join(of, "did", "left").select("did", "sig", F.coalesce("component", "did").alias("component"))
+    several = now.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
+    known = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("did")).agg(F.collect_set("b").alias("failed"))
+    live = now.join(several, "sig", "left_semi").join(sketches.join(known, "did", "left"), "did")
+    found = live.groupBy("sig").applyInArrow(pairs, "a long, b long, whole boolean")
+    return found.groupBy("a", "b").agg(F.min("whole").alias("whole"))
 
 
 def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -244,24 +344,31 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     """
     base = keyed(docs)
     rows = saved(candidates(base, n, percent), "partenum")
-    pairs = rows.where(F.col("kind") == CANDIDATE).select("a", "b").distinct()
+    sketches = rows.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("did"), F.col("b").alias("n"), "bits")
+    pairs = saved(rows.where(F.col("kind") == CANDIDATE).select("a", "b").distinct(), "pairs")
     links = rows.where(F.col("kind") == SAME).select("a", "b")
+    labels = None
     if not pairs.isEmpty():
-        pairs = saved(pairs, "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("did")).distinct()
-        sets = saved(sets_of(base, ids, n), "sets")
-        checked = saved(compared(pairs, sets, percent), "compared")
+        close = saved(possible(pairs, sketches, percent), "possible")
+        sets = saved(sets_of(base, close.select(F.explode(F.array("a", "b")).alias("did")).distinct(), n), "sets")
+        checked = saved(compared(close, sets, percent), "compared")
         links = saved(links.unionByName(checked.where("link").select("a", "b")), "links")
-        if not checked.where("not link").isEmpty():
-            labels = components(links)
-            more = saved(unlinked(sets, labels, percent).join(checked, ["a", "b"], "left_anti"), "unlinked")
-            if not more.isEmpty():
-                links = links.unionByName(compared(more, sets, percent).where("link").select("a", "b"))
-                labels = components(links)
-        else:
-            labels = components(links)
-    else:
+        failed = checked.where("not link").select("a", "b")
         labels = components(links)
+        members = rows.where(F.col("kind") == MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("did")).distinct()
+        # a hub's pair that doesn't link leaves open whether the others of that signature do
+        while True:
+            more = saved(unlinked(members, sketches, labels, failed, percent), "unlinked")
+            if more.isEmpty():
+                break
+            sets = saved(sets_of(base, more.select(F.explode(F.array("a", "b")).alias("did")).distinct(), n), "sets")
+            checked = saved(compared(more.select("a", "b"), sets, percent), "compared")
+            links = saved(links.unionByName(checked.where("link").select("a", "b")), "links")
+            failed = saved(failed.unionByName(checked.where("not link").select("a", "b")), "failed")
+            labels = components(links)
+            if more.where("not whole").isEmpty():
+                break
+    labels = components(links) if labels is None else labels
     counted = rows.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("node"), F.col("b").alias("n_shingles"))
     known = F.col("node") != NO_ID
     return counted.join(labels, "node", "left").select(F.when(known, F.col("node")).alias("doc_id"), "n_shingles", F.when(known, F.coalesce("component", "node")).alias("component_id"))

@@ -133,6 +133,13 @@ def test_jaccard(docs, rows, n: int, percent: int) -> None:  # noqa: ANN001
     same(partenum.jaccard_components(docs, n, percent), brute.jaccard(rows, n, percent), "doc_id n_shingles component_id")
 
 
+@pytest.mark.parametrize("crowd", [1, 3])
+def test_jaccard_with_stars_in_blocks(docs, rows, monkeypatch, crowd: int) -> None:  # noqa: ANN001
+    monkeypatch.setattr(partenum, "CROWD", crowd)
+    same(partenum.jaccard_components(docs, 2, 60), brute.jaccard(rows, 2, 60), "doc_id n_shingles component_id")
+    same(partenum.jaccard_components(docs), brute.jaccard(rows), "doc_id n_shingles component_id")
+
+
 def test_jaccard_of_nothing(none) -> None:  # noqa: ANN001
     assert partenum.jaccard_components(none).count() == 0
 
@@ -152,6 +159,36 @@ def test_no_link_is_lost_where_stars_fail(spark) -> None:  # noqa: ANN001
     same(partenum.jaccard_components(table(spark, rows)), brute.jaccard(rows), "doc_id n_shingles component_id")
 
 
+def test_many_near_sets_of_one_signature(spark) -> None:  # noqa: ANN001
+    """More open pairs than rows: components' nearest pairs first, round by round, to the same result."""
+    r = random.Random(21)
+    base = [f"t{i}" for i in range(120)]
+    rows = []
+    for k in range(80):
+        w = list(base)
+        for _ in range(2):
+            w[r.randrange(120)] = f"n{k}{r.random()}"
+        rows.append((k, " ".join(w)))
+    real = partenum.open_pairs
+    seen = []
+
+    def counted(*args):  # noqa: ANN002, ANN202
+        found = real(*args)
+        seen.append(found[1])
+        return found
+
+    wanted = brute.jaccard(rows)
+    same(partenum.jaccard_components(table(spark, rows)), wanted, "doc_id n_shingles component_id")
+    comp = np.arange(80)
+    bits = np.zeros((80, 32), np.uint64)
+    found, whole = counted(np.arange(80), comp, np.full(80, 118), bits, [set()] * 80, 90)
+    assert not whole and 0 < len(found) <= 80
+    found, whole = counted(np.arange(80), comp // 40, np.full(80, 118), bits, [set()] * 79 + [{0}], 90)
+    assert not whole and len(found) == 1
+    found, whole = counted(np.arange(3), comp[:3], np.full(3, 118), bits[:3], [{1}, {0}, set()], 90)
+    assert whole and sorted(found) == [(0, 2), (1, 2)]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.integers(1, 400), st.sampled_from([60, 80, 90, 95]), st.integers(0, 2**32))
 def test_similar_sets_share_a_signature(size: int, percent: int, seed: int) -> None:
