@@ -149,6 +149,8 @@ def near(one: bytes, n: int, two: bytes, m: int, percent: int) -> bool:
 
 
 CANDIDATE, SAME, DOCUMENT, MEMBER = 0, 1, 2, 3
+#: Open pairs of a signature for each of its documents that are all given at once.
+OPEN = 1
 #: A signature that more documents of one block share sends on the smallest of them only.
 CROWD = 64
 
@@ -282,7 +284,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def open_pairs(did: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray, failed: list[set[int]], percent: int) -> tuple[list[tuple[int, int]], bool]:
     """Pairs of different components whose sketches don't rule a link out and that haven't failed, and whether these are all.
 
-    If there are more than rows, only each component's nearest is given: once it is compared, components merge or it is
+    If there are more than OPEN a row, only each component's nearest is given: once it is compared, components merge or it is
     out of the way, and the others are looked at again.
     """
     _, comp = np.unique(comp, return_inverse=True)
@@ -303,7 +305,7 @@ def open_pairs(did: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarra
             continue
         if whole:
             out += [(i, k) for k in j.tolist()]
-            whole = len(out) <= len(did)
+            whole = len(out) <= OPEN * len(did)
         order = np.argsort(far, kind="stable")
         _, first = np.unique(comp[j[order]], return_index=True)
         for k, d in zip(j[order][first].tolist(), far[order][first].tolist()):
@@ -355,7 +357,7 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
         links = saved(links.unionByName(checked.where("link").select("a", "b")), "links")
         failed = checked.where("not link").select("a", "b")
         labels = components(links)
-        members = rows.where(F.col("kind") == MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("did")).distinct()
+        members = saved(rows.where(F.col("kind") == MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("did")).distinct(), "members")
         # a hub's pair that doesn't link leaves open whether the others of that signature do
         while True:
             more = saved(unlinked(members, sketches, labels, failed, percent), "unlinked")
