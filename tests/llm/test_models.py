@@ -86,6 +86,32 @@ def test_lm_is_a_distribution_and_beats_its_base(spark, monkeypatch) -> None:  #
     assert sum(10 ** first[i] for i in held_ids) < 1
 
 
+def test_lm_classes_of_rare_words(spark, monkeypatch) -> None:  # noqa: ANN001
+    """Two kinds of words take turns; all end alike and most aren't units, so only classes of their own tell them apart."""
+    r = random.Random(6)
+    kinds = [f"a{k}zz" for k in range(150)], [f"b{k}zz" for k in range(150)]
+    text = lambda k: " ".join(r.choice(kinds[i % 2]) for i in range(30)) + f" once{k}zz"
+    rows = [(k, text(k)) for k in range(300)]
+    monkeypatch.setattr(brown, "WORDS", 60)
+    monkeypatch.setattr(brown, "CLASSES", 4)
+    for head in (200, brown.HEAD):
+        monkeypatch.setattr(brown, "HEAD", head)
+        held = [x for x in brown.lm_scores(table(spark, rows)).collect() if x["held_out"]]
+        # the known kind of each word is worth up to log10(2) = 0.3
+        assert np.mean([(x["score"] - x["base_score"]) / x["n_tokens"] for x in held]) > 0.15
+        scores = sorted((x["doc_id"], x["score"]) for x in held)
+        if head == 200:
+            joined = scores
+    assert np.allclose(joined, scores, rtol=1e-9)
+
+
+def test_head_words_of_flat_counts(spark) -> None:  # noqa: ANN001
+    words = spark.range(4000).selectExpr("cast(cast(id as string) as binary) as word", "if(id < 10, 900L, 3L) as n")
+    found = brown.head_words(words, 1000).collect()
+    assert 900 < len(found) < 1100 and sum(x["n"] == 900 for x in found) == 10
+    assert brown.head_words(words, 5000).count() == 4000
+
+
 def test_exchange_finds_classes() -> None:
     """Three kinds of words that follow one another in a ring."""
     b = np.zeros((18, 18))
