@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Each language gets a model of `ORDER` characters from the whole texts of a bounded sample of its rows: at most ROWS of
-them, chosen by a hash. Characters are lower-cased letters of a common alphabet; all others are one boundary. An n-gram
+Each language gets a model of `ORDER` characters from a bounded sample of its distinct whole texts: the ROWS with the
+smallest hashes, or all if there are no more. Characters are lower-cased letters of a common alphabet; all others are one boundary. An n-gram
 is a number of 12 bits a character; sorted arrays of these numbers hold the counts. A text gets the language of the
 lowest cross-entropy per character. A part of the sample isn't counted but calibrates: a temperature turns differences
 of cross-entropy into a score, and a quantile of the true language's cross-entropy is the limit beyond which a prediction
@@ -15,13 +15,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import doc_id, in_fold, slices, NO_ID
+from siftline.llm.common import doc_id, in_fold, saved, slices, NO_ID
 
 ORDER, BITS = 5, 12
-#: Rows of each language that are read for its model, and the share of them that calibrates.
+#: Distinct texts of each language that are read for its model, and of which one calibrates.
 ROWS, CALIBRATE = 2000, 10
 QUANTILE, MARGIN = 0.995, 1.15
 UNKNOWN = "und"
@@ -122,17 +122,27 @@ class Identifier:
         self.limit = float(np.quantile(cross[own], QUANTILE) * MARGIN)
 
 
+def sample(docs: DataFrame, rows: int = ROWS) -> DataFrame:
+    """lang, text, calibrates: of each lang the `rows` distinct texts with the smallest hashes. A lang of few texts only trains."""
+    deal = F.xxhash64(F.lit(3), "text")
+    distinct = saved(docs.select("lang", deal.alias("deal")).distinct(), "texts")
+    many = distinct.groupBy("lang").agg(F.count("*").alias("many"))
+    # the window only sees about twice the rows that it leaves
+    place = F.pmod(F.col("deal"), F.lit(1 << 40))
+    some = distinct.join(F.broadcast(many), "lang").where(place < F.lit(float(1 << 40)) * (2 * rows + 100) / F.col("many"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(place, "deal"))
+    chosen = some.withColumn("turn", turn).where(F.col("turn") <= rows).select("lang", "deal", (F.col("turn") % CALIBRATE == 0).alias("calibrates"))
+    return docs.withColumn("deal", deal).join(F.broadcast(chosen), ["lang", "deal"]).groupBy("lang", "deal", "calibrates").agg(F.min("text").alias("text")).select("lang", "text", "calibrates")
+
+
 def learned(docs: DataFrame, rows: int = ROWS) -> Identifier | None:
     """From text and lang of docs; None where no row has a lang."""
     docs = docs.where(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    many = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
-    if not many:
+    some = saved(sample(docs, rows), "sample")
+    langs = sorted(r["lang"] for r in some.select("lang").distinct().collect())
+    if not langs:
         return None
-    langs = sorted(many)
-    parts = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(1_000_000 * min(1.0, rows / many[lang])))])
-    deal = F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1_000_000))
-    some = docs.where(deal < parts[F.col("lang")])
-    calibrates = F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(CALIBRATE)) == 0
+    calibrates = F.col("calibrates")
 
     def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0x110000, np.int64)

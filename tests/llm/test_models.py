@@ -230,6 +230,20 @@ def test_language(spark, docs, none) -> None:  # noqa: ANN001
     assert {r["lang_pred"] for r in language.languages(docs.drop("lang").selectExpr("*", "cast(null as string) as lang")).collect()} == {"und"}
 
 
+def test_languages_of_few_texts_with_many_copies(spark) -> None:  # noqa: ANN001
+    """Each is learned, with no text twice, however the texts' hashes fall."""
+    few = {f"l{k}": [" ".join(f"{a}{b}{a}" for b in "aeiou") + f" {a * n}" for n in range(1, 4)] for k, a in enumerate("bcdfghjk")}
+    rows = [(lang, t) for lang, texts in few.items() for t in texts * 100] + [("many", f"x{chr(97 + k % 26)}{chr(97 + k // 26)}") for k in range(400)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    assert language.learned(docs, 20).langs == sorted([*few, "many"])
+    drawn = language.sample(docs.select("lang", "text"), 20).collect()
+    assert {lang: sorted(r["text"] for r in drawn if r["lang"] == lang) for lang in few} == {k: sorted(v) for k, v in few.items()}
+    assert not any(r["calibrates"] for r in drawn if r["lang"] in few)
+    assert sum(r["lang"] == "many" for r in drawn) == 20 and sum(r["calibrates"] for r in drawn) == 2
+    own = dict(zip(range(len(rows)), rows))
+    assert all(r["lang_pred"] == own[r["doc_id"]][0] for r in language.languages(docs, rows=20).collect() if own[r["doc_id"]][0] in few)
+
+
 def test_kneser_ney_sums_to_one() -> None:
     ids = np.zeros(0x110000, np.uint16)
     for k, c in enumerate("abc"):
