@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.tables import saved
+from siftline.tables import dropped, saved
 
 
 def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).mapInArrow(forest, "a long, b long")
-    before = None
+    before, old = None, []
     while True:
         # large star: each node hands its smallest neighbour to all larger ones
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -52,7 +52,9 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: each node and its smaller neighbours point to the smallest
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = saved(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        spent, edges = [*old, large], saved(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        dropped(*spent)
+        old = [edges]
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
