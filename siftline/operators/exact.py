@@ -1,7 +1,8 @@
 """Exact duplicate groups of files by a funnel: size, samples, whole content, and bytes if asked for.
 
-Contents never move. In tables they are hashed where they are read, and only digests are grouped; in trees, only paths
-that survive a stage are read in the next. A group's files are rows of `members`; `groups` gathers them into lists.
+In tables contents are hashed where they are read, in one scan, and only digests are grouped: to prune by size would take a
+scan of its own, as a column must be read to know its sizes. In trees, only paths that survive a stage are read in the next. Contents move in `verified` alone, those of groups' members. A group's files are rows of `members`;
+`groups` gathers them into lists.
 """
 
 from __future__ import annotations

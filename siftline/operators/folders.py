@@ -2,8 +2,8 @@
 
 Each file stands in a row for each folder above it, with its path from there: no recursion. A folder is fully duplicated
 if all its files have a group; equal sets of (relative path, group) are exact duplicates, and a folder is contained
-in another that has each of its pairs. Only folders that are candidates are gathered for claiming: from the top, folders
-at or below a claimed one are passed over, in the order of depth, then path.
+in another that has each of its pairs. Matches are claimed from the top: folders at or below a claimed one are passed over,
+in the order of depth, then path. A round claims at once all matches that no earlier one can touch.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import paths
+from siftline.tables import dropped, saved
 
 
 def closure(files: DataFrame, members: DataFrame, root: str) -> DataFrame:
@@ -65,47 +66,49 @@ def contained(signed: DataFrame, closed: DataFrame) -> DataFrame:
     return both.groupBy("subset", "superset", "file_count", "bytes").agg(F.count("*").alias("n")).where("n = file_count").drop("n")
 
 
-def claimed(clusters: list[tuple[str, list[str], int, int]], subsets: list[tuple[str, str, int, int]]) -> list[tuple]:
-    """(kind, folders, subset, superset, file_count, bytes) of candidates, from the top.
+def claimed(clusters: DataFrame, subsets: DataFrame) -> DataFrame:
+    """match, dir of the folders that matches claim, from the top.
 
-    clusters: signature, folders, file_count, bytes. subsets: subset, superset, file_count, bytes.
+    clusters: sig, dir. subsets: subset. A cluster is looked at when the first of its folders that is free comes up, and
+    claims all that are free if they are several; a subset claims itself. A folder is free unless one at or above it is
+    claimed. In each round, of two matches with a folder of one above a folder of the other, that which comes up later
+    waits; all others claim, and what they cover is struck off. The first match of all never waits.
     """
-    of = {d: (key, folders, n, size) for key, folders, n, size in clusters for d in folders}
-    within: dict[str, list[tuple[str, int, int]]] = {}
-    for sub, sup, n, size in subsets:
-        within.setdefault(sub, []).append((sup, n, size))
-    taken: set[str] = set()
-    done: set[str] = set()
-
-    def covered(d: str) -> bool:
-        parts = d.split("/")
-        return any("/".join(parts[:i]) in taken for i in range(1, len(parts) + 1))
-
-    out = []
-    for d in sorted({*of, *within}, key=lambda d: (d.count("/"), d.split("/"))):
-        if covered(d):
-            continue
-        if d in of:
-            key, folders, n, size = of[d]
-            if key not in done:
-                done.add(key)
-                free = sorted((f for f in folders if not covered(f)), key=lambda f: f.split("/"))
-                if len(free) > 1:
-                    taken.update(free)
-                    out.append(("exact", free, None, None, n, size))
-        else:
-            taken.add(d)
-            out += [("contained", None, d, sup, n, size) for sup, n, size in sorted(within[d], key=lambda x: x[0].split("/"))]
+    all_ = clusters.select(F.concat(F.lit("="), "sig").alias("match"), "dir").unionByName(subsets.select(F.concat(F.lit("<"), "subset").alias("match"), F.col("subset").alias("dir")).distinct())
+    left = saved(all_.withColumn("at", F.struct(paths.depth(F.col("dir")).alias("depth"), paths.components(F.col("dir")).alias("parts"))), "claims")
+    taken = []
+    while not left.isEmpty():
+        now = left.join(left.groupBy("match").agg(F.min("at").alias("first")), "match")
+        above = now.select("match", "first", F.explode(paths.ancestors(F.col("dir"))).alias("dir"))
+        rival = now.select("dir", F.col("match").alias("rival"), F.col("first").alias("rival_first"))
+        later = F.when(F.col("rival_first") < F.col("first"), F.col("match")).otherwise(F.col("rival"))
+        waits = above.join(rival, "dir").where(F.col("rival") != F.col("match")).select(later.alias("match")).distinct()
+        ready = saved(now.join(waits, "match", "left_anti").select("match", "dir"), "ready")
+        enough = ready.groupBy("match").agg(F.count("*").alias("n")).where(F.startswith("match", F.lit("<")) | (F.col("n") > 1)).select("match")
+        mine = saved(ready.join(enough, "match", "left_semi"), "claimed")
+        taken.append(mine)
+        rest = left.join(ready.select("match").distinct(), "match", "left_anti")
+        up = rest.select("match", F.col("dir").alias("below"), F.explode(paths.ancestors(F.col("dir"))).alias("dir"))
+        covered = up.join(mine.select("dir"), "dir", "left_semi").select("match", F.col("below").alias("dir")).distinct()
+        rest = saved(rest.join(covered, ["match", "dir"], "left_anti"), "claims")
+        dropped(left, ready)
+        left = rest
+    out = all_.limit(0)
+    for mine in taken:
+        out = out.unionByName(mine)
     return out
 
 
 def folder_matches(files: DataFrame, members: DataFrame, root: str) -> DataFrame:
-    """kind, folders, subset, superset, file_count, bytes. Candidate folders, not files, come to the driver to be claimed."""
-    spark = files.sparkSession
-    closed = closure(files, members, root)
-    signed = signatures(closed)
-    clusters: dict[str, tuple[str, list[str], int, int]] = {}
-    for r in exact(signed, closed).toLocalIterator():
-        clusters.setdefault(r["sig"], (r["sig"], [], r["file_count"], r["bytes"]))[1].append(r["dir"])
-    subsets = [(r["subset"], r["superset"], r["file_count"], r["bytes"]) for r in contained(signed, closed).toLocalIterator()]
-    return spark.createDataFrame(claimed(list(clusters.values()), subsets), "kind string, folders array<string>, subset string, superset string, file_count long, bytes long")
+    """kind, folders (in order), subset, superset, file_count, bytes."""
+    closed = saved(closure(files, members, root), "closure")
+    signed = saved(signatures(closed), "signatures")
+    same, within = saved(exact(signed, closed), "clusters"), saved(contained(signed, closed), "subsets")
+    taken = claimed(same, within)
+    none = F.lit(None).cast("string")
+    key = paths.sort_key(F.col("dir"))
+    whole = same.withColumn("match", F.concat(F.lit("="), "sig")).join(taken, ["match", "dir"]).groupBy("sig", "file_count").agg(F.min("bytes").alias("bytes"), F.transform(F.array_sort(F.collect_list(key)), lambda x: x["path"]).alias("folders"))
+    parts = within.join(taken.where(F.startswith("match", F.lit("<"))).select(F.col("dir").alias("subset")), "subset")
+    return whole.select(F.lit("exact").alias("kind"), "folders", none.alias("subset"), none.alias("superset"), "file_count", "bytes").unionByName(
+        parts.select(F.lit("contained").alias("kind"), F.lit(None).cast("array<string>").alias("folders"), "subset", "superset", "file_count", "bytes")
+    )

@@ -114,12 +114,14 @@ def worst_errors(errors: DataFrame, most: int = 5) -> tuple[list, int]:
 
 
 def review_rows(items: DataFrame, root: str) -> DataFrame:
-    """Items (path) in the order of their folder chain and name, with how many folders each shares with the one before."""
+    """Items (path) with the chain of their folders, name, place below its top folder, and how many folders each shares
+    with the one before it in the order of chain and name."""
     from pyspark.sql import Window
 
     shown = items.withColumn("chain", paths.chain(F.col("path"), root)).withColumn("name", paths.name(F.col("path")))
-    order = Window.partitionBy(F.lit(0)).orderBy("chain", "name")  # a screen's rows
+    # items of different top folders share none, so each top folder is in order by itself
+    order = Window.partitionBy(F.get("chain", F.lit(0))).orderBy("chain", "name", "path")
     last = F.lag("chain").over(order)
     both = F.transform(F.arrays_zip(F.col("chain").alias("a"), F.coalesce(last, F.array().cast("array<string>")).alias("b")), lambda x: F.coalesce(x["a"] == x["b"], F.lit(False)))
     common = F.when(F.forall(both, lambda x: x), F.size(both)).otherwise(F.array_position(both, False) - 1)
-    return shown.withColumn("shared", common.cast("int"))
+    return shown.withColumn("place", F.row_number().over(order)).withColumn("shared", common.cast("int"))

@@ -271,12 +271,105 @@ def folder_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folders.contained(signed, closed).select(number("subset"), number("superset"), "file_count", "bytes")
 
 
-@query()
+_NEST = """f AS (SELECT l_orderkey // 2 AS a, l_orderkey % 2 AS b, n, l_partkey % 7 AS gid, CAST(l_quantity AS BIGINT) AS size FROM (SELECT *, """ + _LINES + """ AS n FROM lineitem)),
+p AS (SELECT '/t/' || a AS dir, b || '/' || n AS rel, gid, size FROM f UNION ALL SELECT '/t/' || a || '/' || b, CAST(n AS VARCHAR), gid, size FROM f),
+s AS (SELECT dir, list(rel || ':' || gid ORDER BY rel) AS sig, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, len(string_split(dir, '/')) AS depth, regexp_replace(dir, '/[^/]*$', '') AS up FROM p GROUP BY dir),
+e AS (SELECT sig FROM s GROUP BY sig HAVING count(*) > 1),
+o AS (SELECT * FROM s WHERE sig NOT IN (SELECT sig FROM e)),
+c AS (SELECT o.dir AS subset, y.dir AS superset, o.n, o.bytes, o.depth, o.up FROM o JOIN p AS x ON x.dir = o.dir JOIN p AS y ON x.rel = y.rel AND x.gid = y.gid AND x.dir <> y.dir GROUP BY ALL HAVING count(*) = o.n),
+top AS (SELECT dir FROM s WHERE depth = 3 AND sig IN (SELECT sig FROM e) UNION SELECT subset FROM c WHERE depth = 3),
+free AS (SELECT * FROM s WHERE sig IN (SELECT sig FROM e) AND (depth = 3 OR up NOT IN (SELECT dir FROM top))),
+x AS (SELECT list(dir ORDER BY string_split(dir, '/')) AS d, n, min(bytes) AS bytes FROM free GROUP BY sig, n HAVING count(*) > 1)"""
+
+
+@query(f"""WITH {_NEST}
+SELECT 'exact' AS kind, array_to_string(d, '|') AS folders, NULL AS subset, NULL AS superset, n AS file_count, bytes FROM x
+UNION ALL SELECT 'contained', NULL, subset, superset, n, bytes FROM c WHERE depth = 3 OR up NOT IN (SELECT dir FROM top)""")
 def folder_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claimed matches where folders nest: line items as /t/order / 4/order/number."""
-    files = _lines(spark, sf_dir).withColumn("path", F.concat(F.lit("/t/"), F.floor(F.col("order") / 4).cast("string"), F.substring("path", 3, 1 << 20)))
-    found = files.select("path", F.col("ino").alias("group_id"))
-    return folders.folder_matches(files.select("path", "size"), found, "/t")
+    """Claimed matches where folders nest: line items as /t/pair of orders/order/number, with the part modulo 7 as content.
+
+    `bytes` is that of a cluster's smallest folder, as sizes here don't follow contents.
+    """
+    files = _lines(spark, sf_dir).withColumn("path", F.concat(F.lit("/t/"), F.floor(F.col("order") / 2).cast("string"), F.lit("/"), (F.col("order") % 2).cast("string"), F.lit("/"), paths.name(F.col("path"))))
+    found = files.select("path", (F.col("ino") % 7).cast("string").alias("group_id"))
+    return folders.folder_matches(files.select("path", "size"), found, "/t").withColumn("folders", _joined("folders"))
+
+
+@query(f"""WITH {MEMBERS}, g AS (SELECT group_id, size, list(path ORDER BY string_split(path, '/')) AS p FROM m GROUP BY 1, 2)
+SELECT group_id, array_to_string(p, '|') AS paths FROM g WHERE p[1] = '/src1' OR starts_with(p[1], '/src1/')""")
+def groups_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.in_scope(exact.groups(_members(spark, sf_dir)), "/src1").select("group_id", _joined("paths").alias("paths"))
+
+
+@query(f"""WITH {MEMBERS}, k AS (SELECT m.group_id, '/' || m.doc_id || CASE WHEN size % 3 = 0 THEN '.JPG' WHEN size % 3 = 1 THEN '.mp4' ELSE '' END AS path FROM m),
+g AS (SELECT group_id, list(path ORDER BY string_split(path, '/')) AS p FROM k GROUP BY 1) SELECT group_id, array_to_string(p, '|') AS paths FROM g WHERE p[1] LIKE '%.JPG'""")
+def groups_in_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("size") % 3 == 0, ".JPG").when(F.col("size") % 3 == 1, ".mp4").otherwise("")
+    named = _members(spark, sf_dir).withColumn("path", F.concat(F.lit("/"), F.col("ino").cast("string"), kind))
+    return filters.in_category(exact.groups(named), "photo").select("group_id", _joined("paths").alias("paths"))
+
+
+_CHAIN = "CASE WHEN starts_with(path, '/src1/') THEN list_filter(string_split(regexp_replace(path[7:], '[^/]*$', ''), '/'), lambda x: x <> '') ELSE list_filter(string_split(regexp_replace(path, '[^/]*$', ''), '/'), lambda x: x <> '') END"
+
+
+@query(f"""WITH {FILES}, c AS (SELECT path, {_CHAIN} AS chain, regexp_extract(path, '[^/]*$') AS name FROM f),
+w AS (SELECT *, row_number() OVER (PARTITION BY chain[1] ORDER BY chain, name, path) AS place, lag(chain) OVER (ORDER BY chain, name, path) AS last FROM c)
+SELECT path, array_to_string(chain, '/') AS chain, CAST(place AS INTEGER) AS place, CAST(CASE WHEN last IS NULL THEN 0 WHEN len(chain) >= 2 AND last[1] = chain[1] AND last[2] = chain[2] THEN 2 WHEN len(chain) >= 1 AND last[1] = chain[1] THEN 1 ELSE 0 END AS INTEGER) AS shared FROM w""")
+def review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents below /src1 by language, others by source and language."""
+    shown = report.review_rows(documents_as_files(spark, sf_dir).select("path"), "/src1")
+    return shown.select("path", F.array_join("chain", "/").alias("chain"), "place", "shared")
+
+
+@query("""SELECT doc_id, n_chars, CASE WHEN n_chars % 5 = 0 THEN 100.0 ELSE CAST(n_chars AS DOUBLE) / (n_chars % 5 * 1000) * 100.0 END AS percent,
+  CASE WHEN doc_id * 40 // 60 < 1 THEN 'Just now' WHEN doc_id * 40 // 60 < 60 THEN (doc_id * 40 // 60) || 'm ago' WHEN doc_id * 40 // 60 < 1440 THEN (doc_id * 40 // 3600) || 'h ago' ELSE (doc_id * 40 // 86400) || 'd ago' END AS ago,
+  array_to_string(list_transform(range(15, -1, -1), lambda i: substr(md5(text), 2 * i + 1, 2)), '') AS number, 'moved to ' || n_chars AS note FROM documents""")
+def value_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percent done, relative times, and numbers from little-endian digits."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    now, n = F.lit(1_700_000_000_000), F.col("n_chars")
+    return d.select("doc_id", "n_chars", values.percent(n, n % 5 * 1000).alias("percent"), values.ago(now - F.col("doc_id") * 40_000, now).alias("ago"), values.from_little_endian(F.upper(F.md5(F.col("text").cast("binary")))).alias("number"), F.concat(F.lit("moved to "), n.cast("string")).alias("note"))
+
+
+@query(f"""WITH {FILES}, t AS (SELECT path, size, digest, doc_id FROM f WHERE doc_id % 4 = 0)
+SELECT '/a' || path AS remove, '/b' || path AS keep, size FROM t WHERE doc_id % 12 <> 0""")
+def folder_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fourth document stands in /a and /b; of these, each third is protected in /a."""
+    some = _files(spark, sf_dir).where("ino % 4 = 0")
+    copy = lambda top: some.withColumn("path", F.concat(F.lit(top), "path"))
+    files = copy("/a").unionByName(copy("/b").withColumn("ino", -1 - F.col("ino")))
+    shielded = files.withColumn("path", F.when((F.col("ino") >= 0) & (F.col("ino") % 12 == 0), F.concat(F.lit("/a/safe"), F.substring("path", 3, 1 << 20))).otherwise(F.col("path")))
+    return actions.folder_pairs(shielded, exact.members(shielded), "/a", "/b", ["/a/safe"])
+
+
+@query(f"WITH {_FOLDERS} SELECT min(dir) AS kept, n AS file_count, count(*) - 1 AS removed FROM w WHERE sig IN (SELECT sig FROM e) GROUP BY sig, n")
+def folder_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which folder of each exact cluster stays; orders are padded, so that their order by path is that of their numbers."""
+    closed, signed = _folders(spark, sf_dir)
+    padded = folders.exact(signed, closed).withColumn("dir", F.concat(F.lit("/t/"), F.lpad(paths.name(F.col("dir")), 12, "0")))
+    lists = padded.groupBy("sig", "file_count").agg(F.collect_list("dir").alias("folders"))
+    return lists.select(paths.name(keep.kept_folder(F.col("folders"))).cast("long").alias("kept"), "file_count", (F.size("folders") - 1).cast("long").alias("removed"))
+
+
+@query(f"""WITH {_PLAN}, g AS (SELECT group_id, size, list(path ORDER BY string_split(path, '/')) AS paths FROM m GROUP BY 1, 2),
+a AS (SELECT group_id, min(kept) AS kept, min(keep_reason) AS keep_reason, list(path ORDER BY path) AS planned, sum(size) AS bytes FROM p GROUP BY 1)
+SELECT '{{"type":"duplicate_group","size":' || size || ',"paths":["' || array_to_string(paths, '","') || '"]' || coalesce(',"action":{{"kind":"delete","kept":"' || kept || '","keep_reason":"' || keep_reason || '","applied":false,"planned":["' || array_to_string(planned, '","') || '"],"succeeded":[],"failed":[],"bytes_reclaimed":' || CAST(bytes AS BIGINT) || '}}', '') || '}}' AS value FROM g LEFT JOIN a USING (group_id)""")
+def event_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = _members(spark, sf_dir)
+    return report.action_events(exact.groups(members), actions.planned(members, Action.DELETE, Rule.ALPHABETICAL, PROTECTED))
+
+
+@query(f"""WITH {MEMBERS}, s AS (SELECT (SELECT count(*) FROM f) AS a, (SELECT CAST(sum(size) AS BIGINT) FROM f) AS b, (SELECT count(DISTINCT group_id) FROM m) AS c, (SELECT count(*) FROM m) AS d)
+SELECT '{{"type":"finished","files_scanned":' || a || ',"bytes_scanned":' || b || ',"duplicate_groups":' || c || ',"duplicate_files":' || d || '}}' AS value FROM s
+UNION ALL SELECT '{{"type":"error","path":"' || path || '","message":"unreadable"}}' FROM f WHERE doc_id % 97 = 0
+UNION ALL SELECT '{{"type":"progress","files_scanned":' || a || ',"bytes_scanned":' || b || '}}' FROM s""")
+def event_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress, errors and the end of a scan as events."""
+    files = _files(spark, sf_dir)
+    total = exact.summary(files, exact.members(files))
+    errors = files.where("ino % 97 = 0").select("path", F.lit("unreadable").alias("message"))
+    r = total.first()
+    return report.finished_event(total).unionByName(report.error_events(errors)).unionByName(report.progress_event(spark, r["files_scanned"], r["bytes_scanned"]))
 
 
 _SKETCH = "list_sum(list_transform(embedding[1:64], lambda x, i: CASE WHEN x > 0 THEN CAST(1 AS HUGEINT) << (i - 1) ELSE 0 END))::HUGEINT"

@@ -31,6 +31,12 @@ def current(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("path").agg(F.max_by(F.struct("size", "mtime_ns", "hash"), F.struct("batch", "mtime_ns")).alias("r")).select("path", "r.*")
 
 
+def compacted(spark: SparkSession, folder: str, to: str) -> DataFrame:
+    """Writes the current cache as part -1 of a new folder, which can take the place of the old one while no stream runs."""
+    current(spark, folder).withColumn("batch", F.lit(-1)).write.mode("errorifexists").parquet(f"{to}/part=-1")
+    return current(spark, to)
+
+
 def groups(cache: DataFrame) -> DataFrame:
     """size, hash, files of what is duplicated so far."""
     return cache.groupBy("size", "hash").agg(F.count("*").alias("files")).where("files > 1")
