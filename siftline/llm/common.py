@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,39 +26,44 @@ LOWER[65:91] += 32
 #: Keeps the first n bytes of a little-endian word of eight.
 FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 ODD = np.uint64(0x9E3779B97F4A7C15)
-NO_ID = (1 << 63) - 1
-
-
-#: A table with fewer bytes than this for each core is dealt anew: its file may well be one task's.
-CORE_BYTES = 4 << 20
+#: 63-bit numbers, of which a sample takes those below a share.
+DEAL = 1 << 63
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table; documents that would be read by fewer tasks than there are cores are dealt to all."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name == "documents" and plan_bytes(df) < CORE_BYTES * cores else df
+    return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate, which needs no job; where it has none, the bytes of the texts, counted."""
-    found = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if found < 1 << 56:
-        return found
+def text_bytes(df: DataFrame) -> int:
+    """The bytes of all texts, counted."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
 
 
+def limit_of(share: float) -> int:
+    """The 63-bit number below which a share of all hashes are; no share above 0 rounds to none."""
+    return min(DEAL - 1, max(int(share > 0), int(share * DEAL)))
+
+
+def sampled(share: float, *by: str | F.Column) -> F.Column:
+    """Whether a row is among a share of all, dealt by a hash of the columns."""
+    return F.xxhash64(F.lit(11), *by).bitwiseAND(DEAL - 1) < limit_of(share)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """did: doc_id, or the largest long for a null one. h: a hash that tells rows with one doc_id apart. Null texts are empty."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("h"), text.alias("text"))
+    """did: doc_id, or 0 for a null one, which none marks. h: a hash that tells rows with one did apart. Null texts are empty."""
+    text, own = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(own, F.lit(0)).alias("did"), own.isNull().alias("none"), F.xxhash64(text, own.isNull()).alias("h"), text.alias("text"))
 
 
 def doc_id() -> F.Column:
-    return F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id")
+    return F.when(~F.col("none"), F.col("did")).alias("doc_id")
 
 
 def trim() -> None:
@@ -157,9 +163,9 @@ def byte_strings(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> list[
     return [whole[a : a + n] for a, n in zip(starts.tolist(), lens.tolist())]
 
 
-def in_fold(fold: int, of: int) -> F.Column:
+def in_fold(fold: int, of: int, own: F.Column | None = None) -> F.Column:
     """Whether crc32(doc_id as text) mod `of` is `fold`; false for a null doc_id."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % of == fold, F.lit(False))
+    return F.coalesce(F.crc32((F.col("doc_id") if own is None else own).cast("string").cast("binary")) % of == fold, F.lit(False))
 
 
 #: Bits of a Bloom filter at most: 4 MB, whatever the number of keys. One that is too full just lets more rows pass.
@@ -190,3 +196,39 @@ class Bloom:
             at = k & np.uint64(self.bits - 1)
             ok &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
         return ok
+
+
+def settled(base: DataFrame, changes: DataFrame, done: Callable[[list[bytes], list], list[pa.Array]], schema: str) -> DataFrame:
+    """did, none and what done() makes of each row of base (did, none, h, text) and its changes, of the columns in schema.
+
+    changes: did, h and a column with what changes in that row; rows without any get None and are done where they are
+    read. Only the texts of others move, compressed.
+    """
+    name = changes.columns[2]
+    key = F.xxhash64("did", "h")
+    held = base.sparkSession.sparkContext.broadcast(Bloom.of(changes.select(key)))
+    names = ["did", "none", *(c.split()[0] for c in schema.split(", "))]
+
+    def rows(batch: pa.RecordBatch, texts: list[bytes], found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("did"), batch.column("none"), *done(texts, found)], names)
+
+    def still(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            batch = batch.filter(pa.array(~held.value.passes(batch.column("k").to_numpy())))
+            yield rows(batch, [t.encode() for t in batch.column("text").to_pylist()], [None] * batch.num_rows)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in slices(batches, "text", 4 << 20):
+            batch = batch.filter(pa.array(held.value.passes(batch.column("k").to_numpy())))
+            texts = pa.array([pack.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("none"), batch.column("h"), texts], ["did", "none", "h", "packed"])
+
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in slices(batches, "packed", 2 << 20):
+            yield rows(batch, [unpack.decompress(p) for p in batch.column("packed").to_pylist()], batch.column(name).to_pylist())
+
+    marked, whole = base.withColumn("k", key), "did long, none boolean, " + schema
+    some = marked.mapInArrow(packed, "did long, none boolean, h long, packed binary").join(changes, ["did", "h"], "left")
+    return marked.mapInArrow(still, whole).unionByName(some.select("did", "none", "packed", name).mapInArrow(moved, whole))

@@ -1,7 +1,7 @@
 """Exact dedup by content-defined chunk recipes, in DataFrame functions alone.
 
 A text is cut where its own content says so: at the first "cut" after at least `least` code points, or after `most`.
-Equal passages therefore get equal chunks wherever they stand. Chunks are deduplicated to identifiers that are verified:
+Equal texts get equal chunks, and texts that begin or end alike share those until, or some way after, they differ. Chunks are deduplicated to identifiers that are verified:
 no two chunk texts share one, else all are dealt again with another salt. A document becomes its ordered list of
 identifiers, and only these lists, never the texts, are grouped and compared; equal lists mean equal texts.
 """
@@ -30,15 +30,17 @@ def identifier(chunk: Column, salt: int) -> Column:
 
 def recipes(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
     """id, text_sha256, recipe: the ordered identifiers of each row's chunks, verified over all rows."""
-    base = keyed(docs).select("did", "text")
-    cut = base.select(F.explode(chunks(F.col("text"), least, most)).alias("chunk"))
+    base = keyed(docs).select("did", "none", "text")
     for salt in range(100):
-        # a chunk text counts once a task before it moves, and once in all after that
-        distinct = cut.select(identifier(F.col("chunk"), salt).alias("id"), "chunk").groupBy("id", "chunk").agg(F.count("*").alias("n"))
+        made = F.transform(chunks(F.col("text"), least, most), lambda c: identifier(c, salt))
+        rows = saved(base.select(doc_id().alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), made.alias("ids")), "recipes")
+        # only the texts of identifiers that come up again are compared; a text counts once a task before it moves
+        again = saved(rows.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "again")
+        cut = base.select(F.explode(chunks(F.col("text"), least, most)).alias("chunk")).select(identifier(F.col("chunk"), salt).alias("id"), "chunk")
+        distinct = cut.join(again, "id", "left_semi").groupBy("id", "chunk").agg(F.count("*").alias("n"))
         if distinct.groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").isEmpty():
             break
-    ids = F.transform(chunks(F.col("text"), least, most), lambda c: identifier(c, salt))
-    return base.select(doc_id().alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.array_join(F.transform(ids, F.hex), "").alias("recipe"))
+    return rows.select("id", "text_sha256", F.array_join(F.transform("ids", F.hex), "").alias("recipe"))
 
 
 def exact_dedup(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
@@ -48,22 +50,22 @@ def exact_dedup(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFr
     doc_id is below all others, so it stays only among null ones. Rows that repeat both doc_id and text count in
     group_size each and are kept or dropped alike. Other columns are left out; an empty table gives no rows.
     """
-    rows = saved(recipes(docs, least, most), "recipes")
+    rows = recipes(docs, least, most)
     groups = rows.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     return rows.join(groups, "recipe").select(F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def without_copies(docs: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
     """The rows of docs, all columns, that exact_dedup keeps; of rows that repeat doc_id and text, one."""
-    rows = saved(recipes(docs, least, most), "recipes")
-    groups = rows.groupBy("recipe").agg(F.max("id").alias("keep"))
-    # the text's own SHA-256 stands for it here: a kept row is known by its doc_id and text
-    kept = rows.join(groups, "recipe").where(F.col("id").eqNullSafe(F.col("keep"))).groupBy("id", "text_sha256").agg(F.count("*").alias("times"))
-    kept = saved(kept.select(F.col("id").alias("kept_id"), F.col("text_sha256").alias("kept_text"), "times"), "kept")
+    rows = recipes(docs, least, most)
+    groups = rows.groupBy("recipe").agg(F.max("id").alias("keep"), F.count("*").alias("size")).where("size > 1")
+    of = rows.join(groups, "recipe").withColumn("stays", F.col("id").eqNullSafe(F.col("keep"))).groupBy("id", "text_sha256", "stays").agg(F.count("*").alias("times"))
+    of = saved(of.where("not stays or times > 1").select(F.col("id").alias("gone_id"), F.col("text_sha256").alias("gone_text"), "stays"), "copies")
+    # the text's own SHA-256 stands for it here: a row is known by its doc_id and text
     all_ = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256).alias("own_text"))
-    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_text") == F.col("kept_text"))
-    once = all_.join(kept.where("times = 1"), same, "left_semi")
-    more = kept.where("times > 1")
+    same = F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_text") == F.col("gone_text"))
+    once = all_.join(of, same, "left_anti")
+    more = of.where("stays")
     if not more.isEmpty():
         once = once.unionByName(all_.join(more, same, "left_semi").dropDuplicates(["own_id", "own_text"]))
     return once.select("row.*")

@@ -1,9 +1,9 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Each language gets a model of `ORDER` characters from a bounded sample of its distinct whole texts: the ROWS with the
-smallest hashes, or all if there are no more. Characters are lower-cased letters of a common alphabet; all others are one boundary. An n-gram
-is a number of 12 bits a character; sorted arrays of these numbers hold the counts. A text gets the language of the
-lowest cross-entropy per character. A part of the sample isn't counted but calibrates: a temperature turns differences
+smallest hashes, or all if there are no more, while they have at most BYTES. Characters are all lower-cased letters of the
+sample, a sign for other letters, and one for boundaries. Sorted arrays of 64-bit hashes of n-grams hold the counts. A text
+gets the language of the lowest cross-entropy per character. A part of the sample isn't counted but calibrates: a temperature turns differences
 of cross-entropy into a score, and a quantile of the true language's cross-entropy is the limit beyond which a prediction
 is marked as rejected.
 """
@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import doc_id, in_fold, saved, slices, NO_ID
+from siftline.llm.common import ODD, in_fold, mixed, saved, slices
 
-ORDER, BITS = 5, 12
-#: Distinct texts of each language that are read for its model, and of which one calibrates.
-ROWS, CALIBRATE = 2000, 10
+ORDER = 5
+#: Distinct texts of each language that are read for its model, and their bytes, at most; and of how many one calibrates.
+ROWS, BYTES, CALIBRATE = 2000, 16 << 20, 10
+#: Bits of a character.
+BITS = 21
 QUANTILE, MARGIN = 0.995, 1.15
 UNKNOWN = "und"
 
@@ -46,52 +48,63 @@ def codes(texts: list[str | None], ids: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def grams(chars: np.ndarray, off: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """Of each character, the n-gram that it ends; before a text's first stand boundaries."""
-    out = chars.astype(np.int64)
+    """Of each character, itself and those before it, nearest first; before a text's first stand boundaries."""
+    out = np.zeros((order, len(chars)), np.uint32)
     place = np.arange(len(chars)) - np.repeat(off[:-1], np.diff(off))
-    for j in range(1, order):
-        before = np.zeros(len(chars), np.int64)
-        before[j:] = chars[: len(chars) - j]
-        out |= np.where(place >= j, before, 0) << BITS * j
+    for j in range(order):
+        out[j, j:] = np.where(place[j:] >= j, chars[: len(chars) - j], 0)
+    return out
+
+
+def hashed(rows: np.ndarray) -> list[np.ndarray]:
+    """The hash of each n-gram (characters, last first) for n from 0 up; a context's hash is that of the n-gram without its last."""
+    out = [np.zeros(rows.shape[1], np.uint64)]
+    for k, chars in enumerate(rows):
+        out.append(mixed(out[-1] * ODD + chars.astype(np.uint64) + np.uint64(k + 1)))
     return out
 
 
 class Model:
-    """One language: for each order, sorted n-grams with counts, and sorted contexts with totals and kinds."""
+    """One language: for each order, sorted hashes of n-grams with counts, and of contexts with totals and kinds."""
 
     def __init__(self, found: np.ndarray, counts: np.ndarray, alphabet: int) -> None:
+        """found: distinct n-grams of the highest order, a column each, last character first."""
         self.orders, self.alphabet = [], alphabet
-        order = np.argsort(found)
-        found, counts = found[order], counts[order].astype(np.float64)
+        counts = counts.astype(np.float64)
         for k in range(ORDER, 0, -1):
-            context, at = np.unique(found >> BITS, return_inverse=True)
+            gram, before = hashed(found)[k], hashed(found[1:])[k - 1]
+            context, at = np.unique(before, return_inverse=True)
             ones, twos = (counts == 1).sum(), (counts == 2).sum()
             less = ones / (ones + 2 * twos) if ones and twos else 0.5
-            self.orders.append((found, counts, context, np.bincount(at, weights=counts), np.bincount(at).astype(np.float64), less))
+            order = np.argsort(gram)
+            self.orders.append((gram[order], counts[order], context, np.bincount(at, weights=counts), np.bincount(at).astype(np.float64), less))
             if k > 1:  # below the highest order, an n-gram counts once for each character seen before it
-                found, counts = np.unique(found & ((1 << BITS * (k - 1)) - 1), return_counts=True)
-                counts = counts.astype(np.float64)
+                _, first, n = np.unique(hashed(found[: k - 1])[k - 1], return_index=True, return_counts=True)
+                found, counts = found[: k - 1, first], n.astype(np.float64)
         self.orders.reverse()
 
-    def log(self, wanted: np.ndarray) -> np.ndarray:
-        """log of P(last character | those before) of n-grams of the highest order."""
-        p = np.full(len(wanted), 1.0 / (self.alphabet + 1))
+    def log(self, gram: list[np.ndarray], before: list[np.ndarray]) -> np.ndarray:
+        """log of P(last character | those before), from the hashes of n-grams of each order and of their contexts."""
+        p = np.full(len(gram[0]), 1.0 / (self.alphabet + 1))
         for k, (found, counts, context, total, kinds, less) in enumerate(self.orders, 1):
-            gram = wanted & ((1 << BITS * k) - 1)
-            at = np.minimum(np.searchsorted(found, gram), len(found) - 1)
-            c = np.where(found[at] == gram, counts[at], 0)
-            at = np.minimum(np.searchsorted(context, gram >> BITS), len(context) - 1)
-            known = context[at] == gram >> BITS
+            at = np.minimum(np.searchsorted(found, gram[k]), len(found) - 1)
+            c = np.where(found[at] == gram[k], counts[at], 0)
+            at = np.minimum(np.searchsorted(context, before[k - 1]), len(context) - 1)
+            known = context[at] == before[k - 1]
             p = np.where(known, (np.maximum(c - less, 0) + less * kinds[at] * p) / total[at], p)
         return np.log(p)
 
 
 def entropies(models: list[Model], chars: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Cross-entropy per character of each text in each language."""
-    number, wanted = pd.factorize(grams(chars, off))
-    rows, n = len(off) - 1, np.maximum(np.diff(off), 1)
-    doc = np.repeat(np.arange(rows), np.diff(off))
-    return np.stack([-np.bincount(doc, weights=m.log(wanted)[number], minlength=rows) / n for m in models], 1)
+    rows = grams(chars, off)
+    number, wanted = pd.factorize(hashed(rows)[ORDER])
+    first = np.zeros(len(wanted), np.int64)
+    first[number[::-1]] = np.arange(len(number))[::-1]
+    gram, before = hashed(rows[:, first]), hashed(rows[1:, first])
+    many, n = len(off) - 1, np.maximum(np.diff(off), 1)
+    doc = np.repeat(np.arange(many), np.diff(off))
+    return np.stack([-np.bincount(doc, weights=m.log(gram, before)[number], minlength=many) / n for m in models], 1)
 
 
 def confidences(cross: np.ndarray, n: np.ndarray, heat: float) -> np.ndarray:
@@ -122,16 +135,18 @@ class Identifier:
         self.limit = float(np.quantile(cross[own], QUANTILE) * MARGIN)
 
 
-def sample(docs: DataFrame, rows: int = ROWS) -> DataFrame:
-    """lang, text, calibrates: of each lang the `rows` distinct texts with the smallest hashes. A lang of few texts only trains."""
+def sample(docs: DataFrame, rows: int = ROWS, most: int = BYTES) -> DataFrame:
+    """lang, text, calibrates: of each lang the `rows` distinct texts with the smallest hashes, as far as `most` bytes go,
+    but one at least. A lang of few texts only trains."""
     deal = F.xxhash64(F.lit(3), "text")
-    distinct = saved(docs.select("lang", deal.alias("deal")).distinct(), "texts")
+    distinct = saved(docs.select("lang", deal.alias("deal"), F.octet_length("text").alias("bytes")).distinct(), "texts")
     many = distinct.groupBy("lang").agg(F.count("*").alias("many"))
     # the window only sees about twice the rows that it leaves
     place = F.pmod(F.col("deal"), F.lit(1 << 40))
     some = distinct.join(F.broadcast(many), "lang").where(place < F.lit(float(1 << 40)) * (2 * rows + 100) / F.col("many"))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(place, "deal"))
-    chosen = some.withColumn("turn", turn).where(F.col("turn") <= rows).select("lang", "deal", (F.col("turn") % CALIBRATE == 0).alias("calibrates"))
+    own = Window.partitionBy("lang").orderBy(place, "deal")
+    some = some.withColumn("turn", F.row_number().over(own)).withColumn("upto", F.sum("bytes").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = some.where((F.col("turn") <= rows) & ((F.col("upto") <= most) | (F.col("turn") == 1))).select("lang", "deal", (F.col("turn") % CALIBRATE == 0).alias("calibrates"))
     return docs.withColumn("deal", deal).join(F.broadcast(chosen), ["lang", "deal"]).groupBy("lang", "deal", "calibrates").agg(F.min("text").alias("text")).select("lang", "text", "calibrates")
 
 
@@ -152,11 +167,11 @@ def learned(docs: DataFrame, rows: int = ROWS) -> Identifier | None:
         at = np.array([c for c in np.flatnonzero(seen).tolist() if chr(c).isalpha()], np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["char", "n"])
 
-    seen = some.select("text").mapInArrow(letters, "char long, n long").groupBy("char").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "char").limit((1 << BITS) - 2).collect()
+    seen = some.select("text").mapInArrow(letters, "char long, n long").groupBy("char").agg(F.sum("n").alias("n")).collect()  # at most all letters there are
     # 0: no letter; 1: a letter that the sample lacks
-    ids = np.zeros(0x110000, np.uint16)
+    ids = np.zeros(0x110000, np.uint32)
     ids[[c for c in range(0x110000) if chr(c).isalpha()]] = 1
-    ids[[r["char"] for r in seen]] = np.arange(2, len(seen) + 2)
+    ids[[r["char"] for r in seen]] = [r["char"] for r in seen]
     alphabet = len(seen) + 2
     held = docs.sparkSession.sparkContext.broadcast(ids)
 
@@ -165,14 +180,20 @@ def learned(docs: DataFrame, rows: int = ROWS) -> Identifier | None:
             texts, lang = batch.column("text").to_pylist(), np.array(batch.column("lang").to_pylist())
             for one in np.unique(lang).tolist():
                 chars, off, _ = codes([t for t, k in zip(texts, lang.tolist()) if k == one], held.value)
-                gram, n = np.unique(grams(chars, off), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([one] * len(gram), pa.string()), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
+                rows = grams(chars, off)
+                _, first, n = np.unique(hashed(rows)[ORDER], return_index=True, return_counts=True)
+                near, far = (sum(c.astype(np.int64) << BITS * j for j, c in enumerate(part)) for part in (rows[:3, first], rows[3:, first]))
+                yield pa.RecordBatch.from_arrays([pa.array([one] * len(n), pa.string()), pa.array(near), pa.array(far), pa.array(n)], ["lang", "near", "far", "n"])
 
-    table = some.where(~calibrates).mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    table = some.where(~calibrates).mapInArrow(counted, "lang string, near long, far long, n long").groupBy("lang", "near", "far").agg(F.sum("n").alias("n")).toPandas()
     have = [lang for lang in langs if (table["lang"] == lang).any()]
     if not have:
         return None
-    models = [Model(part["gram"].to_numpy(np.int64), part["n"].to_numpy(np.int64), alphabet) for part in (table[table["lang"] == lang] for lang in have)]
+    models = []
+    for lang in have:
+        part = table[table["lang"] == lang]
+        rows = [part["near" if j < 3 else "far"].to_numpy(np.int64) >> BITS * (j % 3) & (1 << BITS) - 1 for j in range(ORDER)]
+        models.append(Model(np.stack(rows).astype(np.uint32), part["n"].to_numpy(np.int64), alphabet))
     out = Identifier(have, ids, models)
     sent = docs.sparkSession.sparkContext.broadcast(out)
 
@@ -199,9 +220,9 @@ def languages(docs: DataFrame, held_out: int = 1, folds: int = 3, rows: int = RO
     """
     held = in_fold(held_out, folds)
     found = learned(docs.where(~held), rows)
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), held.alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     if found is None:
-        return base.select(doc_id(), "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
+        return base.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
     sent = docs.sparkSession.sparkContext.broadcast(found)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,8 +234,7 @@ def languages(docs: DataFrame, held_out: int = 1, folds: int = 3, rows: int = RO
             ok = letters > 0
             lang = [model.langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), ok.tolist())]
             least = cross[np.arange(len(best)), best]
-            out = [batch.column("did"), batch.column("held_out"), pa.array(lang), pa.array(np.where(ok, score, 0.0)), pa.array(least, mask=~ok), pa.array(~ok | (least > model.limit))]
-            yield pa.RecordBatch.from_arrays(out, ["did", "held_out", "lang_pred", "score", "cross_entropy", "rejected"])
+            out = [batch.column("doc_id"), batch.column("held_out"), pa.array(lang), pa.array(np.where(ok, score, 0.0)), pa.array(least, mask=~ok), pa.array(~ok | (least > model.limit))]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected"])
 
-    out = base.mapInArrow(predict, "did long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
-    return out.select(doc_id(), "held_out", "lang_pred", "score", "cross_entropy", "rejected")
+    return base.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import keyed
+from siftline.llm.common import doc_id, keyed, saved
 
 LONGEST, BUCKETS, BUDGET = 2048, 8, 16384
 
@@ -63,9 +63,11 @@ def pack(docs: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS, budget
     tokens = words(F.col("text"))
     n = F.size(tokens) if not with_text else F.size("tokens")
     base = base.withColumn("tokens", tokens) if with_text else base
-    base = base.select("did", "h", n.alias("n"), *(["tokens"] if with_text else []))
+    base = base.select("did", "none", "h", n.alias("n"), *(["tokens"] if with_text else []))
+    # texts are split once; what follows reads their lengths alone
+    base = base if with_text else saved(base, "lengths")
     pieces = base.select(
-        "did", "h", *(["tokens"] if with_text else []), "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / longest).cast("int"))).alias("piece")
+        "did", "none", "h", *(["tokens"] if with_text else []), "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / longest).cast("int"))).alias("piece")
     ).withColumn("n_tokens", F.least(F.lit(longest), F.col("n") - F.col("piece") * longest).cast("int"))
     lengths = pieces.groupBy("n_tokens").count().collect()  # at most `longest` rows
     if not lengths:
@@ -86,7 +88,7 @@ def pack(docs: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS, budget
     numbered = numbered.withColumn("bucket_len", bound).withColumn("rows", F.floor(F.lit(budget) / F.col("bucket_len")))
     first = F.col("piece").cast("long") * longest
     return numbered.select(
-        F.when(F.col("did") != (1 << 63) - 1, F.col("did")).alias("doc_id"),
+        doc_id(),
         "piece",
         first.alias("first_token"),
         "n_tokens",

@@ -3,7 +3,7 @@
 Overlapping heuristic labellers vote good, bad or nothing on each document. Only the histogram of vote patterns over all
 documents is gathered (at most 3 ** labellers rows); expectation-maximisation on it estimates how each labeller votes on
 good and on bad documents, without any gold label, and gives each pattern its posterior. The posteriors of a bounded
-sample, TRAIN_ROWS documents chosen by a hash of doc_id and text, train a hashed linear scorer, which scores all.
+sample, TRAIN_ROWS documents or TRAIN_BYTES of text chosen by a hash of doc_id and text, train a hashed linear scorer, which scores all.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import IS_SPACE, ODD, doc_id, flat, keyed, mixed, slices, span_hashes, word_spans
+from siftline.llm.common import IS_SPACE, ODD, doc_id, flat, keyed, mixed, sampled, slices, span_hashes, word_spans
 
 DIMENSIONS = 1 << 16
-TRAIN_ROWS = 8000
+#: Documents that train the scorer, and bytes of their texts: about these at most, drawn by a hash.
+TRAIN_ROWS, TRAIN_BYTES = 8000, 32 << 20
 ROUNDS = 6
 KEEP = 0.5
 #: What is known of the labellers beforehand: none calls more good documents bad than this share.
@@ -174,16 +175,18 @@ def quality(docs: DataFrame, train_rows: int = TRAIN_ROWS, keep: float = KEEP) -
         for batch in slices(batches, "text", 4 << 20):
             found, n, *_ = measures(batch)
             pattern, many = np.unique(votes(found, n)[n > 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(many)], ["pattern", "n"])
+            size = np.zeros(len(pattern), np.int64)
+            size[:1] = batch.column("text").nbytes
+            yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(many), pa.array(size)], ["pattern", "n", "bytes"])
 
-    seen = base.select("text").mapInArrow(voted, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()
+    seen = base.select("text").mapInArrow(voted, "pattern long, n long, bytes long").groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).toPandas()
     patterns, counts = seen["pattern"].to_numpy(np.int64), seen["n"].to_numpy(np.float64)
     post, _, prior = posteriors(patterns, counts)
     table = dict(zip(patterns.tolist(), post.tolist()))
-    share = min(1.0, train_rows / max(1.0, counts.sum()))
+    share = min(1.0, train_rows / max(1.0, counts.sum()), TRAIN_BYTES / max(1.0, float(seen["bytes"].sum())))
     held = spark.sparkContext.broadcast(table)
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
             found, n, doc, hashes, shape = measures(batch)
             code = votes(found, n)
@@ -193,10 +196,10 @@ def quality(docs: DataFrame, train_rows: int = TRAIN_ROWS, keep: float = KEEP) -
             off = pa.array(np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32))
             y = pa.array([held.value.get(c, 0.5) for c in code.tolist()], pa.float64())
             lists = [pa.ListArray.from_arrays(off, pa.array(x)) for x in (at.astype(np.int32), (many / n[of]).astype(np.float32))]
-            yield pa.RecordBatch.from_arrays([y, *lists], ["y", "at", "x"]).filter(pa.array(n > 0))
+            yield pa.RecordBatch.from_arrays([batch.column("turn"), y, *lists], ["turn", "y", "at", "x"]).filter(pa.array(n > 0))
 
-    some = base.where(F.pmod(F.xxhash64(F.lit(11), "did", "h"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
-    rows = some.mapInArrow(sampled, "y double, at array<int>, x array<float>").toPandas()
+    some = base.where(sampled(share, "did", "h")).select("text", F.xxhash64(F.lit(3), "did", "h").alias("turn"))
+    rows = some.mapInArrow(drawn, "turn long, y double, at array<int>, x array<float>").toPandas().sort_values("turn", kind="stable")
     w, b = trained([(y, np.asarray(at, np.int64), np.asarray(x, np.float64)) for y, at, x in zip(rows["y"], rows["at"], rows["x"])])
     model = spark.sparkContext.broadcast((w.astype(np.float32), b))
 
@@ -208,7 +211,7 @@ def quality(docs: DataFrame, train_rows: int = TRAIN_ROWS, keep: float = KEEP) -
             sums = np.bincount(of, weights=w[at], minlength=batch.num_rows) / np.maximum(n, 1)
             score = np.where(n > 0, 1 / (1 + np.exp(-np.clip(b + sums, -50, 50))), 0.0)
             y = [held.value.get(c, prior) if k else 0.0 for c, k in zip(votes(found, n).tolist(), n.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(n), pa.array(y, pa.float64()), pa.array(score)], ["did", "n_words", "posterior", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(y, pa.float64()), pa.array(score)], ["doc_id", "n_words", "posterior", "score"])
 
-    out = base.select("did", "text").mapInArrow(scored, "did long, n_words long, posterior double, score double")
-    return out.select(doc_id(), "n_words", "posterior", "score", (F.col("score") >= keep).alias("keep"))
+    out = base.select(doc_id(), "text").mapInArrow(scored, "doc_id long, n_words long, posterior double, score double")
+    return out.select("doc_id", "n_words", "posterior", "score", (F.col("score") >= keep).alias("keep"))

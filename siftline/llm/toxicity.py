@@ -8,7 +8,8 @@ kernel matrix. The machine is trained on sentences: those most like a landmark o
 others. What its decisions say of a text's worst sentence, of all its sentences and distinct words, and how dense that is,
 goes into a logistic curve fitted to the training texts, weighted to the labels' frequencies: scores from 0 to 1.
 
-A bounded sample of the labelled rows is learned from: ROWS of each label, chosen by a hash, of at most BYTES each. Whole texts are scored.
+A bounded sample of the labelled rows is learned from: at most ROWS of each label, chosen by a hash, while they have at most BYTES in all. Whole
+texts are learned from and scored, however long.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import NO_ID, doc_id, in_fold, slices
+from siftline.llm.common import ODD, in_fold, mixed, sampled, saved, slices
 
 LENGTH, DECAY = 4, 0.6
 LANDMARKS, GRAMS = 64, (4, 5, 6, 7)
-ROWS, BYTES = 1500, 1 << 15
+ROWS, BYTES = 1500, 4 << 20
 LIMIT = 0.3
 #: Longest word looked at as one; longer ones are seen through overlapping windows.
 SPAN = 24
@@ -70,9 +71,17 @@ class Kernel:
 
     def __init__(self, landmarks: list[str]) -> None:
         self.landmarks = landmarks
-        chars = sorted(set("".join(landmarks)))[:250]
-        self.ids = {ord(c): i + 1 for i, c in enumerate(chars)}
-        self.marks = [np.array([self.ids.get(ord(c), 251) for c in x], np.int64) for x in landmarks]
+        self.ids = np.zeros(0x110000, np.uint16)  # at most LANDMARKS * max(GRAMS) characters
+        chars = sorted(set("".join(landmarks)))
+        self.ids[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.marks = [self.ids[[ord(c) for c in x]].astype(np.int64) for x in landmarks]
+        self.chars = len(chars) + 1
+        # sets of characters as bits; a row shares at least so many of a landmark's if a subsequence of LENGTH is common
+        self.bit = np.zeros((self.chars, self.chars // 64 + 1), np.uint64)
+        for i in range(1, self.chars):
+            self.bit[i, i // 64] = np.uint64(1 << i % 64)
+        self.sets = [np.bitwise_or.reduce(self.bit[m], axis=0) for m in self.marks]
+        self.least = [int(np.searchsorted(np.cumsum(np.sort(np.unique(m, return_counts=True)[1])[::-1]), LENGTH)) + 1 for m in self.marks]
         self.own = np.array([self.raw(self.rows([x])[0], m)[0] for x, m in zip(landmarks, self.marks)])
         self.seen: set[str] = set()
         self.like: dict[str, tuple] = {}
@@ -82,21 +91,18 @@ class Kernel:
         flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         lens = np.array([len(w) for w in words], np.int64)
         off = np.concatenate([[0], np.cumsum(lens)])
-        few = np.zeros(len(flat), np.uint8)
-        for c, i in self.ids.items():
-            few[flat == c] = i
+        few = self.ids[flat]
         windows = np.maximum(1, -(-(lens - SPAN // 2) // (SPAN // 2)))
         word = np.repeat(np.arange(len(words)), windows)
         start = (np.arange(len(word)) - np.repeat(np.cumsum(windows) - windows, windows)) * (SPAN // 2)
         at = start[:, None] + np.arange(SPAN)
         ok = at < lens[word][:, None]
         out = np.where(ok, few[np.minimum(at + off[word][:, None], max(len(few) - 1, 0))] if len(few) else 0, 0)
-        return out.astype(np.uint8), word
+        return out.astype(np.uint16), word
 
-    @staticmethod
-    def common(rows: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    def common(self, rows: np.ndarray, mark: np.ndarray) -> np.ndarray:
         """Length of the longest common subsequence of each row and a landmark, by bits."""
-        table = np.zeros(256, np.uint16)
+        table = np.zeros(self.chars, np.uint16)
         for k, c in enumerate(mark.tolist()):
             table[c] |= 1 << k
         table[0] = 0
@@ -140,8 +146,12 @@ class Kernel:
             return
         names = list(bare)
         rows, word = self.rows([START + b for b in names])
+        seen = np.zeros((len(rows), self.bit.shape[1]), np.uint64)
+        for j in range(rows.shape[1]):
+            seen |= self.bit[rows[:, j]]
         for k, mark in enumerate(self.marks):
-            near = np.flatnonzero(self.common(rows, mark) >= LENGTH)
+            near = np.flatnonzero(np.bitwise_count(seen & self.sets[k]).sum(1) >= self.least[k])
+            near = near[self.common(rows[near], mark) >= LENGTH]
             value = np.minimum(self.raw(rows[near], mark) / self.own[k], 1.0)
             best: dict[int, float] = {}
             for w, v in zip(word[near[value >= FLOOR]].tolist(), value[value >= FLOOR].tolist()):
@@ -179,14 +189,27 @@ class Kernel:
 OFTEN = 4
 
 
-def grams_of(text: str) -> Counter:
-    """How often each string of GRAMS characters is in a text's words, up to OFTEN."""
-    out: Counter = Counter()
-    for word, n in Counter(plain(w) for words in sentences(text) for w in words).items():
-        word = START + word[:128]
-        for g in {word[i : i + k] for k in GRAMS for i in range(len(word) - k + 1)}:
-            out[g] += min(n, OFTEN)
-    return Counter({g: min(n, OFTEN) for g, n in out.items()})
+def grams_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
+    """Hashes of the strings of GRAMS characters in a text's words, how often each is there (once a word, up to OFTEN),
+    where one begins and its length, and the words in a row."""
+    found = Counter(plain(w) for words in sentences(text) for w in words)
+    flat = "".join(START + w for w in found)
+    codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(len(found)), [len(w) + 1 for w in found])
+    often = np.minimum(np.array(list(found.values()), np.int64), OFTEN)
+    hashes, places = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
+    now = np.zeros(len(codes), np.uint64)
+    for k in range(1, max(GRAMS) + 1):
+        now = now[: max(0, len(codes) - k + 1)] * ODD + codes[k - 1 :]
+        if k in GRAMS:
+            at = np.flatnonzero(word[: len(now)] == word[k - 1 :])
+            hashes.append(mixed(now[at] ^ np.uint64(k)))
+            places.append(np.stack([at, np.full(len(at), k)], 1))
+    h, place = np.concatenate(hashes), np.concatenate(places)
+    _, once = np.unique(mixed(h ^ mixed(word[place[:, 0]].astype(np.uint64))), return_index=True)
+    h, place = h[once], place[once]
+    own, first, nth = np.unique(h, return_index=True, return_inverse=True)
+    return own, np.minimum(np.bincount(nth, weights=often[word[place[:, 0]]], minlength=len(own)), OFTEN), place[first], flat
 
 
 def chosen(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> list[str]:
@@ -194,44 +217,53 @@ def chosen(toxic: list[str], clean: list[str], most: int = LANDMARKS) -> list[st
     if not toxic:
         return []
     least = max(3, len(toxic) // 100)
-    # a table of hashes first: only strings that may be in enough texts are held by name
-    table = np.zeros(1 << 22, np.int32)
+    # a small table first: only strings that may be in enough texts are held
+    table, mask = np.zeros(1 << 22, np.int32), np.uint64((1 << 22) - 1)
     for t in toxic:
-        at = np.array([hash(g) & (len(table) - 1) for g in grams_of(t)], np.int64)
-        table[np.unique(at)] += 1
-
-    def some(text: str) -> Counter:
-        return Counter({g: n for g, n in grams_of(text).items() if table[hash(g) & (len(table) - 1)] >= least})
-
-    counts = [some(t) for t in toxic]
-    held: dict[str, list[int]] = {}
-    texts_with = Counter(g for c in counts for g in c)
-    often = {g for g, n in texts_with.items() if n >= least}
-    for i, c in enumerate(counts):
-        for g in c.keys() & often:
-            held.setdefault(g, []).append(i)
-    other: Counter = Counter()
+        table[np.unique(grams_of(t)[0] & mask)] += 1
+    rows = []
+    for i, t in enumerate(toxic):
+        h, n, *_ = grams_of(t)
+        ok = table[h & mask] >= least
+        rows.append((h[ok], n[ok], np.full(int(ok.sum()), i)))
+    h, n, text = (np.concatenate(x) for x in zip(*rows))
+    order = np.argsort(h, kind="stable")
+    h, n, text = h[order], n[order], text[order]
+    own, first, texts = np.unique(h, return_index=True, return_counts=True)
+    total, other = np.add.reduceat(n, first) if len(own) else np.zeros(0), np.zeros(len(own))
     for t in clean:
-        c = some(t)
-        for g in c.keys() & often:
-            other[g] += c[g]
+        g, m, *_ = grams_of(t)
+        at = np.minimum(np.searchsorted(own, g), max(0, len(own) - 1)) if len(own) else np.zeros(0, np.int64)
+        hit = own[at] == g[: len(at)]
+        other[at[hit]] += m[: len(at)][hit]
     size = sum(len(t) for t in toxic) / max(1, sum(len(t) for t in clean))
-    weights = {g: np.array([counts[i][g] for i in d], float) for g, d in held.items()}
-    weights = {g: w for g, w in weights.items() if w.sum() / (other[g] + 0.5) / size >= 6}
+    good = np.flatnonzero((texts >= least) & (total / (other + 0.5) / size >= 6))
+    names: dict[int, str] = {}
+    for t in toxic:
+        if len(names) == len(good):
+            break
+        g, _, place, flat = grams_of(t)
+        for x, (at, k) in zip(g.tolist(), place.tolist()) if np.isin(g, own[good]).any() else ():
+            if x in names or not len(good):
+                continue
+            j = int(np.searchsorted(own[good], np.uint64(x)))
+            if j < len(good) and int(own[good[j]]) == x:
+                names[x] = flat[at : at + k]
+    held = {names[int(own[j])]: (text[first[j] : first[j] + texts[j]], n[first[j] : first[j] + texts[j]], other[j]) for j in good.tolist()}
     by: dict[bytes, str] = {}
     # the longest of those that mark the same texts
-    for g in sorted(weights, key=lambda g: (-len(g), g)):
-        by.setdefault(np.array(held[g]).tobytes(), g)
-    open_ = {g: (np.array(held[g]), np.minimum(weights[g], 2) / 2) for g in by.values()}
+    for g in sorted(held, key=lambda g: (-len(g), g)):
+        by.setdefault(held[g][0].tobytes(), g)
+    open_ = {g: (held[g][0], np.minimum(held[g][1], 2) / 2, held[g][2]) for g in by.values()}
     left, out = np.ones(len(toxic)), []
     scale = len(toxic) / max(1, len(clean)) / 2
     while open_ and len(out) < most:
-        gains = {g: (left[d] * w).sum() - scale * other[g] for g, (d, w) in open_.items()}
+        gains = {g: (left[d] * w).sum() - scale * o for g, (d, w, o) in open_.items()}
         best = max(sorted(gains), key=lambda g: (round(gains[g], 6), len(g)))
         if gains[best] < max(1.0, len(toxic) / 400):
             break
         out.append(best)
-        d, w = open_[best]
+        d, w, _ = open_[best]
         left[d] *= 1 - 0.6 * w
         open_ = {g: x for g, x in open_.items() if g not in best and best not in g}
     return out
@@ -332,18 +364,22 @@ def trained(toxic: list[str], clean: list[str], share: float) -> Scorer:
     return out
 
 
-def learned(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int = 4, rows: int = ROWS) -> Scorer:
-    """From the labelled rows of docs whose fold isn't held out."""
-    own = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold(held_out, folds)).select(F.col("doc_id").cast("long").alias("did"), F.col("toxic").cast("int").alias("toxic"))
+def learned(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int = 4, rows: int = ROWS, most: int = BYTES) -> Scorer:
+    """From the labelled rows of docs whose fold isn't held out: of each label, `rows` at most and whole texts of `most` bytes, but one at least."""
+    own = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold(held_out, folds)).select(F.col("doc_id").cast("long").alias("did"), F.col("toxic").cast("int").alias("toxic")).distinct()
     many = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
-    deal = F.pmod(F.xxhash64(F.lit(17), "did"), F.lit(1_000_000))
-    parts = [int(1_000_000 * min(1.0, rows / max(1, many.get(k, 0)))) for k in (0, 1)]
-    some = own.where(deal < F.when(F.col("toxic") == 1, parts[1]).otherwise(parts[0]))  # about 2 * rows in all
-    text = docs.select(F.col("doc_id").cast("long").alias("did"), F.col("text").cast("string").alias("text")).where(F.octet_length("text").between(1, BYTES))
-    found = text.join(F.broadcast(some), "did").select("did", "toxic", "text").collect()
-    found.sort(key=lambda r: (r["did"], r["toxic"], r["text"]))
-    total = max(1, sum(many.values()))
-    return trained([r["text"] for r in found if r["toxic"]], [r["text"] for r in found if not r["toxic"]], many.get(1, 0) / total)
+    share = [min(1.0, (rows + 50) / max(1, many.get(k, 0))) for k in (0, 1)]
+    some = own.where(F.when(F.col("toxic") == 1, sampled(share[1], "did")).otherwise(sampled(share[0], "did")))  # about 2 * rows in all
+    text = docs.select(F.col("doc_id").cast("long").alias("did"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") > 0)
+    found = saved(text.join(F.broadcast(some), "did").withColumn("turn", F.xxhash64(F.lit(5), "did", "text")).distinct(), "labelled")
+    # of rows in the order of their hashes, the first whose bytes fit: about 2 * rows numbers, then the texts
+    order = Window.partitionBy("toxic").orderBy("turn", "did")
+    turns = found.select("toxic", "turn", "did", F.octet_length("text").alias("bytes")).withColumn("place", F.row_number().over(order)).withColumn("upto", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    taken = turns.where((F.col("place") <= rows) & ((F.col("upto") <= most) | (F.col("place") == 1))).select("toxic", "turn", "did").distinct()
+    texts: dict[int, list[str]] = {0: [], 1: []}
+    for r in found.join(F.broadcast(taken), ["toxic", "turn", "did"]).select("toxic", "did", "text").orderBy("did", "toxic", "text").collect():
+        texts[r["toxic"]].append(r["text"])
+    return trained(texts[1], texts[0], many.get(1, 0) / max(1, sum(many.values())))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) -> DataFrame:
@@ -358,10 +394,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) -> DataFr
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("held_out"), pa.array(sent.value.scores(batch.column("text").to_pylist()))], ["did", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(sent.value.scores(batch.column("text").to_pylist()))], ["doc_id", "held_out", "score"])
 
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), in_fold(2, 4).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return base.mapInArrow(score, "did long, held_out boolean, score double").select(doc_id(), "held_out", "score", (F.col("score") >= limit).cast("int").alias("predicted"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), in_fold(2, 4).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return base.mapInArrow(score, "doc_id long, held_out boolean, score double").select("doc_id", "held_out", "score", (F.col("score") >= limit).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) -> DataFrame:

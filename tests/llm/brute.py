@@ -57,17 +57,17 @@ def exact(rows: list[tuple[int, str | None]]) -> list[tuple]:
 
 def lines(rows: list[tuple[int, str | None]], least: int = 40, common: int = 5) -> list[tuple]:
     strip = "\x20\x09\x0a\x0b\x0c\x0d"
-    held = defaultdict(list)
+    held = defaultdict(set)
     for i, t in rows:
         for key in {line.strip(strip).translate(LOWER) for line in (t or "").split("\n")}:
             if len(key) >= least:
-                held[key].append(i)
+                held[key].add(i)
     out = []
     for i, t in rows:
         kept = []
         all_ = (t or "").split("\n")
         for line in all_:
-            ids = held.get(line.strip(strip).translate(LOWER), [])
+            ids = held.get(line.strip(strip).translate(LOWER), ())
             last = max((x for x in ids if x is not None), default=None)
             if len(ids) < common or last is None or last == i:
                 kept.append(line)

@@ -36,6 +36,12 @@ def corpus() -> list[tuple[int | None, str | None]]:
     for k in range(90, 100):
         rows.append((k, rows[25 + k % 4][1]))
     rows += [(100, " ".join(make(30_000))), (101, "\n".join([line] * 3)), (40, rows[40][1]), (41, rows[41][1]), (41, rows[41][1]), (102, "y\n" * 2000)]
+    # the largest and the smallest long, with copies, near copies and shared lines
+    ends = make(40)
+    rows += [((1 << 63) - 1, " ".join(ends)), (-(1 << 63), " ".join(ends)), (-5, " ".join([*ends, "z"])), ((1 << 63) - 2, f"{line}\n{line}")]
+    # a line in many rows of few documents
+    few = " ".join(make(9)) + " in two documents, but six rows of them"
+    rows += [(103, few)] * 5 + [(104, f"{few}\nmore"), (None, few), (None, few)]
     for k in range(110, 150):  # small sets with near copies
         w = make(6 + k % 9)
         rows += [(k, " ".join(w)), (k + 100, " ".join([*w, "z"])), (k + 200, " ".join(w).upper())]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -90,11 +91,20 @@ def test_lines(docs, rows, none) -> None:  # noqa: ANN001
     assert lines.line_dedup(none).count() == 0
 
 
-def test_lines_without_broadcast_filters(docs, rows, monkeypatch) -> None:  # noqa: ANN001
-    monkeypatch.setattr(lines, "FILTER_BYTES", -1)
+def test_lines_in_many_shards(docs, rows, monkeypatch) -> None:  # noqa: ANN001
+    monkeypatch.setattr(lines, "SHARD_KEYS", 3)
     same(lines.line_dedup(docs, 4, 2), brute.lines(rows, 4, 2), "doc_id n_lines n_dropped kept_sha256")
 
 
+def test_lines_count_documents(spark) -> None:  # noqa: ANN001
+    line = "a line that is certainly longer than forty characters"
+    rows = [(1, line)] * 4 + [(2, line)]
+    found = lines.line_dedup(table(spark, rows), with_text=True).collect()
+    assert all(r["kept_text"] == line for r in found)
+    found = lines.line_dedup(table(spark, [*rows, (3, line), (4, line), (5, line + "\n" + line)]), with_text=True).collect()
+    assert {(r["doc_id"], r["kept_text"]) for r in found} == {(1, ""), (2, ""), (3, ""), (4, ""), (5, line + "\n" + line)}
+
+
 def test_cuckoo() -> None:
     r = random.Random(3)
     keys = np.array([r.getrandbits(64) for _ in range(5000)], np.uint64)
@@ -115,6 +125,7 @@ def test_line_deletions_undo_insertions(spark, rows) -> None:  # noqa: ANN001
     old, new = table(spark, [x for x in named if x[0] % 3]), table(spark, [x for x in named if not x[0] % 3])
     before = lines.counts(old, 4)
     after = lines.changed(before, new, 1, least=4)
+    named = [x for x in named if not any(x[0] == y[0] and x[0] % 3 != y[0] % 3 for y in named)]
     key = lambda df: sorted((bytes(r["key"]), r["docs"], r["last"]) for r in df.collect())
     assert key(after) == key(lines.counts(table(spark, named), 4))
     assert key(lines.changed(after, new, -1, old, 4)) == key(before)
@@ -133,6 +144,27 @@ def test_jaccard(docs, rows, n: int, percent: int) -> None:  # noqa: ANN001
     same(partenum.jaccard_components(docs, n, percent), brute.jaccard(rows, n, percent), "doc_id n_shingles component_id")
 
 
+@pytest.mark.parametrize(("n", "percent", "grid"), [(2, 60, 3), (3, 80, 8)])
+def test_jaccard_with_grids(docs, rows, monkeypatch, n: int, percent: int, grid: int) -> None:  # noqa: ANN001
+    """Signatures of more documents than a task compares at once."""
+    monkeypatch.setattr(partenum, "GRID", grid)
+    same(partenum.jaccard_components(docs, n, percent), brute.jaccard(rows, n, percent), "doc_id n_shingles component_id")
+
+
+def test_cells_let_all_meet(spark) -> None:  # noqa: ANN001
+    """In a grid, each pair of different components meets in just one cell, and no cell has more than two blocks."""
+    r = random.Random(1)
+    rows = [(sig, did, 7 if did % 3 else 100 + did % 5, 0) for sig, size in ((1, 60), (2, 9), (3, 25)) for did in range(size)]
+    rows += [(4, did, did, 0) for did in range(30)]
+    held: dict[tuple, list] = {}
+    totals = Counter(x[0] for x in rows)
+    for x in partenum.cells(spark.createDataFrame([(*x, totals[x[0]]) for x in rows], "sig long, did long, component long, hub long, total long"), 10).collect():
+        held.setdefault((x["sig"], x["x"], x["y"]), []).append(x)
+    met = sorted((c[0], *sorted((a["did"], b["did"]))) for c, mine in held.items() for k, a in enumerate(mine) for b in mine[:k] if a["component"] != b["component"] and (a["half"] == 2 or a["half"] != b["half"]))
+    comp = {(s, d): c for s, d, c, _ in rows}
+    assert met == sorted((s, e, d) for s, d in comp for e in range(d) if (s, e) in comp and comp[s, d] != comp[s, e])
+
+
 @pytest.mark.parametrize("crowd", [1, 3])
 def test_jaccard_with_stars_in_blocks(docs, rows, monkeypatch, crowd: int) -> None:  # noqa: ANN001
     monkeypatch.setattr(partenum, "CROWD", crowd)
@@ -140,6 +172,21 @@ def test_jaccard_with_stars_in_blocks(docs, rows, monkeypatch, crowd: int) -> No
     same(partenum.jaccard_components(docs), brute.jaccard(rows), "doc_id n_shingles component_id")
 
 
+def test_near_sketches() -> None:
+    """Sketches of all sizes are compared at the smaller one's; sizes that can't link leave nothing to compare."""
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 2**63, n).astype(np.uint64)) for n in (5, 200, 256, 257, 300, 4000)]
+    sets += [s[: len(s) * 19 // 20] for s in sets]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    bits, n = [partenum.sketch(s) for s in sets], np.array([len(s) for s in sets])
+    a, b = (np.array(x) for x in zip(*pairs))
+    ok = partenum.near(__import__("pyarrow").array([bits[i] for i in a]), n[a], __import__("pyarrow").array([bits[j] for j in b]), n[b], 80)
+    for (i, j), near in zip(pairs, ok.tolist()):
+        assert near or not partenum.linked(sets[i], sets[j], 80)
+        assert not near or i % 6 == j % 6 or min(n[i], n[j]) < 50
+    assert not partenum.near(__import__("pyarrow").array([bits[0]]), n[:1], __import__("pyarrow").array([bits[5]]), n[5:6], 80).any()
+
+
 def test_jaccard_of_nothing(none) -> None:  # noqa: ANN001
     assert partenum.jaccard_components(none).count() == 0
 
@@ -169,24 +216,19 @@ def test_many_near_sets_of_one_signature(spark) -> None:  # noqa: ANN001
         for _ in range(2):
             w[r.randrange(120)] = f"n{k}{r.random()}"
         rows.append((k, " ".join(w)))
-    real = partenum.open_pairs
-    seen = []
-
-    def counted(*args):  # noqa: ANN002, ANN202
-        found = real(*args)
-        seen.append(found[1])
-        return found
-
     wanted = brute.jaccard(rows)
     same(partenum.jaccard_components(table(spark, rows)), wanted, "doc_id n_shingles component_id")
     comp = np.arange(80)
     bits = np.zeros((80, 32), np.uint64)
-    found, whole = counted(np.arange(80), comp, np.full(80, 118), bits, [set()] * 80, 90)
+    apart, all_ = np.full(80, -1), np.full(80, 2)
+    found, whole = partenum.open_pairs(np.arange(80), comp, apart, all_, np.full(80, 118), bits, [set()] * 80, 90)
     assert not whole and 0 < len(found) <= 80
-    found, whole = counted(np.arange(80), comp // 40, np.full(80, 118), bits, [set()] * 79 + [{0}], 90)
+    found, whole = partenum.open_pairs(np.arange(80), comp // 40, apart, all_, np.full(80, 118), bits, [set()] * 79 + [{0}], 90)
     assert not whole and len(found) == 1
-    found, whole = counted(np.arange(3), comp[:3], np.full(3, 118), bits[:3], [{1}, {0}, set()], 90)
+    found, whole = partenum.open_pairs(np.arange(3), comp[:3], apart[:3], all_[:3], np.full(3, 118), bits[:3], [{1}, {0}, set()], 90)
     assert whole and sorted(found) == [(0, 2), (1, 2)]
+    found, whole = partenum.open_pairs(np.arange(3), comp[:3], np.zeros(3, np.int64), all_[:3], np.full(3, 118), bits[:3], [set()] * 3, 90)
+    assert whole and sorted(found) == [(1, 2)]
 
 
 @settings(max_examples=80, deadline=None)

@@ -3,7 +3,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,26 @@ def test_leaks_in_blocks(spark, docs, rows, monkeypatch) -> None:  # noqa: ANN00
     same(leaks.leaks(docs, items(spark, held)), brute.leaks(rows, held), "doc_id item_id item_shingles shared containment")
 
 
+def test_recall_of_signatures() -> None:
+    """Items of all sizes inside long documents, four fifths of each there: candidates by signatures of 128 values at most."""
+    r = random.Random(7)
+    word = lambda: str(r.randint(0, 10**7))
+    hit = tried = 0
+    for size in [*range(1, 40), 60, 100, 200, 400, 900]:
+        for _ in range(6):
+            w = [word() for _ in range(size + 4)]
+            items = leaks.Items([0], [" ".join(w)], 5)
+            assert all(len(values) <= leaks.BINS for values, _, _ in items.parts.values())
+            held = w[: 4 + -(-4 * size // 5)]
+            doc = [word() for _ in range(3000)]
+            at = r.randrange(3000)
+            doc = [*doc[:at], *held, *doc[at:]]
+            found = leaks.verified(items, pa.RecordBatch.from_pydict({"text": [" ".join(doc)]}), 0, 80)
+            tried += 1
+            hit += len(found) == 1 and found[0][3] == len(held) - 4
+    assert hit / tried > 0.995
+
+
 def test_a_short_item_inside_a_long_document(spark) -> None:  # noqa: ANN001
     r = random.Random(2)
     w = [str(r.randint(0, 10**6)) for _ in range(100_000)]
@@ -86,6 +106,55 @@ def test_lm_is_a_distribution_and_beats_its_base(spark, monkeypatch) -> None:  #
     assert sum(10 ** first[i] for i in held_ids) < 1
 
 
+def test_lm_scores_against_the_plain_way(spark, monkeypatch) -> None:  # noqa: ANN001
+    """All words are units here, so the exchange settles the classes; the rest is worked out with dictionaries. Over all
+    words, the end and an unknown word of each ending, probabilities after any word sum to 1."""
+    r = random.Random(14)
+    vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi") for b in ("ra", "tis", "no", "é")]
+    rows = [(k, " ".join(r.choice(vocabulary) for _ in range(r.randint(0, 25)))) for k in range(150)]
+    rows += [(k, f"ka new{k} {r.choice(vocabulary)} Lotis") for k in range(150, 170)] + [(None, "kara mino"), (200, None), (200, "x kara"), (201, rows[0][1])]
+    monkeypatch.setattr(brown, "CLASSES", 5)
+    train = [[*brute.words(t, True), " "] for i, t in rows if brute.fold(i, 5) != 1]
+    n = Counter(w for t in train for w in t)
+    order = sorted((w for w in n if w != " "), key=lambda w: (-n[w], w.encode()))
+    first, end = brown.WORDS, brown.WORDS + brown.SUFFIXES
+    unit = {w: k for k, w in enumerate(order)} | {" ": end}
+    bigrams = np.zeros((end + 1, end + 1))
+    for t in train:
+        for a, b in zip([" ", *t], t):
+            bigrams[unit[a], unit[b]] += 1
+    of = brown.exchange(bigrams, 5).tolist()
+    steps: Counter = Counter()
+    for t in train:
+        for a, b in zip([" ", *t], t):
+            steps[of[unit[a]], of[unit[b]]] += 1
+    total = sum(steps.values())
+    own = [(sum(steps[a, c] for a in range(5)) + 0.5) / (total + 0.5 * 5) for c in range(5)]
+    step = lambda a, b: (steps[a, b] + brown.BACK * own[b]) / (sum(steps[a, c] for c in range(5)) + brown.BACK)
+    mass = [0.0] * 5
+    for w, k in n.items():
+        mass[of[unit[w]]] += k + 0.5
+    for e in range(first, end):
+        mass[of[e]] += 0.5
+
+    def ending(w: str) -> int:
+        b = np.frombuffer(w.encode(), np.uint8)
+        return first + int(brown.suffix_unit(b, np.array([0]), np.array([len(b)]))[0])
+
+    cls = lambda w: of[unit[w]] if w in n else of[ending(w)]
+    p = lambda a, w: step(cls(a), cls(w)) * (n[w] + 0.5) / mass[cls(w)]
+    for a in (" ", "kara", "nothing"):
+        unknown = sum(step(cls(a), of[e]) * 0.5 / mass[of[e]] for e in range(first, end))
+        assert math.isclose(sum(p(a, w) for w in n) + unknown, 1.0, rel_tol=1e-9)
+    wanted = []
+    for i, t in rows:
+        t = [*brute.words(t, True), " "]
+        wanted.append((i is None, i or 0, sum(math.log10(p(a, w)) for a, w in zip([" ", *t], t))))
+    got = sorted((x["doc_id"] is None, x["doc_id"] or 0, x["score"]) for x in brown.lm_scores(table(spark, rows)).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(wanted)]
+    assert np.allclose([x[2] for x in got], [x[2] for x in sorted(wanted)], rtol=1e-9)
+
+
 def test_lm_classes_of_rare_words(spark, monkeypatch) -> None:  # noqa: ANN001
     """Two kinds of words take turns; all end alike and most aren't units, so only classes of their own tell them apart."""
     r = random.Random(6)
@@ -168,6 +237,86 @@ def test_kernel_against_its_definition() -> None:
             assert math.isclose(float(k.raw(rows, ids)[0]), wanted, abs_tol=1e-12)
 
 
+def test_scores_against_the_definition() -> None:
+    """Whole scores of a trained model, by the kernel's definition word by word."""
+    r = random.Random(18)
+    word = lambda: "".join(r.choice("aeiourtnsm") for _ in range(r.randint(2, 7)))
+    clean = [" ".join(word() for _ in range(40)) for _ in range(120)]
+    toxic = [f"{t} dunderpate. {word()} nitwit!" for t in clean[:30]]
+    s = toxicity.trained(toxic, clean[30:], 0.2)
+
+    def raw(word: str, mark: str) -> float:
+        """The sum over pairs of equal subsequences: the last matches at (i, j), weighted by what is spanned."""
+        d, size = toxicity.DECAY, toxicity.LENGTH
+        last: dict[tuple[int, int, int], float] = {}
+        for k in range(size):
+            for i, x in enumerate(word):
+                for j, y in enumerate(mark):
+                    if x == y:
+                        last[k, i, j] = d * d * (1 if not k else sum(last.get((k - 1, a, b), 0.0) * d ** (i - a - 1 + j - b - 1) for a in range(i) for b in range(j)))
+        return sum(v for (k, _, _), v in last.items() if k == size - 1)
+
+    own = [raw(m, m) for m in s.kernel.landmarks]
+
+    def like(word: str) -> dict[int, float]:
+        p = toxicity.plain(word)
+        out: dict[int, float] = {}
+        if len(p) >= toxicity.LENGTH - 1:
+            p, half = toxicity.START + p, toxicity.SPAN // 2
+            for a in range(0, max(1, len(p) - half), half):
+                for k, m in enumerate(s.kernel.landmarks):
+                    v = min(raw(p[a : a + toxicity.SPAN], m) / own[k], 1.0)
+                    if v >= toxicity.FLOOR:
+                        out[k] = max(v, out.get(k, 0.0))
+        return out
+
+    for text in [*toxic[:3], *clean[:2], "", "d u n d e r p a t e you. Nit-wit and dun.derpate!", "x" * 40 + "nitwit", "nitwit " * 9]:
+        rows, words = [], {}
+        for sentence in toxicity.sentences(text):
+            row: dict[int, float] = {}
+            for w in sentence:
+                for k, v in like(w).items():
+                    row[k] = max(v, row.get(k, 0.0))
+                if like(w):
+                    words[toxicity.plain(w)] = like(w)
+            if row:
+                rows.append(row)
+        decide = lambda row: max(0.0, sum(s.weights[k] * v for k, v in row.items()) - toxicity.FAINT)
+        worst, n = max(map(decide, rows), default=0.0), len(text.split())
+        found = sum(map(decide, words.values()))
+        x = [worst, max(0.0, worst - 0.8), max(0.0, worst - 1.2), math.log1p(sum(map(decide, rows))), math.log1p(found), found / (1 + n / 100), math.log1p(n) / 4]
+        wanted = 1 / (1 + math.exp(-(sum(a * b for a, b in zip(x, s.last)) + s.last[-1])))
+        assert math.isclose(s.scores([text])[0], wanted, rel_tol=1e-9), text
+
+
+def test_landmarks_of_many_letters() -> None:
+    """All of 300 different characters count."""
+    marks = ["".join(chr(0x4E00 + 7 * k + j) for j in range(7)) for k in range(48)]
+    k = toxicity.Kernel(marks)
+    assert (k.own > 0).all()
+    k.look_at(set(marks))
+    assert all(k.like[m][0][0] == i for i, m in enumerate(marks))
+
+
+def test_strings_of_long_words_are_counted() -> None:
+    h, n, place, flat = toxicity.grams_of("x" * 5000 + "blockhead blockhead. b-lockhead")
+    named = {flat[a : a + k]: int(c) for (a, k), c in zip(place.tolist(), n.tolist())}
+    assert named["khead"] == 3 and named["^bloc"] == 2 and len(named) == len(h)
+    assert toxicity.grams_of("")[0].size == 0
+
+
+def test_long_labelled_texts_teach(spark) -> None:  # noqa: ANN001
+    """The only toxic examples are longer than 32 KB; what they say is learned."""
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("aeioulrtnsmdk") for _ in range(r.randint(2, 8)))
+    rows = [(k, " ".join(word() for _ in range(7000 if k < 12 else 60)), int(k < 12)) for k in range(400)]
+    rows = [(k, f"{t} dunderpate. " * (1 if y else 0) + t * (not y) + " you dunderpate" * y, y) for k, t, y in rows]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    s = toxicity.learned(docs, labels)
+    assert s.kernel and any(m.strip("^") in "dunderpate" for m in s.kernel.landmarks)
+
+
 def test_long_words_are_seen_whole() -> None:
     k = toxicity.Kernel(["^idiot"])
     k.look_at({"x" * 5000 + "idiot" + "y" * 5000, "x" * 30})
@@ -250,13 +399,94 @@ def test_kneser_ney_sums_to_one() -> None:
         ids[ord(c)] = k + 2
     chars, off, letters = language.codes(["abcabcaab b", "", "c!!c"], ids)
     assert letters.tolist() == [10, 0, 2] and np.diff(off).tolist() == [11, 0, 3]
-    found, n = np.unique(language.grams(chars, off), return_counts=True)
+    found, n = np.unique(language.grams(chars, off), axis=1, return_counts=True)
     m = language.Model(found, n, 4)
-    for context in (0, 2, 2 << 12 | 3, 4 << 36 | 4 << 24 | 2 << 12 | 2):
-        p = np.exp(m.log(np.array([context << language.BITS | c for c in range(5)])))
+    for context in ((0, 0, 0, 0), (2, 0, 0, 0), (3, 2, 0, 0), (2, 2, 4, 4)):
+        rows = np.array([[c, *context] for c in range(5)], np.uint32).T
+        p = np.exp(m.log(language.hashed(rows), language.hashed(rows[1:])))
         assert math.isclose(p.sum(), 1.0, rel_tol=1e-9)
 
 
+def test_language_against_counts_by_name(spark) -> None:  # noqa: ANN001
+    """The whole query against interpolated Kneser-Ney worked out with dictionaries."""
+    r = random.Random(12)
+    kinds = {"aa": "abcdef", "bb": "abxyzé", "cc": "жзик"}
+    rows = [(k, lang, " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(r.randint(1, 12)))) for k in range(240) for lang, letters in [r.choice(list(kinds.items()))]]
+    rows += [(300, "aa", None), (301, None, "abc abc"), (302, "bb", "123")]
+    docs = spark.createDataFrame([(i, t, lang) for i, lang, t in rows], "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in language.languages(docs).collect()}
+    taken = {(x["lang"], x["text"]) for x in language.sample(docs.where("lang IS NOT NULL").selectExpr("doc_id", "lang", "coalesce(text, '') AS text").where(~language.in_fold(1, 3)).select("lang", "text")).where("not calibrates").collect()}
+    letters = {c for lang, t in {(lang, t or "") for i, lang, t in rows if lang and brute.fold(i, 3) != 1} for c in t if c.isalpha()}
+
+    def chars(t: str | None) -> list[str]:
+        out: list[str] = []
+        for c in t or "":
+            c = c if c in letters else "?" if c.isalpha() else " "
+            if c != " " or out and out[-1] != " ":
+                out.append(c)
+        return out
+
+    def model(lang: str):  # noqa: ANN202
+        orders = [Counter() for _ in range(6)]
+        for own, t in taken:
+            if own == lang:
+                c = [" "] * 4 + chars(t)
+                orders[5].update(tuple(c[i - 4 : i + 1]) for i in range(4, len(c)))
+        for k in range(4, 0, -1):
+            orders[k] = Counter(g[1:] for g in orders[k + 1])
+
+        def p(g: tuple) -> float:
+            if not g:
+                return 1 / (len(letters) + 3)
+            table = orders[len(g)]
+            ones, twos = (sum(n == k for n in table.values()) for k in (1, 2))
+            less = ones / (ones + 2 * twos) if ones and twos else 0.5
+            same = [n for x, n in table.items() if x[:-1] == g[:-1]]
+            return (max(table[g] - less, 0) + less * len(same) * p(g[1:])) / sum(same) if same else p(g[1:])
+
+        return p
+
+    models = {lang: model(lang) for lang in kinds}
+    for i, _, t in rows:
+        c = chars(t)
+        if not any(x != " " for x in c):
+            assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0
+            continue
+        if i % 6 and t:  # a sixth is enough
+            continue
+        padded = [" "] * 4 + c
+        cross = {lang: -sum(math.log(p(tuple(padded[k - 4 : k + 1]))) for k in range(4, len(padded))) / len(c) for lang, p in models.items()}
+        best = min(cross, key=lambda lang: (cross[lang], lang))
+        assert got[i]["lang_pred"] == best
+        assert math.isclose(got[i]["cross_entropy"], cross[best], rel_tol=1e-9)
+
+
+def test_letters_of_a_large_alphabet_are_told_apart() -> None:
+    """Languages that differ only in which of 12,000 letters they have."""
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 12_000)]
+    ids = np.zeros(0x110000, np.uint32)
+    ids[[ord(c) for c in letters]] = [ord(c) for c in letters]
+    models = []
+    for part in (letters[::2], letters[1::2]):
+        chars, off, _ = language.codes(["".join(part)], ids)
+        found, n = np.unique(language.grams(chars, off), axis=1, return_counts=True)
+        models.append(language.Model(found, n, len(letters) + 2))
+    chars, off, n = language.codes([letters[11_998], letters[11_999]], ids)
+    assert n.tolist() == [1, 1]
+    assert language.entropies(models, chars, off).argmin(1).tolist() == [0, 1]
+
+
+def test_shares_of_very_many_rows_are_not_zero(spark) -> None:  # noqa: ANN001
+    from siftline.llm.common import limit_of, sampled
+
+    for count in (10**10, 10**12, 10**18):
+        assert math.isclose(limit_of(2000 / count) / 2**63, 2000 / count, rel_tol=0.01)
+    assert limit_of(1e-30) == 1 and limit_of(0.0) == 0
+    assert spark.range(1000).where(sampled(1.0, "id")).count() == 1000
+    assert spark.range(1000).where(sampled(0.0, "id")).count() == 0
+    assert 300 < spark.range(1000).where(sampled(0.4, "id")).count() < 500
+
+
 def test_quality(spark, docs, none) -> None:  # noqa: ANN001
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     found = [r for r in quality.quality(documents(spark, SF)).collect() if r["doc_id"] in labels]
@@ -268,6 +498,108 @@ def test_quality(spark, docs, none) -> None:  # noqa: ANN001
     assert not any(r["keep"] or r["score"] for r in quality.quality(docs).where("n_words = 0").collect())
 
 
+def plain_votes(text: str) -> tuple[list[int], list[str]]:
+    """The labellers' votes by their definitions: 0 nothing, 1 bad, 2 good."""
+    w = brute.words(text)
+    n = len(w)
+    ascii_marks = {c for c in map(chr, range(33, 127)) if not c.isalnum()}
+    raw = text.encode()
+    visible = sum(b not in b" \t\n\x0b\x0c\r" for b in raw)
+    letters = sum(chr(b) in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in raw)
+    again = [k > 0 and w[k] == w[k - 1] for k in range(n)]
+    share = lambda flags: sum(flags) / max(n, 1)
+    lines = [x for x in text.encode().splitlines(keepends=True) if len(x) >= 10]
+    bare = [x.rstrip(b"\n") for x in lines]
+    found = {
+        "symbols": sum(chr(b) in ascii_marks - set(".,;:'\"()-?") for b in raw) / max(visible, 1),
+        "capitals": sum(65 <= b <= 90 for b in raw) / max(letters, 1),
+        "repeats": share(again),
+        "runs": share([again[k] and k > 0 and again[k - 1] for k in range(n)]),
+        "tails": share([len(x.encode()) > 1 and x[-1] in ascii_marks and x[-1] == x[-2] for x in w]),
+        "marks": share([x[0] in ascii_marks and x[-1] in ascii_marks and len(x.encode()) <= 2 for x in w]),
+        "distinct": len(set(w)) / max(n, 1) ** 0.9,
+        "length": visible / max(n, 1),
+        "stops": share([x[-1] in ".!?" for x in w]),
+        "lines": sum(x in bare[:k] for k, x in enumerate(bare)) / max(len(bare), 1),
+    }
+    out = []
+    for name, (bad, good) in quality.LABELLERS.items():
+        inside = lambda low, high, x=found[name]: (low is None or x >= low) and (high is None or x <= high)
+        vote = 1 if inside(*bad) else 2 if inside(*good) else 0
+        out.append(vote if n >= quality.NEEDS.get(name, 1) else 0)
+    return out, w
+
+
+def test_quality_against_the_plain_way(spark) -> None:  # noqa: ANN001
+    """Votes, expectation-maximisation and scorer of a small corpus, worked out with lists and dictionaries."""
+    r = random.Random(31)
+    words = [f"{a}{b}" for a in ("Ka", "lo", "mi", "ter") for b in ("ra", "tis.", "no", "b,")]
+    rows = []
+    for k in range(60):
+        w = [r.choice(words) for _ in range(r.randint(0, 90))]
+        if k % 4 == 1:
+            w = [x.upper() + "!!" for x in w]
+        if k % 4 == 2:
+            w = [x for y in w for x in (y, y, y)]
+        text = " ".join(w)
+        rows.append((k, text + ("\na line of some length" * 3 if k % 5 == 0 else "") + (" ## %% @@ <>" * 5 if k % 7 == 0 else "")))
+    got = {x["doc_id"]: x for x in quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    plain = {i: plain_votes(t) for i, t in rows}
+    voters = [v for v, w in plain.values() if w]
+    names = range(len(quality.LABELLERS))
+    bad, good, prior = [0.5] * len(names), [0.05] * len(names), 0.8
+    post: list[float] = []
+    for _ in range(300):
+        new = []
+        for v in voters:
+            odds = math.log((1 - prior) / prior)
+            for j in names:
+                odds += math.log(bad[j] / good[j]) if v[j] == 1 else math.log((1 - bad[j]) / (1 - good[j])) if v[j] == 2 else 0
+            new.append(1 / (1 + math.exp(odds)))
+        done = post and max(abs(a - b) for a, b in zip(new, post)) < 1e-9
+        post = new
+        if done:
+            break
+        for table, weight, start in ((bad, [1 - p for p in post], 0.5), (good, post, 0.05)):
+            for j in names:
+                hit = sum(p for p, v in zip(weight, voters) if v[j] == 1)
+                table[j] = (hit + start * 10) / (sum(p for p, v in zip(weight, voters) if v[j]) + 10)
+        for j in names:
+            good[j] = min(good[j], quality.FALSE_ALARMS)
+        prior = min(max((sum(post) + 8) / (len(voters) + 10), 0.01), 0.99)
+    of = dict(zip([i for i, (v, w) in plain.items() if w], post))
+    assert [got[i]["n_words"] for i, _ in rows] == [len(plain[i][1]) for i, _ in rows]
+    assert all(math.isclose(got[i]["posterior"], of.get(i, 0.0), abs_tol=1e-6) for i, _ in rows)
+    assert all((got[i]["score"] >= 0.5) == got[i]["keep"] for i, _ in rows)
+    # the scorer learns what the posteriors say, and only from words and their shapes
+    sure = [i for i in of if abs(of[i] - 0.5) > 0.4]
+    assert np.mean([(of[i] > 0.5) == got[i]["keep"] for i in sure]) > 0.9
+    same_words: dict[tuple, float] = {}
+    for i, t in rows:
+        assert math.isclose(same_words.setdefault(tuple(brute.words(t)), got[i]["score"]), got[i]["score"])
+
+
+def test_scorer_against_dictionaries() -> None:
+    """Logistic AdaGrad on a few sparse rows."""
+    rows = [(0.9, np.array([3, 70]), np.array([0.5, 0.25])), (0.1, np.array([3, 9]), np.array([0.2, 0.8])), (0.7, np.array([70]), np.array([1.0]))]
+    w, b = quality.trained(rows, 4)
+    weights: dict[int, float] = defaultdict(float)
+    seen: dict[int, float] = defaultdict(lambda: 1e-6)
+    bias, seen_bias = 0.0, 1e-6
+    order = np.random.default_rng(7)
+    for _ in range(4):
+        for i in order.permutation(3).tolist():
+            y, at, x = rows[i]
+            g = 1 / (1 + math.exp(-(bias + sum(weights[k] * v for k, v in zip(at.tolist(), x.tolist()))))) - y
+            for k, v in zip(at.tolist(), x.tolist()):
+                step = g * v + 1e-7 * weights[k]
+                seen[k] += step * step
+                weights[k] -= 0.7 * step / math.sqrt(seen[k])
+            seen_bias += g * g
+            bias -= 0.3 * g / math.sqrt(seen_bias)
+    assert math.isclose(b, bias, rel_tol=1e-9) and all(math.isclose(w[k], v, rel_tol=1e-9) for k, v in weights.items())
+
+
 def test_em_recovers_accuracies() -> None:
     r = np.random.default_rng(1)
     names = len(quality.LABELLERS)
