@@ -1,9 +1,9 @@
 """Line dedup: exact reference counts of line keys, in shards, each with a cuckoo filter in front.
 
 A key is a line stripped of [\\x20\\x09-\\x0D] and lower-cased in A-Z, if it has at least `least` code points; it is held as
-its SHA-256. The exact table has a row a key: how many documents hold it, and the largest doc_id among them. Keys held
-by at least `common` documents are the common ones. Each shard's cuckoo filter holds the fingerprints of its common keys:
-a document's lines that miss it are settled where they are read, and only hits go on to the exact table.
+16 bytes of its SHA-256. The exact table has a row a key: how many documents hold it, and the largest doc_id among them.
+Keys held by at least `common` documents are the common ones. Each shard's cuckoo filter holds the fingerprints of its
+common keys and stays with its shard: lines' keys are sent there, and only hits go on to the exact table.
 
 Insertions and deletions change the counts of the keys they touch, and insert or delete fingerprints as keys become or
 cease to be common; a deletion undoes the insertion.
@@ -20,15 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import NO_ID, doc_id, keyed, saved, slices
+from siftline.llm.common import SPACES, doc_id, keyed, saved, settled, slices
 
 LEAST, COMMON = 40, 5
 #: Keys a shard: its filter takes about this many bytes times 2.4 / 0.9.
 SHARD_KEYS = 200_000
-#: Filters of more bytes than this aren't broadcast; the exact join then sees all keys.
-FILTER_BYTES = 48 << 20
-SLOTS, KICKS = 4, 500
-STRIP = " \t\n\x0b\x0c\r"
+SLOTS, KICKS, KEY_BYTES = 4, 500, 16
+#: Tasks among which a shard's keys are dealt.
+SALTS = 8
 
 
 class Cuckoo:
@@ -110,35 +109,29 @@ def shard_of(shards: int) -> F.Column:
     return (b[0] + b[1] + b[2] + b[3]) % shards
 
 
-def line_keys(text: str, least: int) -> list[tuple[str, bytes | None]]:
+def line_keys(text: bytes, least: int) -> list[tuple[bytes, bytes | None]]:
     """Each line, and its key if it is long enough."""
     out = []
-    for line in text.split("\n"):
+    for line in text.split(b"\n"):
         key = None
-        if len(line) >= least and len(s := line.strip(STRIP)) >= least:
-            key = hashlib.sha256(s.encode().lower()).digest()
+        if len(line) >= least and len(s := line.strip(SPACES)) >= least and len(s.decode()) >= least:
+            key = hashlib.sha256(s.lower()).digest()[:KEY_BYTES]
         out.append((line, key))
     return out
 
 
 def counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """The exact table: key, docs (rows that hold it), last (largest doc_id, or null where all are null)."""
+    """The exact table: key, docs (distinct doc_ids that hold it, null ones as one), last (the largest, or null)."""
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            n: dict[bytes, int] = {}
-            last: dict[bytes, int] = {}
-            for did, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                did = -NO_ID if did is None else did
-                for key in {k for _, k in line_keys(text, least) if k}:
-                    n[key] = n.get(key, 0) + 1
-                    if last.get(key, -NO_ID) <= did:
-                        last[key] = did
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64()), pa.array([last[k] for k in n], pa.int64())], ["key", "docs", "last"])
+            found = {(k, did) for did, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for _, k in line_keys(text.encode(), least) if k}
+            keys, ids = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc_id"])
 
-    rows = keyed(docs).select(doc_id(), "text").mapInArrow(held, "key binary, docs long, last long")
-    table = rows.groupBy("key").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
-    return table.withColumn("last", F.when(F.col("last") != -NO_ID, F.col("last")))
+    # a key that very many documents hold is spread until its pairs are distinct
+    pairs = keyed(docs).select(doc_id(), "text").mapInArrow(held, "key binary, doc_id long").distinct()
+    return pairs.groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
 
 
 def filters(common: DataFrame, shards: int) -> DataFrame:
@@ -151,6 +144,49 @@ def filters(common: DataFrame, shards: int) -> DataFrame:
     return common.select(shard_of(shards).alias("shard"), "key").groupBy("shard").applyInPandas(build, "shard long, keys long, filter binary")
 
 
+def screened(base: DataFrame, built: DataFrame, shards: int, least: int) -> DataFrame:
+    """key, holders (did, none, h) of lines that their shard's filter may hold: keys go to their shard, beside its filter.
+
+    A key travels once a block of input, with all its holders there. Each filter stands SALTS times, so a shard with a
+    line of very many documents is no single task; in a task, a filter's row comes before its keys.
+    """
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            held: dict[bytes, list[int]] = {}
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                for key in {k for _, k in line_keys(text.encode(), least) if k}:
+                    held.setdefault(key, []).append(i)
+            if held:
+                keys = list(held)
+                off = np.concatenate([[0], np.cumsum([len(x) for x in held.values()])]).astype(np.int32)
+                rows = pa.array([i for x in held.values() for i in x], pa.int64())
+                who = pa.StructArray.from_arrays([batch.column(c).take(rows) for c in ("did", "none", "h")], ["did", "none", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard8(keys, shards).astype(np.int64)), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(off), who)], ["shard", "key", "holders"])
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None
+        for batch in batches:
+            shard, made = batch.column("shard").to_numpy(), batch.column("filter")
+            heads = np.flatnonzero(made.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            ok = np.zeros(len(shard), bool)
+            for a, b in zip([0, *heads], [*heads, len(shard)]):
+                if a in heads:
+                    now, held = shard[a], Cuckoo(np.frombuffer(made[a].as_py(), np.uint16).reshape(-1, SLOTS))
+                    a += 1
+                mine = a + np.flatnonzero(shard[a:b] == now)  # a shard without a filter has no common key
+                if len(mine):
+                    ok[mine] = held.has(first8(batch.column("key").take(pa.array(mine)).to_pylist())) if len(held.table) else True
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("holders")], ["key", "holders"]).filter(pa.array(ok))
+
+    holders = "array<struct<did:long,none:boolean,h:long>>"
+    salt = F.pmod(F.xxhash64(F.col("holders")[0]), F.lit(SALTS))
+    keys = base.mapInArrow(sent, f"shard long, key binary, holders {holders}").select("shard", salt.alias("salt"), F.lit(None).cast("binary").alias("filter"), "key", "holders")
+    heads = built.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), "filter", F.lit(None).cast("binary").alias("key"), F.lit(None).cast(holders).alias("holders"))
+    together = heads.unionByName(keys).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
+    return together.mapInArrow(screen, f"key binary, holders {holders}")
+
+
 def changed(table: DataFrame, docs: DataFrame, sign: int, rest: DataFrame | None = None, least: int = LEAST) -> DataFrame:
     """The exact table after the documents were inserted (sign 1) or deleted (-1; rest: the documents that stay).
 
@@ -194,64 +230,31 @@ def line_dedup(docs: DataFrame, least: int = LEAST, common: int = COMMON, table:
     """Per row: doc_id, n_lines, n_dropped, kept_sha256 (and kept_text).
 
     Lines end at \\n; a null or empty text is one empty line. A line goes when its key is common and the document isn't
-    the largest doc_id that holds it; a null doc_id counts as a holder and never as the largest, unless all holders are
-    null: then all keep it. Rows that repeat a doc_id are holders each. Other columns are left out; an empty table gives
-    no rows. table: the exact table of a larger or earlier state, docs' own where none is given.
+    the largest doc_id that holds it. Rows with one doc_id are one document, and each keeps its lines if that id is the
+    largest; rows with a null doc_id are one more, which is never the largest. Other columns are left out; an empty table
+    gives no rows. table: the exact table of a larger or earlier state, docs' own where none is given.
     """
-    spark = docs.sparkSession
     hot = saved((counts(docs, least) if table is None else table).where(F.col("docs") >= common), "common-lines")
-    total = hot.count()
-    shards = max(1, -(-total // SHARD_KEYS))
-    built = saved(filters(hot, shards), "line-filters")
-    size = built.agg(F.sum(F.length("filter"))).first()[0] or 0
-    screen = None
-    if size <= FILTER_BYTES:
-        screen = spark.sparkContext.broadcast({r["shard"]: r["filter"] for r in built.select("shard", "filter").collect()})
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {s: Cuckoo(np.frombuffer(f, np.uint16).reshape(-1, SLOTS)) for s, f in screen.value.items()} if screen else {}
-        for batch in slices(batches, "text", 4 << 20):
-            at, keys = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                for key in {k for _, k in line_keys(text, least) if k}:
-                    at.append(i)
-                    keys.append(key)
-            if not keys:
-                continue
-            ok = np.ones(len(keys), bool)
-            if screen:
-                ok[:] = False
-                of = shard8(keys, shards)
-                short = first8(keys)
-                for s, f in held.items():
-                    mine = np.flatnonzero(of == s)
-                    ok[mine] = f.has(short[mine]) if len(f.table) else True
-            picked = np.flatnonzero(ok)
-            rows = pa.array([at[i] for i in picked], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("did").take(rows), batch.column("h").take(rows), pa.array([keys[i] for i in picked], pa.binary())], ["did", "h", "key"])
-
+    shards = max(1, -(-hot.count() // SHARD_KEYS))
     base = keyed(docs)
-    found = base.mapInArrow(hits, "did long, h long, key binary")
-    gone = found.join(hot.select("key", "last"), "key").where(F.col("last").isNotNull() & (F.col("last") != F.col("did"))).select("did", "h", "key")
-    gone = gone.groupBy("did", "h").agg(F.collect_set("key").alias("keys"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            lines, dropped, kept = [], [], []
-            for text, keys in zip(batch.column("text").to_pylist(), batch.column("keys").to_pylist()):
-                lines.append(text.count("\n") + 1)
-                if keys:
-                    keys = set(keys)
-                    text = [line for line, k in line_keys(text, least) if k not in keys]
-                    dropped.append(lines[-1] - len(text))
-                    kept.append("\n".join(text))
-                else:
-                    dropped.append(0)
-                    kept.append(text)
-            sha = [hashlib.sha256(t.encode()).hexdigest() for t in kept]
-            out = [batch.column("did"), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(sha), *([pa.array(kept)] if with_text else [])]
-            yield pa.RecordBatch.from_arrays(out, ["did", "n_lines", "n_dropped", "kept_sha256", *(["kept_text"] if with_text else [])])
-
-    joined = base.join(gone, ["did", "h"], "left").select("did", "text", "keys")
-    done = joined.mapInArrow(cut, "did long, n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * with_text)
+    found = screened(base, saved(filters(hot, shards), "line-filters"), shards, least)
+    rows = found.join(hot.select("key", "last"), "key").select("key", "last", F.explode("holders").alias("x")).where(F.col("last").isNotNull() & (F.col("x.none") | (F.col("x.did") != F.col("last"))))
+    gone = saved(rows.groupBy("x.did", "x.h").agg(F.collect_set("key").alias("keys")), "gone-lines")
+
+    def cut(texts: list[bytes], keys: list[list[bytes] | None]) -> list[pa.Array]:
+        n, dropped, kept = [], [], []
+        for text, own in zip(texts, keys):
+            n.append(text.count(b"\n") + 1)
+            if own:
+                own = set(own)
+                left = [line for line, k in line_keys(text, least) if k not in own]
+                dropped.append(n[-1] - len(left))
+                text = b"\n".join(left)
+            else:
+                dropped.append(0)
+            kept.append(text)
+        out = [pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in kept], pa.string())]
+        return [*out, pa.array([t.decode() for t in kept], pa.string())] if with_text else out
+
+    done = settled(base, gone, cut, "n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * with_text)
     return done.select(doc_id(), "n_lines", "n_dropped", "kept_sha256", *(["kept_text"] if with_text else []))
