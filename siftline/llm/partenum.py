@@ -21,18 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import NO_ID, ODD, Bloom, flat, gram_hashes, keyed, mixed, plan_bytes, saved, shuffle_partitions, slices, span_hashes, trim, word_spans
+from siftline.llm.common import ODD, Bloom, flat, gram_hashes, keyed, mixed, saved, shuffle_partitions, slices, span_hashes, text_bytes, trim, word_spans
 from siftline.operators.components import components
+from siftline.tables import dropped
 
 WORDS, PERCENT = 3, 90
 PARTS = 3
 #: Powers of two that bound the bits of a parity sketch; in between, it has two bits an element or more.
-SKETCH = 11, 16
-BUCKET_BYTES = 2 << 20
+SKETCH = 10, 16
+BUCKET_BYTES = 4 << 20
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377], np.uint64)
 
 
@@ -125,7 +127,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def sketch(values: np.ndarray) -> bytes:
     """The parity of the number of elements that fall on each bit."""
-    bits = 1 << min(SKETCH[1], max(SKETCH[0], (2 * len(values) - 1).bit_length() if len(values) else 0))
+    bits = 1 << min(SKETCH[1], max(SKETCH[0], max(0, 2 * len(values) - 1).bit_length()))
     return np.packbits(np.bincount((mixed(values ^ SEEDS[4]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
@@ -139,13 +141,19 @@ def within(n: np.ndarray | int, m: np.ndarray | int, differ: np.ndarray | int, p
     return differ * (100 + percent) <= (n + m) * (100 - percent)
 
 
-def near(one: bytes, n: int, two: bytes, m: int, percent: int) -> bool:
-    """Whether two sketches leave a link possible."""
-    if not within(n, m, abs(n - m), percent):
-        return False
-    a, b = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
-    size = min(len(a), len(b))
-    return bool(within(n, m, int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum()), percent))
+def near(one: pa.Array, n: np.ndarray, two: pa.Array, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether each pair of sketches leaves a link possible."""
+    out = within(n, m, np.abs(n - m), percent)
+    a, b = (pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (one, two))
+    kinds, of = np.unique(np.stack([a, b]), axis=1, return_inverse=True)
+    for k, (p, q) in enumerate(kinds.T.tolist()):
+        rows = np.flatnonzero((of.ravel() == k) & out)
+        if not len(rows):
+            continue
+        x, y = (np.frombuffer(b"".join(z.take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), -1, min(p, q)) for z in (one, two))
+        differ = np.bitwise_count(np.bitwise_xor.reduce(x, axis=1) ^ np.bitwise_xor.reduce(y, axis=1)).sum(1, dtype=np.int64)
+        out[rows] = within(n[rows], m[rows], differ, percent)
+    return out
 
 
 CANDIDATE, SAME, DOCUMENT, MEMBER = 0, 1, 2, 3
@@ -153,12 +161,15 @@ CANDIDATE, SAME, DOCUMENT, MEMBER = 0, 1, 2, 3
 OPEN = 1
 #: A signature that more documents of one block share sends on the smallest of them only.
 CROWD = 64
+#: Documents of a signature that are compared in one task: those of a larger one are dealt to a grid.
+GRID = 1024
 
 
 def candidates(base: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b, kind, bits: pairs to compare, pairs with equal sets, each row's did, number of shingles and sketch (DOCUMENT),
-    and documents by a signature, or a number for several signatures, that at least three share (MEMBER)."""
-    buckets = max(shuffle_partitions(base.sparkSession), plan_bytes(base) // BUCKET_BYTES, 1)
+    """a, b, kind, hub, bits: pairs to compare, pairs with equal sets, each row's did, number of shingles and sketch (DOCUMENT),
+    and documents by a signature, or a number for several signatures, that at least three share (MEMBER), with the hub
+    that a document is paired with."""
+    buckets = max(shuffle_partitions(base.sparkSession), text_bytes(base) // BUCKET_BYTES, 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
@@ -170,7 +181,7 @@ def candidates(base: DataFrame, n: int, percent: int) -> DataFrame:
             rep: dict[tuple, int] = {}
             same, mine = [], []
             for i in np.argsort(did, kind="stable").tolist():
-                if sizes[i] and did[i] != NO_ID:
+                if sizes[i]:
                     key = (int(sizes[i]), int(mixed(sets[i] ^ SEEDS[3]).sum(dtype=np.uint64)))
                     j = rep.setdefault(key, i)
                     if j == i or not np.array_equal(sets[i], sets[j]):
@@ -182,10 +193,10 @@ def candidates(base: DataFrame, n: int, percent: int) -> DataFrame:
             order, hub, size = star(sig, node)
             sig, node, crowd = sig[order], node[order], size > CROWD
             edges = np.unique(np.stack([hub, node], 1)[crowd & (node != hub)], axis=0)
-            held = np.c_[sig.view(np.int64), node, np.full(len(node), MEMBER)][crowd]
+            held = np.c_[sig.view(np.int64), node, np.full(len(node), MEMBER), hub][crowd]
             on = ~crowd | (node == hub)
             sig, node, crowd = sig[on], node[on], crowd[on].astype(np.uint8)
-            rows = np.concatenate([np.c_[edges, np.full(len(edges), CANDIDATE)], held, np.array([(x, y, SAME) for x, y in same], np.int64).reshape(-1, 3)])
+            rows = np.concatenate([np.c_[edges, np.full(len(edges), CANDIDATE), edges[:, 0]], held, np.array([(x, y, SAME, x) for x, y in same], np.int64).reshape(-1, 4)])
             to, row_to = (sig % np.uint64(buckets)).astype(np.int64), (mixed(rows[:, 1].astype(np.uint64) ^ rows[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             order, row_order = np.lexsort((node, to)), np.argsort(row_to, kind="stable")
             sig, node, crowd, to, rows, row_to = sig[order], node[order], crowd[order], to[order], rows[row_order], row_to[row_order]
@@ -212,10 +223,10 @@ def candidates(base: DataFrame, n: int, percent: int) -> DataFrame:
             node.append(np.cumsum(np.frombuffer(raw, "<i8", m, 24)))
             sig.append(np.frombuffer(raw, "<u8", m, 24 + 8 * m))
             at = 24 + 16 * m
-            rows.append(np.frombuffer(raw, "<i8", 3 * r, at).reshape(3, -1).T)
-            at += 24 * r
+            rows.append(np.frombuffer(raw, "<i8", 4 * r, at).reshape(4, -1).T)
+            at += 32 * r
             did, n, size = np.frombuffer(raw, "<i8", 3 * d, at).reshape(3, -1)
-            docs.append(np.c_[did, n, np.full(d, DOCUMENT)])
+            docs.append(np.c_[did, n, np.full(d, DOCUMENT), did])
             at += 24 * d
             crowd.append(np.frombuffer(raw, np.uint8, m, at))
             at += m
@@ -225,6 +236,7 @@ def candidates(base: DataFrame, n: int, percent: int) -> DataFrame:
         sig, node = np.concatenate(sig), np.concatenate(node)
         order, hub, size = star(sig, node)
         sig, node, crowd = sig[order], node[order], np.concatenate(crowd)[order].astype(np.int64)
+        least = hub
         edges = np.unique(np.stack([hub, node], 1)[node != hub], axis=0)
         head = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]][: len(sig)])
         of = np.repeat(np.arange(len(head)), size[head])
@@ -233,13 +245,13 @@ def candidates(base: DataFrame, n: int, percent: int) -> DataFrame:
             crowd = np.add.reduceat(crowd, head) > 0
             name = np.where(crowd, sig[head], np.add.reduceat(mixed(node.astype(np.uint64)), head))
             open_ = (crowd | (size[head] > 2)) & np.isin(np.arange(len(head)), np.unique(name, return_index=True)[1])
-            rows.append(np.c_[name[of].view(np.int64), node, np.full(len(node), MEMBER)][open_[of]])
-        rows = np.concatenate([*rows, np.c_[edges, np.full(len(edges), CANDIDATE)], *docs])
+            rows.append(np.c_[name[of].view(np.int64), node, np.full(len(node), MEMBER), least][open_[of]])
+        rows = np.concatenate([*rows, np.c_[edges, np.full(len(edges), CANDIDATE), edges[:, 0]], *docs])
         trim()
-        return pa.table({"a": rows[:, 0], "b": rows[:, 1], "kind": rows[:, 2].astype(np.int32), "bits": pa.array([None] * (len(rows) - len(bits)) + bits, pa.binary())})
+        return pa.table({"a": rows[:, 0], "b": rows[:, 1], "kind": rows[:, 2].astype(np.int32), "hub": rows[:, 3], "bits": pa.array([None] * (len(rows) - len(bits)) + bits, pa.binary())})
 
     sent = base.select("did", "text").mapInArrow(send, "bucket long, block binary")
-    return sent.groupBy("bucket").applyInArrow(receive, "a long, b long, kind int, bits binary")
+    return sent.groupBy("bucket").applyInArrow(receive, "a long, b long, kind int, hub long, bits binary")
 
 
 def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -247,8 +259,8 @@ def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "two", 4 << 20):
-            ok = [near(*x, percent) for x in zip(*(batch.column(c).to_pylist() for c in ("one", "n", "two", "m")))]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            ok = near(batch.column("one"), batch.column("n").to_numpy(), batch.column("two"), batch.column("m").to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     one, two = (sketches.select(F.col("did").alias(x), F.col("n").alias(n), F.col("bits").alias(y)) for x, n, y in (("a", "n", "one"), ("b", "m", "two")))
     return pairs.join(two, "b").join(one, "a").select("a", "b", "one", "n", "two", "m").mapInArrow(check, "a long, b long").distinct()
@@ -265,7 +277,7 @@ def sets_of(base: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 sets = [s.tobytes() for s in shingle_sets(batch.column("text"), n)]
                 yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(sets, pa.binary())], ["did", "shingles"])
 
-    return base.where(F.col("did") != NO_ID).select("did", "text", F.xxhash64("did").alias("k")).mapInArrow(make, "did long, shingles binary")
+    return base.select("did", "text", F.xxhash64("did").alias("k")).mapInArrow(make, "did long, shingles binary")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -281,59 +293,97 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.select("a", "b", "one", "two").mapInArrow(check, "a long, b long, link boolean").groupBy("a", "b").agg(F.max("link").alias("link"))
 
 
-def open_pairs(did: np.ndarray, comp: np.ndarray, n: np.ndarray, bits: np.ndarray, failed: list[set[int]], percent: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of different components whose sketches don't rule a link out and that haven't failed, and whether these are all.
+def compare(base: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """a, b, link of pairs, saved."""
+    sets = saved(sets_of(base, pairs.select(F.explode(F.array("a", "b")).alias("did")).distinct(), n), "sets")
+    out = saved(compared(pairs, sets, percent), "compared")
+    dropped(sets)
+    return out
+
+
+def open_pairs(did: np.ndarray, comp: np.ndarray, hub: np.ndarray, half: np.ndarray, n: np.ndarray, bits: np.ndarray, failed: list[set[int]], percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Pairs of different components that haven't been compared and whose sketches don't rule a link out, and, unless these
+    are all, the rows that have any. A document has been compared with its hub. Halves meet each other, and a half of 2 itself.
 
     If there are more than OPEN a row, only each component's nearest is given: once it is compared, components merge or it is
     out of the way, and the others are looked at again.
     """
-    _, comp = np.unique(comp, return_inverse=True)
-    out: list[tuple[int, int]] = []
-    whole = True
-    best = np.full(comp.max() + 1, 1 << 40)
-    nearest = np.zeros((comp.max() + 1, 2), np.int64)
-    for i in range(len(did) - 1):
-        j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (did[i + 1 :] != did[i]))
-        j = j[within(n[j], n[i], np.abs(n[j] - n[i]), percent)]
-        far = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-        ok = within(n[j], n[i], far, percent)
-        j, far = j[ok], far[ok]
-        if failed[i]:
-            ok = np.array([d not in failed[i] for d in did[j].tolist()], bool)
-            j, far = j[ok], far[ok]
-        if not len(j):
-            continue
-        if whole:
-            out += [(i, k) for k in j.tolist()]
-            whole = len(out) <= OPEN * len(did)
+    size, found = len(did), []
+    step = max(1, (1 << 20) // max(1, size * bits.shape[1]))
+    for a in range(0, size - 1, step):
+        i, j = np.arange(a, min(a + step, size))[:, None], np.arange(a + 1, size)[None, :]
+        ok = (j > i) & (comp[i] != comp[j]) & (did[i] != did[j]) & (hub[j] != did[i]) & (did[j] != hub[i]) & ((half[i] == 2) | (half[i] != half[j]))
+        ok &= within(n[i], n[j], np.abs(n[i] - n[j]), percent)
+        x, y = np.nonzero(ok)
+        x, y = x + a, y + a + 1
+        far = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+        ok = within(n[x], n[y], far, percent)
+        found.append(np.stack([x[ok], y[ok], far[ok]]))
+    x, y, far = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
+    if any(failed):
+        ok = np.array([did[k] not in failed[i] for i, k in zip(x.tolist(), y.tolist())], bool)
+        x, y, far = x[ok], y[ok], far[ok]
+    left = np.zeros(0, np.int64)
+    if len(x) > OPEN * size:
+        left = np.unique(np.concatenate([x, y]))
         order = np.argsort(far, kind="stable")
-        _, first = np.unique(comp[j[order]], return_index=True)
-        for k, d in zip(j[order][first].tolist(), far[order][first].tolist()):
-            for c in (comp[i], comp[k]):
-                if d < best[c]:
-                    best[c], nearest[c] = d, (i, k)
-    if not whole:
-        out = list({tuple(x) for x in nearest[best < 1 << 40].tolist()})
-    return [(min(did[i], did[k]), max(did[i], did[k])) for i, k in out], whole
+        _, first = np.unique(np.concatenate([comp[x[order]], comp[y[order]]]), return_index=True)
+        near = np.unique(np.concatenate([order, order])[first])
+        x, y = x[near], y[near]
+    return list(zip(np.minimum(did[x], did[y]).tolist(), np.maximum(did[x], did[y]).tolist())), left
+
 
+def cells(live: DataFrame, most: int) -> DataFrame:
+    """live (sig, did, component, hub, total: documents of sig) with x, y, half: the cells of a signature's grid in which a document is compared.
 
-def unlinked(members: DataFrame, sketches: DataFrame, labels: DataFrame, failed: DataFrame, percent: int) -> DataFrame:
-    """a, b, whole: pairs of members (sig, did) that share a signature, are in different components and may link."""
+    A signature of up to `most` documents is one cell. In a larger one, its largest component, whose documents needn't meet
+    each other, and the others are cut into blocks; documents meet where their blocks cross.
+    """
+    rows = live.where(F.col("total") > most)
+    one = [F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(2).alias("half")]
+    if rows.isEmpty():
+        return live.select("*", *one)
+    top = rows.groupBy("sig", "component").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max(F.struct("n", "component")).alias("top"))
+    rows = rows.join(top, "sig").withColumn("in_top", F.col("component") == F.col("top.component"))
+    across = lambda n: F.ceil(n / F.lit(most)).cast("int")
+    tops, rests = across(F.col("top.n")), across(F.col("total") - F.col("top.n"))
+    own = F.pmod(F.xxhash64("did"), F.when(F.col("in_top"), tops).otherwise(rests)).cast("int")
+    cell = lambda x, y, half: F.struct(x.alias("x"), y.alias("y"), half.cast("int").alias("half"))
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    # blocks of the others are numbered from `tops` on
+    with_rest = F.transform(each(rests), lambda j: cell(F.col("own"), tops + j, F.lit(0)))
+    with_top = F.transform(each(tops), lambda i: cell(i, tops + F.col("own"), F.lit(1)))
+    among = F.transform(each(rests), lambda j: cell(tops + F.least(F.col("own"), j), tops + F.greatest(F.col("own"), j), F.when(j == F.col("own"), 2).otherwise((F.col("own") > j).cast("int"))))
+    dealt = rows.withColumn("own", own).withColumn("cell", F.explode(F.when(F.col("in_top"), with_rest).otherwise(F.concat(with_top, among))))
+    small = live.where(F.col("total") <= most).select("*", *one)
+    return small.unionByName(dealt.select(*live.columns, "cell.x", "cell.y", "cell.half"))
+
+
+def unlinked(members: DataFrame, sketches: DataFrame, labels: DataFrame, failed: DataFrame | None, percent: int) -> DataFrame:
+    """a, b: pairs of members (sig, did, hub) that share a signature, are in different components and may link; and with
+    null b, sig, a and hub of members that have more such pairs than are given. Others never have any again."""
 
     def pairs(table: pa.Table) -> pa.Table:
-        did, comp, n = (table.column(c).to_numpy() for c in ("did", "component", "n"))
+        did, comp, hub, half, n = (table.column(c).to_numpy() for c in ("did", "component", "hub", "half", "n"))
         held = [np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]
         size = min(map(len, held))
-        found, whole = open_pairs(did, comp, n, np.stack([folded(x, size) for x in held]).view(np.uint64), [set(f or ()) for f in table.column("failed").to_pylist()], percent)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64()), "whole": pa.array([whole] * len(found), pa.bool_())})
+        gone = [set(f or ()) for f in table.column("failed").to_pylist()]
+        found, left = open_pairs(did, comp, hub, half, n, np.stack([folded(x, size) for x in held]).view(np.uint64), gone, percent)
+        one, none = table.column("sig").slice(0, 1).to_pylist(), [None] * len(found)
+        a, b = ([*(p[k] for p in found)] for k in (0, 1))
+        return pa.table({"a": pa.array([*a, *did[left].tolist()], pa.int64()), "b": pa.array([*b, *[None] * len(left)], pa.int64()), "sig": pa.array([*none, *one * len(left)], pa.int64()), "hub": pa.array([*none, *hub[left].tolist()], pa.int64())})
 
     of = labels.select(F.col("node").alias("did"), "component")
-    now = members.join(of, "did", "left").select("did", "sig", F.coalesce("component", "did").alias("component"))
-    several = now.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-    known = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("did")).agg(F.collect_set("b").alias("failed"))
-    live = now.join(several, "sig", "left_semi").join(sketches.join(known, "did", "left"), "did")
-    found = live.groupBy("sig").applyInArrow(pairs, "a long, b long, whole boolean")
-    return found.groupBy("a", "b").agg(F.min("whole").alias("whole"))
+    now = members.join(of, "did", "left").select("did", "sig", "hub", F.coalesce("component", "did").alias("component"))
+    several = now.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("total")).where("x <> y").select("sig", "total")
+    live = saved(now.join(several, "sig"), "live")
+    if failed is None:
+        known = sketches.withColumn("failed", F.lit(None).cast("array<long>"))
+    else:
+        both = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        known = sketches.join(both.groupBy(F.col("a").alias("did")).agg(F.collect_set("b").alias("failed")), "did", "left")
+    found = cells(live, GRID).join(known, "did").groupBy("sig", "x", "y").applyInArrow(pairs, "a long, b long, sig long, hub long")
+    return found.distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -344,7 +394,8 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     are one document. A null doc_id links with nothing and has no component. Other columns are left out; an empty table
     gives no rows. Shingles are compared by 64-bit hashes.
     """
-    base = keyed(docs)
+    every = keyed(docs)
+    base = every.where(~F.col("none"))
     rows = saved(candidates(base, n, percent), "partenum")
     sketches = rows.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("did"), F.col("b").alias("n"), "bits")
     pairs = saved(rows.where(F.col("kind") == CANDIDATE).select("a", "b").distinct(), "pairs")
@@ -352,25 +403,41 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     labels = None
     if not pairs.isEmpty():
         close = saved(possible(pairs, sketches, percent), "possible")
-        sets = saved(sets_of(base, close.select(F.explode(F.array("a", "b")).alias("did")).distinct(), n), "sets")
-        checked = saved(compared(close, sets, percent), "compared")
+        checked = compare(base, close, n, percent)
         links = saved(links.unionByName(checked.where("link").select("a", "b")), "links")
-        failed = checked.where("not link").select("a", "b")
         labels = components(links)
-        members = saved(rows.where(F.col("kind") == MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("did")).distinct(), "members")
+        of = rows.where(F.col("kind") == MEMBER).groupBy(F.col("a").alias("sig"), F.col("b").alias("did"))
+        members, failed = saved(of.agg(F.min("hub").alias("hub")), "members"), None
         # a hub's pair that doesn't link leaves open whether the others of that signature do
         while True:
-            more = saved(unlinked(members, sketches, labels, failed, percent), "unlinked")
+            found = saved(unlinked(members, sketches, labels, failed, percent), "unlinked")
+            more = found.where("sig IS NULL").select("a", "b")
             if more.isEmpty():
                 break
-            sets = saved(sets_of(base, more.select(F.explode(F.array("a", "b")).alias("did")).distinct(), n), "sets")
-            checked = saved(compared(more.select("a", "b"), sets, percent), "compared")
-            links = saved(links.unionByName(checked.where("link").select("a", "b")), "links")
-            failed = saved(failed.unionByName(checked.where("not link").select("a", "b")), "failed")
-            labels = components(links)
-            if more.where("not whole").isEmpty():
+            checked, old = compare(base, more, n, percent), links
+            new = checked.where("link").select("a", "b")
+            if not new.isEmpty():
+                links = saved(links.unionByName(new), "links")
+                labels = components(links)
+                dropped(old)
+            # signatures whose open pairs have all been compared are done with
+            again = found.where("sig IS NOT NULL").select("sig", F.col("a").alias("did"), "hub")
+            if again.isEmpty():
                 break
+            bad = checked.where("not link").select("a", "b")
+            failed = saved(bad if failed is None else failed.unionByName(bad), "failed")
+            left = saved(again, "members")
+            dropped(members, found, checked)
+            members = left
+        dropped(members, close, pairs)
     labels = components(links) if labels is None else labels
     counted = rows.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("node"), F.col("b").alias("n_shingles"))
-    known = F.col("node") != NO_ID
-    return counted.join(labels, "node", "left").select(F.when(known, F.col("node")).alias("doc_id"), "n_shingles", F.when(known, F.coalesce("component", "node")).alias("component_id"))
+    named = counted.join(labels, "node", "left").select(F.col("node").alias("doc_id"), "n_shingles", F.coalesce("component", "node").alias("component_id"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in shingle_sets(batch.column("text"), n)], pa.int64())], ["n_shingles"])
+
+    nameless = every.where("none").select("text").mapInArrow(count, "n_shingles long")
+    none = F.lit(None).cast("long")
+    return named.unionByName(nameless.select(none.alias("doc_id"), "n_shingles", none.alias("component_id")))

@@ -221,14 +221,16 @@ def test_many_near_sets_of_one_signature(spark) -> None:  # noqa: ANN001
     comp = np.arange(80)
     bits = np.zeros((80, 32), np.uint64)
     apart, all_ = np.full(80, -1), np.full(80, 2)
-    found, whole = partenum.open_pairs(np.arange(80), comp, apart, all_, np.full(80, 118), bits, [set()] * 80, 90)
-    assert not whole and 0 < len(found) <= 80
-    found, whole = partenum.open_pairs(np.arange(80), comp // 40, apart, all_, np.full(80, 118), bits, [set()] * 79 + [{0}], 90)
-    assert not whole and len(found) == 1
-    found, whole = partenum.open_pairs(np.arange(3), comp[:3], apart[:3], all_[:3], np.full(3, 118), bits[:3], [{1}, {0}, set()], 90)
-    assert whole and sorted(found) == [(0, 2), (1, 2)]
-    found, whole = partenum.open_pairs(np.arange(3), comp[:3], np.zeros(3, np.int64), all_[:3], np.full(3, 118), bits[:3], [set()] * 3, 90)
-    assert whole and sorted(found) == [(1, 2)]
+    found, left = partenum.open_pairs(np.arange(80), comp, apart, all_, np.full(80, 118), bits, [set()] * 80, 90)
+    assert len(left) == 80 and 0 < len(found) <= 80
+    found, left = partenum.open_pairs(np.arange(80), comp // 40, apart, all_, np.full(80, 118), bits, [set()] * 79 + [{0}], 90)
+    assert len(left) == 80 and len(found) == 1
+    bits[3] = ~bits[3]  # far from all
+    assert 3 not in partenum.open_pairs(np.arange(80), comp, apart, all_, np.full(80, 118), bits, [set()] * 80, 90)[1]
+    found, left = partenum.open_pairs(np.arange(3), comp[:3], apart[:3], all_[:3], np.full(3, 118), bits[:3], [{1}, {0}, set()], 90)
+    assert not len(left) and sorted(found) == [(0, 2), (1, 2)]
+    found, left = partenum.open_pairs(np.arange(3), comp[:3], np.zeros(3, np.int64), all_[:3], np.full(3, 118), bits[:3], [set()] * 3, 90)
+    assert not len(left) and sorted(found) == [(1, 2)]
 
 
 @settings(max_examples=80, deadline=None)
