@@ -12,7 +12,8 @@ class of its own is a unit; transitions are smoothed towards the classes' own fr
 to each and to the unknown one.
 
 Counts are over all training documents: word counts and classes stay tables. What reaches the driver are the `HEAD` most
-frequent words with their classes, and tables of units and classes. A document's other words meet theirs in a join.
+frequent words with their classes, and tables of units and classes. A document's other words meet theirs in a join, by
+64-bit hashes, which tell words of up to eight bytes apart for certain.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import NO_ID, byte_strings, doc_id, flat, in_fold, mixed, plan_bytes, saved, shuffle_partitions, slices, span_hashes, word_spans
+from siftline.llm.common import byte_strings, doc_id, flat, in_fold, keyed, mixed, saved, shuffle_partitions, slices, span_hashes, text_bytes, word_spans
+from siftline.tables import dropped
 
 #: Frequent words that are units, endings, and classes: the first and the last at least, as both grow with the vocabulary.
 WORDS, SUFFIXES, CLASSES = 500, 509, 64
@@ -35,8 +38,8 @@ HEAD = 1 << 16
 ROUNDS = 4
 #: Weight of a class's own frequency in its transitions, in counts.
 BACK = 20.0
-#: Bytes of input for each bucket of words.
-BUCKET_BYTES = 2 << 20
+#: Bytes of text for each bucket of words.
+BUCKET_BYTES = 4 << 20
 END = b" "
 
 
@@ -47,6 +50,14 @@ def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return buf, starts, lens, span_hashes(buf, starts, lens), before
 
 
+def kinds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word the number of its kind, and of each kind its hash and first word; looked up once a kind, not once a word."""
+    number, own = pd.factorize(hashes)
+    first = np.zeros(len(own), np.int64)
+    first[number[::-1]] = np.arange(len(number))[::-1]
+    return number, own, first
+
+
 def suffix_unit(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     last = buf[starts + lens - 1].astype(np.uint64)
     other = np.where(lens > 1, buf[starts + np.maximum(lens, 2) - 2], 0).astype(np.uint64)
@@ -141,7 +152,7 @@ def unpacked(block: bytes) -> tuple[np.ndarray, ...]:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(block))
 
 
-def tallied(hashes: np.ndarray, cells: np.ndarray, n: np.ndarray | None, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def tallied(hashes: np.ndarray, cells: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct hashes; and of the pairs of a hash and a cell below `width`, the hash's number, the cell and the sum of n."""
     own, nth = np.unique(hashes, return_inverse=True)
     at, back = np.unique(nth * width + cells, return_inverse=True)
@@ -172,14 +183,14 @@ def lm_scores(docs: DataFrame, held_out: int = 1, folds: int = 5) -> DataFrame:
     empty table gives no rows; with no row to learn from, N and V are 0. Other columns are left out.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), in_fold(held_out, folds).alias("held_out"), F.xxhash64(text).alias("h"), text.alias("text"))
+    base = keyed(docs).withColumn("held_out", in_fold(held_out, folds, doc_id()))
     train = base.where("not held_out")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
             buf, starts, lens, hashes, _ = tokens(batch)
-            _, first, n = np.unique(hashes, return_index=True, return_counts=True)
+            number, _, first = kinds(hashes)
+            n = np.bincount(number, minlength=len(first))
             words = byte_strings(buf, starts[first], lens[first])
             yield pa.RecordBatch.from_arrays([pa.array([*words, END], pa.binary()), pa.array([*n.tolist(), batch.num_rows], pa.int64())], ["word", "n"])
 
@@ -189,7 +200,7 @@ def lm_scores(docs: DataFrame, held_out: int = 1, folds: int = 5) -> DataFrame:
     twice = words.where("n > 1").count()
     classes = max(CLASSES, round(twice ** (1 / 3)))
     frequent = max(WORDS, 4 * classes) if classes > CLASSES else WORDS
-    buckets = max(shuffle_partitions(spark), plan_bytes(docs) // BUCKET_BYTES, 1)
+    buckets = max(shuffle_partitions(spark), text_bytes(docs) // BUCKET_BYTES, 1)
     head = head_words(words, HEAD).collect()
     head.sort(key=lambda r: (-r["n"], r["word"]))
     ends = [r["n"] for r in vocab.where(F.col("word") == F.lit(END)).collect()]
@@ -203,20 +214,19 @@ def lm_scores(docs: DataFrame, held_out: int = 1, folds: int = 5) -> DataFrame:
     end_unit, units = frequent + SUFFIXES, frequent + SUFFIXES + 1
     head_table = spark.sparkContext.broadcast((keys, held, number))
 
-    def unit_of(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's unit, and its count if it is a head word, else -1."""
-        keys, held, number = head_table.value
+    def unit_of(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Each word's unit."""
+        keys, _, number = head_table.value
         at = looked_up(keys, hashes)
-        known = np.where(at >= 0, held[at], -1) if len(keys) else at
         num = np.where(at >= 0, number[at], -1) if len(keys) else at
-        return np.where(num >= 0, num, frequent + suffix_unit(buf, starts, lens)), known
+        return np.where(num >= 0, num, frequent + suffix_unit(buf, starts, lens))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(units * units, np.int64)
         for batch in slices(batches, "text", 4 << 20):
             buf, starts, lens, hashes, before = tokens(batch)
-            unit, _ = unit_of(buf, starts, lens, hashes)
-            unit, doc = with_ends(unit, before, end_unit)
+            number, own, first = kinds(hashes)
+            unit, _ = with_ends(unit_of(buf, starts[first], lens[first], own)[number], before, end_unit)
             # before a text's first word stands an end
             last = np.concatenate([[end_unit], unit[:-1]])
             seen += np.bincount(last * units + unit, minlength=units * units)
@@ -242,12 +252,14 @@ def lm_scores(docs: DataFrame, held_out: int = 1, folds: int = 5) -> DataFrame:
         of, _ = first_model.value
         for batch in slices(batches, "text", 6 << 20):
             buf, starts, lens, hashes, before = tokens(batch)
-            unit, _ = unit_of(buf, starts, lens, hashes)
-            cls, _ = with_ends(of[unit], before, int(of[end_unit]))
-            at = np.arange(len(unit)) + np.repeat(np.arange(batch.num_rows), np.diff(before))
-            some = unit >= frequent
+            number, own, first = kinds(hashes)
+            unit = unit_of(buf, starts[first], lens[first], own)
+            cls, _ = with_ends(of[unit][number], before, int(of[end_unit]))
+            at = np.arange(len(number)) + np.repeat(np.arange(batch.num_rows), np.diff(before))
+            some = (unit >= frequent)[number]
             left, right = np.concatenate([[of[end_unit]], cls])[at][some], cls[at + 1][some] + classes
-            own, nth, cell, n = tallied(np.concatenate([hashes[some]] * 2), np.concatenate([left, right]), None, 2 * classes)
+            back, pairs = pd.factorize(np.concatenate([number[some] * (2 * classes) + left, number[some] * (2 * classes) + right]))
+            nth, cell, n = pairs // (2 * classes), pairs % (2 * classes), np.bincount(back, minlength=len(pairs))
             to = bucket_of(own)
             order = np.argsort(to[nth], kind="stable")
             nth, cell, n = nth[order], cell[order], n[order]
@@ -312,8 +324,9 @@ def lm_scores(docs: DataFrame, held_out: int = 1, folds: int = 5) -> DataFrame:
         end = int(classed.value[0][end_unit])
         for batch in slices(batches, "text", 6 << 20):
             buf, starts, lens, hashes, before = tokens(batch)
-            cls, _, ending, _ = class_of(buf, starts, lens, hashes)
-            cls, _ = with_ends(cls, before, end)
+            number, own, first = kinds(hashes)
+            cls, _, ending, _ = class_of(buf, starts[first], lens[first], own)
+            cls, ending = with_ends(cls[number], before, end)[0], ending[number]
             hashes, ending = with_ends(hashes.view(np.int64), before, 0)[0].view(np.uint64), with_ends(ending, before, 0)[0]
             last, last_hash, last_ending = np.r_[end, cls[:-1]], np.r_[np.uint64(0), hashes[:-1]], np.r_[0, ending[:-1]]
             known = (cls >= 0) & (last >= 0)
@@ -346,6 +359,7 @@ def lm_scores(docs: DataFrame, held_out: int = 1, folds: int = 5) -> DataFrame:
     again = saved(once.where("bucket IS NOT NULL").groupBy("bucket").cogroup(by_bucket).applyInArrow(join_once, pair_schema), "pairs")
     done = again.where("bucket IS NOT NULL").groupBy("bucket").cogroup(by_bucket).applyInArrow(join_once, pair_schema)
     pairs_seen = once.unionByName(again).unionByName(done).where("pair IS NOT NULL").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # at most classes ** 2 rows
+    dropped(once, again)
     table = np.zeros(classes * classes)
     table[pairs_seen["pair"].to_numpy(np.int64)] = pairs_seen["n"].to_numpy()
     table = table.reshape(classes, classes)
@@ -368,7 +382,8 @@ def lm_scores(docs: DataFrame, held_out: int = 1, folds: int = 5) -> DataFrame:
 
     marked = words.mapInArrow(hashed, "word binary, n long, hash long, cls long, head boolean, ending long")
     tail = marked.where("not head and n > 1").join(chosen.mapInArrow(rows_of, "hash long, found long"), "hash", "left").withColumn("cls", F.coalesce("found", F.lit(-1))).select(*marked.columns)
-    known_words = saved(marked.where("head or n = 1").unionByName(tail), "classed")
+    known_words = saved(marked.where("head or n = 1").unionByName(tail).drop("word"), "classed")
+    dropped(vocab, chosen)
     in_class, unit_n, unit_v = np.zeros(classes), np.zeros(SUFFIXES), np.zeros(SUFFIXES)
     unit = F.when(F.col("cls") >= 0, F.col("cls")).otherwise(-1 - F.col("ending"))
     for r in known_words.groupBy(unit.alias("unit")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
@@ -389,21 +404,26 @@ def lm_scores(docs: DataFrame, held_out: int = 1, folds: int = 5) -> DataFrame:
         end = int(classed.value[0][end_unit])
         for batch in slices(batches, "text", 4 << 20):
             buf, starts, lens, hashes, before = tokens(batch)
-            cls, at, ending, own = class_of(buf, starts, lens, hashes)
+            number, kind, first = kinds(hashes)
+            cls, at, ending, own = class_of(buf, starts[first], lens[first], kind)
             known = np.where(at >= 0, head_table.value[1][at], -1) if len(head_table.value[1]) else at
             doc = np.repeat(np.arange(batch.num_rows), np.diff(before))
             n = batch.num_rows
             log = np.where(known >= 0, np.log10(np.maximum(known, 0) + 0.5), 0)
+            emit = np.where(own, own_part[cls], np.where(known >= 0, ending_part[ending], 0))
+            cls, known, ending, log, emit = cls[number], known[number], ending[number], log[number], emit[number]
             seen = np.bincount(doc[known >= 0], minlength=n) + (ends > 0)
             counts = np.bincount(doc, weights=log, minlength=n)
             base_part = counts + np.log10(ends + 0.5)
-            emit = np.where(own, own_part[cls], np.where(known >= 0, ending_part[ending], 0))
             part = counts + np.bincount(doc, weights=emit, minlength=n) + end_part
             # words that aren't head words: their counts and classes come from the vocabulary
             miss = np.flatnonzero(known < 0)
-            order = miss[np.lexsort((hashes[miss], doc[miss]))]
+            # by document and hash, so rows that repeat number their words alike
+            turn = np.zeros(len(kind), np.int64)
+            turn[np.argsort(kind)] = np.arange(len(kind))
+            order = miss[np.argsort(doc[miss] * len(kind) + turn[number[miss]], kind="stable")]
             new = np.ones(len(order), bool)
-            new[1:] = (doc[order][1:] != doc[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
+            new[1:] = (doc[order][1:] != doc[order][:-1]) | (number[order][1:] != number[order][:-1])
             first = np.flatnonzero(new)
             many = np.diff(np.append(first, len(order)))
             group = np.cumsum(new) - 1
@@ -420,19 +440,19 @@ def lm_scores(docs: DataFrame, held_out: int = 1, folds: int = 5) -> DataFrame:
             cut = np.searchsorted(of_doc[open_], np.arange(n + 1)).tolist()
             steps = np.stack([last[open_], cls[open_]], 1).astype(np.int32)
             marks = np.stack([ending[first], many], 1).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(lists), pa.array(byte_strings(buf, starts[first], lens[first]), pa.binary()))
+            words = pa.ListArray.from_arrays(pa.array(lists), pa.array(hashes[first].view(np.int64)))
             times = pa.ListArray.from_arrays(pa.array(lists), pa.array(many, pa.int32()))
             missing = np.bincount(doc[miss], minlength=n)
-            out = [batch.column("did"), batch.column("h"), batch.column("held_out"), *(pa.array(x) for x in (np.diff(before) + 1, seen.astype(np.int64), base_part, part, missing.astype(np.int64))), words, times]
+            out = [*(batch.column(c) for c in ("did", "none", "h", "held_out")), *(pa.array(x) for x in (np.diff(before) + 1, seen.astype(np.int64), base_part, part, missing.astype(np.int64))), words, times]
             out += [pa.array([steps[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary()), pa.array([marks[x:y].tobytes() for x, y in zip(lists.tolist(), lists[1:].tolist())], pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, ["did", "h", "held_out", "n_tokens", "seen", "base_part", "part", "missing", "words", "times", "steps", "marks"])
+            yield pa.RecordBatch.from_arrays(out, ["did", "none", "h", "held_out", "n_tokens", "seen", "base_part", "part", "missing", "words", "times", "steps", "marks"])
 
-    schema = "did long, h long, held_out boolean, n_tokens long, seen long, base_part double, part double, missing long, words array<binary>, times array<int>, steps binary, marks binary"
+    schema = "did long, none boolean, h long, held_out boolean, n_tokens long, seen long, base_part double, part double, missing long, words array<long>, times array<int>, steps binary, marks binary"
     scored = saved(base.mapInArrow(score, schema), "scores")
-    rest = scored.where("missing > 0").select("did", "h", F.posexplode(F.arrays_zip("words", "times")).alias("i", "w")).select("did", "h", "i", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    rest = scored.where("missing > 0").select("did", "h", F.posexplode(F.arrays_zip("words", "times")).alias("i", "w")).select("did", "h", "i", F.col("w.words").alias("hash"), F.col("w.times").alias("times"))
     # a set, not a list: rows that repeat doc_id and text say the same
     place = F.when(F.col("cls") >= 0, F.shiftleft(F.col("i").cast("long"), 32) + F.col("cls"))
-    counted = rest.join(known_words.where("not head").select("word", "n", "cls"), "word", "left").groupBy("did", "h").agg(
+    counted = rest.join(known_words.where("not head").select("hash", "n", "cls"), "hash", "left").groupBy("did", "h").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("log"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("found"), F.sum("times").alias("all"), F.collect_set(place).alias("places")
     )
 
@@ -454,12 +474,12 @@ def lm_scores(docs: DataFrame, held_out: int = 1, folds: int = 5) -> DataFrame:
             part = batch.column("part").to_numpy() + more
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in left), pa.array(part)], [*left, "part"])
 
-    left = ["did", "h", "held_out", "n_tokens", "seen", "base_part", "missing", "log", "found", "all"]
+    left = ["did", "none", "h", "held_out", "n_tokens", "seen", "base_part", "missing", "log", "found", "all"]
     # rows that repeat doc_id and text are together in `counted`: each takes its share
     share = F.coalesce(F.col("missing") / F.col("all"), F.lit(0.0))
     log = F.coalesce("log", F.lit(0.0)) * share
     joined = scored.drop("words", "times").join(counted, ["did", "h"], "left").select(*left, "part", "steps", "marks", "places")
-    out = joined.mapInArrow(finish, "did long, h long, held_out boolean, n_tokens long, seen long, base_part double, missing long, log double, found long, all long, part double").withColumn("score", F.col("part") + log)
+    out = joined.mapInArrow(finish, "did long, none boolean, h long, held_out boolean, n_tokens long, seen long, base_part double, missing long, log double, found long, all long, part double").withColumn("score", F.col("part") + log)
     return out.select(
         doc_id(), "held_out", "n_tokens", (F.col("seen") + F.round(F.coalesce("found", F.lit(0)) * share).cast("long")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base_part") + log - F.col("n_tokens") * float(np.log10(total + 0.5 * (distinct + 1)))).alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
