@@ -3,8 +3,11 @@
 A window is `window` consecutive words. Its minimiser is the least hash among its runs of `gram` words; consecutive
 windows of a document that share one travel as one packed string to the bucket of that hash. Equal windows have equal
 minimisers, so a bucket sees all copies of its windows: sorting their hashes brings copies together, and their words are
-compared before anything is removed. Map tasks pack the strings for one bucket into one compressed block, so copies
-within a block of input shrink before they move.
+compared before anything is removed.
+
+A block of input settles its own repeats first: a window that a smaller document of the block has too is known to go, and
+only the smallest document's travels. So a passage that very many documents share reaches its bucket once a block, not once
+a document. Map tasks pack the strings for one bucket into one compressed block.
 """
 
 from __future__ import annotations
@@ -18,17 +21,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import FIRST, Bloom, doc_id, eights, flat, gram_hashes, keyed, mixed, plan_bytes, saved, shuffle_partitions, slices, span_hashes, texts_of, word_spans
+from siftline.llm.common import FIRST, doc_id, eights, flat, gram_hashes, keyed, mixed, saved, settled, shuffle_partitions, slices, span_hashes, text_bytes, texts_of, word_spans
 
 WINDOW, GRAM = 13, 3
 #: Windows in one packed string at most.
 LONGEST_RUN = 256
-#: Bytes of input for each bucket.
-BUCKET_BYTES = 2 << 20
+#: Bytes of text for each bucket.
+BUCKET_BYTES = 4 << 20
 
 
-def runs_of(words: np.ndarray, before: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, number of windows and minimiser of each run of windows that share one.
+def runs_of(words: np.ndarray, before: np.ndarray, window: int, gram: int, gone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of windows and minimiser of each run of windows that share one, without those that begin at gone.
 
     words: their hashes; before: the number of words before each document.
     """
@@ -42,6 +45,8 @@ def runs_of(words: np.ndarray, before: np.ndarray, window: int, gram: int) -> tu
         have += step
     of = np.repeat(np.arange(len(before) - 1), np.diff(before))
     valid = of[:n] == of[window - 1 :]
+    if gone is not None:
+        valid[gone] = False
     new = valid.copy()
     new[1:] &= ~valid[:-1] | (of[1:n] != of[: n - 1]) | (least[1:] != least[:-1])
     at = np.flatnonzero(valid)
@@ -66,9 +71,25 @@ def same_words(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, a: np.ndar
     return out
 
 
-def repeats(buf: np.ndarray, off: np.ndarray, did: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of packed strings and their documents: which windows also start in a smaller document, as string and offset in words."""
-    starts, lens, before = word_spans(buf, off)
+def ranks(did: np.ndarray, none: np.ndarray) -> np.ndarray:
+    """The place of each id among all; null ones, which none marks, are equal and last."""
+    return np.unique(np.rec.fromarrays([none, np.where(none, 0, did)]), return_inverse=True)[1]
+
+
+def ranges(string: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of consecutive words of a string begin and end (its last)."""
+    new = np.ones(len(string), bool)
+    new[1:] = (np.diff(string) != 0) | (np.diff(word) != 1)
+    heads = np.flatnonzero(new)
+    return heads, np.append(heads[1:], len(string)) - 1 if len(heads) else heads
+
+
+def repeats(buf: np.ndarray, off: np.ndarray, did: np.ndarray, window: int, spans: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings and their documents: which windows also start in a smaller document, as string and offset in words.
+
+    spans: the words' starts, lengths and number before each string, if they are known.
+    """
+    starts, lens, before = word_spans(buf, off) if spans is None else spans
     n = len(starts) - window + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -101,16 +122,21 @@ def repeats(buf: np.ndarray, off: np.ndarray, did: np.ndarray, window: int) -> t
 def covered(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """did, h, spans: the word ranges that repeated windows cover, of rows that have any."""
     spark = docs.sparkSession
-    buckets = max(shuffle_partitions(spark), plan_bytes(docs) // BUCKET_BYTES, 1)
+    buckets = max(shuffle_partitions(spark), text_bytes(docs) // BUCKET_BYTES, 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in slices(batches, "text", 5 << 20):
             buf, off = flat(batch.column("text"))
             starts, lens, before = word_spans(buf, off)
-            first, many, least = runs_of(span_hashes(buf, starts, lens), before, window, gram)
+            ids, none, h = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("did", "none", "h"))
+            string, word = repeats(buf, off, ranks(ids, none), window, (starts, lens, before))
+            first, many, least = runs_of(span_hashes(buf, starts, lens), before, window, gram, before[string] + word)
             if not len(first):
                 continue
+            heads, ends = ranges(string, word)
+            rows = string[heads]
+            known = np.stack([ids[rows], h[rows], word[heads], word[ends] + window]).astype("<i8")
             bucket = (mixed(least) % np.uint64(buckets)).astype(np.int64)
             # strings with one minimiser side by side, where they compress best
             order = np.lexsort((least, bucket))
@@ -118,42 +144,45 @@ def covered(docs: DataFrame, window: int, gram: int) -> DataFrame:
             doc = np.searchsorted(before, first, "right") - 1
             begin, last = starts[first], first + many + window - 2
             size = starts[last] + lens[last] - begin
-            ids, h = (batch.column(c).to_numpy() for c in ("did", "h"))
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
             blocks = []
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)]):
+            # what is known to go travels with any block of this one
+            lot = int(mixed(least[:1])[0] % np.uint64(len(cut)))
+            for k, (a, b) in enumerate(zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)])):
                 text, _ = texts_of(buf, begin[a:b], size[a:b])
                 own, nth = np.unique(doc[a:b], return_inverse=True)
-                parts = [np.array([len(own), b - a], "<i8"), ids[own].astype("<i8"), h[own].astype("<i8"), nth.astype("<u4"), (first[a:b] - before[doc[a:b]]).astype("<u4"), size[a:b].astype("<u4"), text]
+                more = known if k == lot else known[:, :0]
+                parts = [np.array([len(own), b - a, more.shape[1]], "<i8"), more, ids[own].astype("<i8"), h[own].astype("<i8"), none[own].astype("<i8"), nth.astype("<u4"), (first[a:b] - before[doc[a:b]]).astype("<u4"), size[a:b].astype("<u4"), text]
                 blocks.append(pack.compress(b"".join(p.tobytes() for p in parts)))
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
     def receive(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
-        did, h, begin, size, text = [], [], [], [], []
+        did, h, none, begin, size, text, known = [], [], [], [], [], [], []
         for block in table.column("block").to_pylist():
             raw = unpack.decompress(block)
-            docs_, runs = np.frombuffer(raw, "<i8", 2).tolist()
-            ids, hs = np.frombuffer(raw, "<i8", docs_, 16), np.frombuffer(raw, "<i8", docs_, 16 + 8 * docs_)
-            nth, b, s = np.frombuffer(raw, "<u4", 3 * runs, 16 + 16 * docs_).reshape(3, -1)
+            docs_, runs, more = np.frombuffer(raw, "<i8", 3).tolist()
+            known.append(np.frombuffer(raw, "<i8", 4 * more, 24).reshape(4, -1))
+            at = 24 + 32 * more
+            ids, hs, null = np.frombuffer(raw, "<i8", 3 * docs_, at).reshape(3, -1)
+            at += 24 * docs_
+            nth, b, s = np.frombuffer(raw, "<u4", 3 * runs, at).reshape(3, -1)
             did.append(ids[nth])
             h.append(hs[nth])
+            none.append(null[nth])
             begin.append(b)
             size.append(s)
-            text.append(np.frombuffer(raw, np.uint8, -1, 16 + 16 * docs_ + 12 * runs))
-        did, h, begin, size = (np.concatenate(x) for x in (did, h, begin, size))
+            text.append(np.frombuffer(raw, np.uint8, -1, at + 12 * runs))
+        did, h, none, begin, size = (np.concatenate(x) for x in (did, h, none, begin, size))
         off = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        string, word = repeats(np.concatenate([*text, np.zeros(8, np.uint8)]), off, did, window)
-        # windows in a row make one range
-        new = np.ones(len(string), bool)
-        new[1:] = (np.diff(string) != 0) | (np.diff(word) != 1)
-        heads = np.flatnonzero(new)
-        ends = np.append(heads[1:], len(string)) - 1 if len(heads) else heads
+        string, word = repeats(np.concatenate([*text, np.zeros(8, np.uint8)]), off, ranks(did, none > 0), window)
+        heads, ends = ranges(string, word)
         rows = string[heads]
-        return pa.table({"did": did[rows], "h": h[rows], "a": begin[rows].astype(np.int64) + word[heads], "b": begin[rows].astype(np.int64) + word[ends] + window})
+        own = np.stack([did[rows], h[rows], begin[rows].astype(np.int64) + word[heads], begin[rows].astype(np.int64) + word[ends] + window])
+        return pa.table(dict(zip(("did", "h", "a", "b"), np.concatenate([own, *known], 1))))
 
     sent = docs.mapInArrow(send, "bucket long, block binary")
-    found = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(receive, "did long, h long, a long, b long")
+    found = sent.groupBy("bucket").applyInArrow(receive, "did long, h long, a long, b long")
     return found.groupBy("did", "h").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
@@ -166,44 +195,21 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wit
     """
     base = keyed(docs)
     spans = saved(covered(base, window, gram), "spans")
-    key = F.xxhash64("did", "h")
-    held = docs.sparkSession.sparkContext.broadcast(Bloom.of(spans.select(key)))
-    names = ["did", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
-    schema = "did long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
 
-    def without(text: bytes, ranges: list[dict] | None) -> tuple[int, int, bytes]:
+    def without(text: bytes, spans: list[dict] | None) -> tuple[int, int, bytes]:
         words = text.split()
         total = len(words)
-        if ranges:
+        if spans:
             edge = np.zeros(total + 1, np.int64)
-            np.add.at(edge, [r["a"] for r in ranges], 1)
-            np.add.at(edge, [r["b"] for r in ranges], -1)
+            np.add.at(edge, [r["a"] for r in spans], 1)
+            np.add.at(edge, [r["b"] for r in spans], -1)
             words = [w for w, stays in zip(words, (np.cumsum(edge[:-1]) == 0).tolist()) if stays]
         return total, total - len(words), b" ".join(words)
 
-    def rows(did: pa.Array, texts: list[bytes], ranges: list) -> pa.RecordBatch:
-        done = [without(t, r) for t, r in zip(texts, ranges)]
-        out = [did, pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([hashlib.sha256(d[2]).hexdigest() for d in done], pa.string())]
-        return pa.RecordBatch.from_arrays([*out, pa.array([d[2].decode() for d in done], pa.string())] if with_text else out, names)
-
-    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            batch = batch.filter(pa.array(~held.value.passes(batch.column("k").to_numpy())))
-            yield rows(batch.column("did"), [t.encode() for t in batch.column("text").to_pylist()], [None] * batch.num_rows)
+    def cut(texts: list[bytes], spans: list) -> list[pa.Array]:
+        done = [without(*x) for x in zip(texts, spans)]
+        out = [pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([hashlib.sha256(d[2]).hexdigest() for d in done], pa.string())]
+        return [*out, pa.array([d[2].decode() for d in done], pa.string())] if with_text else out
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
-        for batch in slices(batches, "text", 4 << 20):
-            batch = batch.filter(pa.array(held.value.passes(batch.column("k").to_numpy())))
-            yield pa.RecordBatch.from_arrays([batch.column("did"), batch.column("h"), pa.array([pack.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())], ["did", "h", "packed"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in slices(batches, "packed", 2 << 20):
-            yield rows(batch.column("did"), [unpack.decompress(p) for p in batch.column("packed").to_pylist()], batch.column("spans").to_pylist())
-
-    # only texts that lose words move, compressed; the others are done where they are read
-    marked = base.withColumn("k", key)
-    some = marked.mapInArrow(packed, "did long, h long, packed binary").join(spans, ["did", "h"], "left").select("did", "packed", "spans")
-    done = marked.mapInArrow(untouched, schema).unionByName(some.mapInArrow(cut, schema))
-    return done.select(doc_id(), *names[1:])
+    done = settled(base, spans, cut, "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return done.select(doc_id(), "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else []))
