@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import time
 from collections.abc import Iterator, Sequence
 from dataclasses import replace
@@ -32,19 +31,11 @@ def _below(path: str, roots: Sequence[str]) -> bool:
     return any(path == r or path.startswith(r.rstrip("/") + "/") for r in roots)
 
 
-def _alive(rows: list[tuple[str, str, int]], done: execute.Report) -> list[tuple[str, str, int]]:
-    """Rows whose kept file is still there with the size that was scanned; the others are stale."""
-    out = []
-    for row in rows:
-        try:
-            same = os.lstat(row[1]).st_size == row[2]
-        except OSError:
-            same = False
-        if same:
-            out.append(row)
-        else:
-            done.stale.append(row[0])
-    return out
+def _stamped(rows: DataFrame, path: str, kept: str, files: DataFrame) -> Iterator[tuple]:
+    """path, kept, size and the mtimes that the scan saw, row by row."""
+    of = lambda name, ns: files.select(F.col("path").alias(name), F.col("mtime_ns").alias(ns))
+    both = rows.select(F.col(path).alias("path_"), F.col(kept).alias("kept_"), "size").join(of("path_", "ns"), "path_").join(of("kept_", "kept_ns"), "kept_")
+    return (tuple(r) for r in both.select("path_", "kept_", "size", "ns", "kept_ns").toLocalIterator())
 
 
 def folder_actions(matches: Iterator) -> Iterator[tuple[str, str]]:
@@ -63,8 +54,9 @@ def act(scan: Scan, action: Action, rule: Rule = Rule.ALPHABETICAL, protected: S
 
     With folders, whole folders go first, while all files that they rest on are there: each file of a folder only with a
     confirmed copy at the same place in the one that stays, else the folder is left alone. Groups that aren't wholly below
-    claimed folders follow, without the files that went with a folder. A file is never acted on if its kept copy isn't
-    there any more. The journal is written as files are acted on, and the history at the end, of applied actions alone.
+    claimed folders follow, without the files that went with a folder. Right before each action, both the file and its kept
+    copy must be the regular files that the scan saw, by size and mtime; else the row, or the whole folder, is stale and
+    nothing is done to it. The journal is written as files are acted on, and the history at the end, of applied actions alone.
     """
     done = execute.Report()
     spark, members = scan.files.sparkSession, scan.members
@@ -78,7 +70,7 @@ def act(scan: Scan, action: Action, rule: Rule = Rule.ALPHABETICAL, protected: S
         for removed, kept in folder_actions(matches):
             try:
                 pairs = actions.folder_pairs(files, members, removed, kept, protected)
-                rows = _alive([(r["remove"], r["keep"], r["size"]) for r in pairs.toLocalIterator()], done)
+                rows = list(_stamped(pairs, "remove", "keep", files))
                 shielded = files.where(paths.under(F.col("path"), removed) & paths.under_any(F.col("path"), protected)).count()
                 one = execute.apply_folder(removed, rows, action, archive_dir, shielded, apply, journal)
             except (NoConfirmedDuplicate, NotADirectory) as e:
@@ -86,6 +78,7 @@ def act(scan: Scan, action: Action, rule: Rule = Rule.ALPHABETICAL, protected: S
                 continue
             done.succeeded += one.succeeded
             done.failed += one.failed
+            done.stale += one.stale
             done.bytes_reclaimed += one.bytes_reclaimed
         claimed = [f for m in matches for f in (m["folders"] if m["kind"] == "exact" else [m["subset"]])]
         if claimed:
@@ -94,9 +87,8 @@ def act(scan: Scan, action: Action, rule: Rule = Rule.ALPHABETICAL, protected: S
             members = members.join(spark.createDataFrame([(p,) for p in done.succeeded], "path string"), "path", "left_anti")
         members = members.join(exact.several(members, ["group_id"]).select("group_id"), "group_id", "left_semi")
     plan = actions.planned(members, action, rule, protected, archive_dir)
-    rows = ((r["path"], r["kept"], r["size"]) for r in plan.select("path", "kept", "size").toLocalIterator())
-    for part in _parts(rows):
-        execute.apply_rows(_alive(part, done), action, archive_dir, apply, journal, done)
+    for part in _parts(_stamped(plan, "path", "kept", scan.files)):
+        execute.apply_rows(part, action, archive_dir, apply, journal, done)
     return _recorded(scan, action, done, apply, history_folder)
 
 

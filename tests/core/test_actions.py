@@ -252,3 +252,37 @@ def test_folders_are_claimed_as_one_by_one(spark) -> None:  # noqa: ANN001
         clusters = spark.createDataFrame([(str(k), d) for d, k in of.items()], "sig string, dir string")
         subsets = spark.createDataFrame([(d,) for d in subs], "subset string")
         assert {x["dir"] for x in folders.claimed(clusters, subsets).collect()} == taken
+
+
+def _edited(path: str) -> None:
+    st = os.stat(path)
+    with open(path, "r+b") as f:
+        f.write(b"!")  # as long as before
+    os.utime(path, ns=(st.st_atime_ns, st.st_mtime_ns + 1))
+
+
+def _linked(path: str) -> None:
+    os.rename(path, f"{path}.real")
+    os.symlink(f"{path}.real", path)
+
+
+@pytest.mark.parametrize("change", [_edited, _linked, os.unlink], ids=["edited", "linked", "gone"])
+@pytest.mark.parametrize("side", ["target", "kept"])
+@pytest.mark.parametrize("folders", [False, True])
+def test_nothing_is_done_to_files_that_changed_after_the_scan(spark, tmp_path, change, side: str, folders: bool) -> None:  # noqa: ANN001
+    from siftline.plans import act
+
+    root = put(tmp_path, {"a/1": b"same", "a/2": b"other", "b/1": b"same", "b/2": b"other", "x": b"third", "y": b"third"})
+    s = scan(spark, root)
+    if folders:
+        stale, kept = ["b/1"], "a/1"
+    else:
+        stale, kept = ["y"], "x"
+    change(f"{root}/{stale[0] if side == 'target' else kept}")
+    done = act.act(s, Action.DELETE, folders=folders, apply=True)
+    assert [os.path.relpath(p, root) for p in done.stale] == stale and not done.failed
+    gone = {"b/1", "b/2", "y"} - set(stale) - ({"b/2"} if folders else set())
+    assert {os.path.relpath(p, root) for p in done.succeeded} == gone
+    touched = {stale[0] if side == "target" else kept}
+    here = {os.path.relpath(os.path.join(d, f), root).removesuffix(".real") for d, _, fs in os.walk(root) for f in fs}
+    assert here == {"a/1", "a/2", "b/1", "b/2", "x", "y"} - gone - (touched if change is os.unlink else set())
