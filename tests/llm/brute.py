@@ -127,3 +127,51 @@ def lm_base(rows: list[tuple[int, str | None]]) -> list[tuple]:
         base = sum(math.log10((counts[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in tokens)
         out.append((i, fold(i, 5) == 1, len(tokens), sum(counts[x] > 0 for x in tokens), total, base))
     return out
+
+
+TOKEN = re.compile("[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+")
+
+
+def fill_in_middle(rows: list[tuple[int | None, str | None]], seed: int = 42, rate: int = 50, spm: int = 80) -> list[tuple]:
+    out = []
+    for i, t in rows:
+        t, h = t or "", sha(f"{seed}:{'' if i is None else i}")
+        h1, h2, h3, h4 = (int(h[8 * k : 8 * k + 8], 16) for k in range(4))
+        units = TOKEN.findall(t)
+        n = len(units)
+        a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+        p, m, s = ("".join(units[x:y]) for x, y in ((0, a), (a, b), (b, n)))
+        if not t or any(x in t for x in ("<P>", "<S>", "<M>")) or h3 % 100 >= rate:
+            out.append((i, n, "plain", None, None, t))
+        elif h4 % 100 < spm:
+            out.append((i, n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"))
+        else:
+            out.append((i, n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"))
+    return out
+
+
+def collocations(rows: list[tuple[str | None, str | None]], longest: int = 5, least: int = 100, share: int = 100, top: int = 2000) -> list[tuple]:
+    """rows: lang, text."""
+    f: dict[str, Counter] = defaultdict(Counter)
+    for lang, t in rows:
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (t or "").translate(LOWER)):
+            w = re.findall("[^\x20\x09]+", piece)
+            for k in range(1, longest + 1):
+                f["und" if lang is None else lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, counts in f.items():
+        n = sum(c for g, c in counts.items() if len(g) == 1)
+        found = [g for g, c in counts.items() if len(g) > 1 and c >= least]
+        over: dict[tuple, int] = {}
+        for g in found:
+            for k in range(2, len(g)):
+                for i in range(len(g) - k + 1):
+                    over[g[i : i + k]] = max(counts[g], over.get(g[i : i + k], 0))
+        scored = []
+        for g in found:
+            a = counts[g]
+            if g not in over or 100 * over[g] < share * a:
+                score, _, left, right = min((1000 * a * n // (counts[g[:k]] * counts[g[k:]]), k, counts[g[:k]], counts[g[k:]]) for k in range(1, len(g)))
+                scored.append((-score, -a, " ".join(g).encode(), left, right))
+        out += [(lang, k + 1, g.decode(), -a, left, right, n, -score) for k, (score, a, g, left, right) in enumerate(sorted(scored)[:top])]
+    return out
