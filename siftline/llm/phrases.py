@@ -6,8 +6,9 @@ two places where it falls below n are an LCP interval, all the shard's occurrenc
 are added up by phrase over all shards, first inside each task.
 
 Three passes keep this small and lose nothing: a phrase that occurs `least` times has only words and word pairs that do.
-First words are counted, then pairs of frequent words, then longer phrases along chains of frequent pairs. Which words
-and pairs are frequent is known by Bloom filters of at most 4 MB; one that is too full only lets more phrases be counted.
+First words are counted; then cells of 48 bits, to which pairs of frequent words are hashed, packed by bucket; then all
+phrases along chains of pairs in frequent cells, by their text. Which words and cells are frequent is known by Bloom
+filters of at most 4 MB. A cell that two pairs share, or a filter that is too full, only lets more phrases be counted.
 """
 
 from __future__ import annotations
@@ -16,16 +17,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import Bloom, flat, gram_hashes, mixed, saved, slices, span_hashes, texts_of, trim, word_spans
+from siftline.llm.common import Bloom, flat, gram_hashes, mixed, saved, shuffle_partitions, slices, span_hashes, text_bytes, texts_of, trim, word_spans
 from siftline.tables import dropped
 
 LONGEST, LEAST, SHARE, TOP = 5, 100, 100, 2000
-#: Bytes of text in a shard.
-SHARD = 8 << 20
+#: Bytes of text in a shard; texts for each bucket of pairs; pairs that a task holds before it sends them.
+SHARD, BUCKET_BYTES, HELD = 4 << 20, 16 << 20, 1 << 21
+CELL = np.uint64((1 << 48) - 1)
 #: Pieces end at these, words also at blanks.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 IS_END = np.zeros(256, bool)
@@ -137,27 +140,81 @@ def words_of(shard: Shard) -> Iterator[pa.RecordBatch]:
     yield shard.rows(first, 1, found, counts)
 
 
-def pairs_of(frequent: Broadcast) -> Callable[[Shard], Iterator[pa.RecordBatch]]:
-    def make(shard: Shard) -> Iterator[pa.RecordBatch]:
-        ok = frequent.value.passes(shard.hashes)
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[heads], np.add.reduceat(counts, heads) if len(heads) else counts
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpacked(block: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
+
+
+def frequent_cells(base: DataFrame, words: Broadcast, least: int) -> DataFrame:
+    """h: a hash of each cell whose pairs of frequent words occur `least` times in all."""
+    buckets = max(shuffle_partitions(base.sparkSession), text_bytes(base) // BUCKET_BYTES)
+
+    def pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        shard = Shard(batch)
+        ok = words.value.passes(shard.hashes)
         link = shard.next & ok
         link[:-1] &= ok[1:]
         chain = chains(link, 2)
-        if len(chain):
-            grams = gram_hashes(shard.hashes, 2)
-            for n, first, counts in intervals(shard.hashes, chain, 2, 2):
-                yield shard.rows(first, n, grams[first], counts)
+        if not len(chain):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        _, first, counts = next(intervals(shard.hashes, chain, 2, 2))
+        return gram_hashes(shard.hashes, 2)[first] & CELL, counts
+
+    def sent(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        cells, counts = summed(*map(np.concatenate, zip(*held)))
+        to = (cells % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")  # in a bucket, cells stay in order
+        cells, counts, to = cells[order] // np.uint64(buckets), counts[order], to[order]
+        used, heads = np.unique(to, return_index=True)
+        parts = [(cells[a:b], counts[a:b]) for a, b in zip(heads, [*heads[1:], len(to)])]
+        blocks = [[packed(np.diff(c, prepend=np.uint64(0))) for c, _ in parts], [packed(n) for _, n in parts]]
+        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(b, pa.binary()) for b in blocks)], ["bucket", "cells", "counts"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in slices(batches, "text", SHARD):
+            held.append(pairs(batch))
+            size += len(held[-1][0])
+            if size >= HELD:
+                yield from sent(held)
+                held, size = [], 0
+        if size:
+            yield from sent(held)
+        trim()
 
-    return make
+    def receive(table: pa.Table) -> pa.Table:
+        cells = np.concatenate([np.cumsum(unpacked(b), dtype=np.uint64) for b in table.column("cells").to_pylist()])
+        counts = np.concatenate([unpacked(b).astype(np.int64) for b in table.column("counts").to_pylist()])
+        cells, counts = summed(cells, counts)
+        cells = cells[counts >= least] * np.uint64(buckets) + np.uint64(table.column("bucket")[0].as_py())
+        trim()
+        return pa.table({"h": mixed(cells).view(np.int64)})
+
+    return base.select("lang", "text").mapInArrow(send, "bucket long, cells binary, counts binary").groupBy("bucket").applyInArrow(receive, "h long")
 
 
-def longer_of(frequent: Broadcast, longest: int) -> Callable[[Shard], Iterator[pa.RecordBatch]]:
+def along(pairs: Broadcast, longest: int) -> Callable[[Shard], Iterator[pa.RecordBatch]]:
+    """Counts phrases of two words or more along chains of pairs in frequent cells."""
+
     def make(shard: Shard) -> Iterator[pa.RecordBatch]:
         link = shard.next.copy()
-        link[:-1] &= frequent.value.passes(gram_hashes(shard.hashes, 2)) if len(link) > 1 else False
-        chain = chains(link, 3)
+        link[:-1] &= pairs.value.passes(mixed(gram_hashes(shard.hashes, 2) & CELL))
+        chain = chains(link, 2)
         if len(chain):
-            for n, first, counts in intervals(shard.hashes, chain, 3, longest):
+            for n, first, counts in intervals(shard.hashes, chain, 2, longest):
                 yield shard.rows(first, n, np.zeros(len(first), np.uint64), counts)
 
     return make
@@ -176,10 +233,8 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
     rows = lambda df, k: df.select("lang", "phrase", k.cast("int").alias("k"), F.col("n").alias("f"))
     grams = rows(words.where(often), F.lit(1))
     if longest > 1:
-        pairs = saved(counted(base, pairs_of(sc.broadcast(Bloom.of(words.where(often).select("h"))))).where(often), "word-pairs")
-        grams = grams.unionByName(rows(pairs, F.lit(2)))
-    if longest > 2:
-        more = counted(base, longer_of(sc.broadcast(Bloom.of(pairs.select("h"))), longest)).where(often)
+        cells = saved(frequent_cells(base, sc.broadcast(Bloom.of(words.where(often).select("h"))), least), "pair-cells")
+        more = counted(base, along(sc.broadcast(Bloom.of(cells)), longest)).where(often)
         grams = grams.unionByName(rows(more, F.size(F.split("phrase", " "))))
     out = saved(grams, "phrases")
     dropped(words)
@@ -187,7 +242,7 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -
 
 
 def score(a: str, n: str, left: str, right: str) -> Column:
-    """floor(1000 * a * n / (left * right)) of longs, exactly."""
+    """floor(1000 * a * n / (left * right)) of longs, exactly, while both products have at most 38 digits."""
     wide = lambda c: f"CAST({c} AS DECIMAL(19, 0))"
     return F.expr(f"(CAST(1000 AS DECIMAL(4, 0)) * {wide(a)} * {wide(n)}) div ({wide(left)} * {wide(right)})")
 
