@@ -8,7 +8,8 @@ from enum import Enum
 FILES = "path string, size long, dev long, ino long, mtime_ns long"
 ERRORS = "path string, stage string, message string"
 HASH_CACHE = "path string, size long, mtime_ns long, hash string"
-WALK_INDEX = "dir string, mtime_ns long, files map<string,struct<size:long,dev:long,ino:long>>, subdirs array<string>"
+#: A row for each folder (kind dir, with its mtime), and for each of its files and subfolders (kinds file and sub).
+WALK_INDEX = "rules string, dir string, kind string, name string, size long, dev long, ino long, mtime_ns long"
 IMPORT_CACHE = "dev long, ino long, chunk_pos long, chunk_len long, modified_ms long, file_len long, data_len long, hash string"
 SCANS = (
     "id long, root string, started_at long, files_scanned long, bytes_scanned long, duplicate_groups long, duplicate_files long, "

@@ -15,7 +15,7 @@ from siftline.model import Action, NoConfirmedDuplicate, NotADirectory, Rule
 from siftline.operators import actions, exact, history
 from siftline.plans import execute
 from siftline.plans.scan import Scan
-from siftline.sources import fswalk
+from siftline.sources import treewalk
 from siftline.sources.records import Journal
 
 #: Rows that come to the driver at once.
@@ -31,9 +31,9 @@ def _below(path: str, roots: Sequence[str]) -> bool:
     return any(path == r or path.startswith(r.rstrip("/") + "/") for r in roots)
 
 
-def _stamped(rows: DataFrame, path: str, kept: str, files: DataFrame) -> Iterator[tuple]:
+def _stamped(rows: DataFrame, path: str, kept: str, members: DataFrame) -> Iterator[tuple]:
     """path, kept, size and the mtimes that the scan saw, row by row."""
-    of = lambda name, ns: files.select(F.col("path").alias(name), F.col("mtime_ns").alias(ns))
+    of = lambda name, ns: members.select(F.col("path").alias(name), F.col("mtime_ns").alias(ns))
     both = rows.select(F.col(path).alias("path_"), F.col(kept).alias("kept_"), "size").join(of("path_", "ns"), "path_").join(of("kept_", "kept_ns"), "kept_")
     return (tuple(r) for r in both.select("path_", "kept_", "size", "ns", "kept_ns").toLocalIterator())
 
@@ -65,12 +65,12 @@ def act(scan: Scan, action: Action, rule: Rule = Rule.ALPHABETICAL, protected: S
         return _recorded(scan, action, done, apply, history_folder)
     if folders:
         whole = replace(scan.options, min_size=None, max_size=None, include_extensions=None, exclude_extensions=None)
-        files = scan.files if whole == scan.options else fswalk.walk(spark, scan.root, whole)[0]
+        files = scan.files if whole == scan.options else treewalk.tree(spark, scan.root, whole).files
         matches = scan.folders().collect()  # claimed matches: folders, not files
         for removed, kept in folder_actions(matches):
             try:
                 pairs = actions.folder_pairs(files, members, removed, kept, protected)
-                rows = list(_stamped(pairs, "remove", "keep", files))
+                rows = list(_stamped(pairs, "remove", "keep", scan.members))
                 shielded = files.where(paths.under(F.col("path"), removed) & paths.under_any(F.col("path"), protected)).count()
                 one = execute.apply_folder(removed, rows, action, archive_dir, shielded, apply, journal)
             except (NoConfirmedDuplicate, NotADirectory) as e:
@@ -87,7 +87,7 @@ def act(scan: Scan, action: Action, rule: Rule = Rule.ALPHABETICAL, protected: S
             members = members.join(spark.createDataFrame([(p,) for p in done.succeeded], "path string"), "path", "left_anti")
         members = members.join(exact.several(members, ["group_id"]).select("group_id"), "group_id", "left_semi")
     plan = actions.planned(members, action, rule, protected, archive_dir)
-    for part in _parts(_stamped(plan, "path", "kept", scan.files)):
+    for part in _parts(_stamped(plan, "path", "kept", scan.members)):
         execute.apply_rows(part, action, archive_dir, apply, journal, done)
     return _recorded(scan, action, done, apply, history_folder)
 

@@ -1,6 +1,6 @@
-"""Spark sources over directory trees: files with their ids, errors, listings that are kept, and contents.
+"""Spark sources over directory trees: files with their ids, errors, and contents.
 
-The driver lists a tree's first levels and deals the folders found to partitions; executors list what is below. So
+Scans walk in rounds, see treewalk; this data source is for `spark.read`. The driver lists a tree's first levels and deals the folders found to partitions; executors list what is below. So
 driver and executors must see the same tree, and a lost executor's folders are just listed again.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from siftline.model import HASH_CACHE, WALK_INDEX, InvalidRoot, ScanOptions
+from siftline.model import InvalidRoot, ScanOptions
 
 SCHEMA = "path string, size long, dev long, ino long, mtime_ns long, error string"
 SIGNED = 1 << 63
@@ -153,69 +153,6 @@ def walk(spark: SparkSession, root: str, options: ScanOptions | None = None) ->
     return found.where("error IS NULL").drop("error"), found.where("error IS NOT NULL").select("path", F.lit("traversal").alias("stage"), F.col("error").alias("message"))
 
 
-def listings(files: DataFrame, folders: DataFrame, now_ns: int, racy_ns: int = 2_000_000_000) -> DataFrame:
-    """Rows of the walk index: dir, mtime_ns, files, subdirs of folders (dir, mtime_ns, complete) that are complete and
-    weren't changed in the last two seconds before they were listed."""
-    own = files.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("dir")).agg(F.map_from_entries(F.collect_list(F.struct(F.element_at(F.split("path", "/"), -1), F.struct("size", "dev", "ino")))).alias("files"))
-    below = folders.groupBy(F.regexp_replace("dir", "/[^/]*$", "").alias("up")).agg(F.sort_array(F.collect_list(F.element_at(F.split("dir", "/"), -1))).alias("subdirs"))
-    sure = folders.where(F.col("complete") & (F.col("mtime_ns") < now_ns - racy_ns))
-    none = F.create_map().cast("map<string,struct<size:bigint,dev:bigint,ino:bigint>>")
-    return sure.join(own, "dir", "left").join(below, F.col("dir") == F.col("up"), "left").select("dir", "mtime_ns", F.coalesce("files", none).alias("files"), F.coalesce("subdirs", F.array().cast("array<string>")).alias("subdirs"))
-
-
-def unchanged(index: DataFrame, folders: DataFrame) -> DataFrame:
-    """Kept listings of folders (dir, mtime_ns) whose mtime is still the recorded one."""
-    return index.join(folders.select("dir", "mtime_ns"), ["dir", "mtime_ns"])
-
-
-def relisted(spark: SparkSession, root: str, index: DataFrame, rescan_all: bool = False) -> tuple[DataFrame, DataFrame]:
-    """files (path, size, dev, ino) and folders (dir, mtime_ns, reused) of a tree: folders whose mtime is in the index are
-    taken from it, the others are listed. Each level of the tree is one job over its folders."""
-    files, folders, level = None, None, spark.createDataFrame([(root,)], "dir string")
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dirs = batch.column("dir").to_pylist()
-            times = []
-            for d in dirs:
-                try:
-                    times.append(os.stat(d).st_mtime_ns)
-                except OSError:
-                    times.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(dirs), pa.array(times, pa.int64())], ["dir", "mtime_ns"])
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = Walk(root, {})
-        for batch in batches:
-            out: dict[str, list] = {"dir": [], "files": [], "subdirs": []}
-            for d in batch.column("dir").to_pylist():
-                rows, below = rules.list(d, frozenset())
-                out["dir"].append(d)
-                out["files"].append([(os.path.basename(r[0]), {"size": r[1], "dev": r[2], "ino": r[3]}) for r in rows if r[5] is None])
-                out["subdirs"].append([os.path.basename(b[0]) for b in below])
-            kind = pa.struct([("size", pa.int64()), ("dev", pa.int64()), ("ino", pa.int64())])
-            yield pa.RecordBatch.from_arrays([pa.array(out["dir"]), pa.array(out["files"], pa.map_(pa.string(), kind)), pa.array(out["subdirs"], pa.list_(pa.string()))], ["dir", "files", "subdirs"])
-
-    from siftline.tables import saved
-
-    schema = "dir string, files map<string,struct<size:bigint,dev:bigint,ino:bigint>>, subdirs array<string>"
-    while True:
-        stamped = level.mapInArrow(look, "dir string, mtime_ns long").where("mtime_ns IS NOT NULL")
-        stamped = saved(stamped, "folders")
-        if stamped.isEmpty():
-            break
-        kept = unchanged(index, stamped).select("dir", "files", "subdirs") if not rescan_all else index.limit(0).select("dir", "files", "subdirs")
-        new = stamped.join(kept.select("dir"), "dir", "left_anti").mapInArrow(listed, schema)
-        rows = saved(kept.withColumn("reused", F.lit(True)).unionByName(new.withColumn("reused", F.lit(False))), "listed")
-        own = rows.select("dir", F.explode("files").alias("name", "s")).select(F.concat_ws("/", "dir", "name").alias("path"), "s.size", "s.dev", "s.ino")
-        here = stamped.join(rows.select("dir", "reused"), "dir")
-        files, folders = (own, here) if files is None else (files.unionByName(own), folders.unionByName(here))
-        level = rows.select("dir", F.explode("subdirs").alias("name")).select(F.concat_ws("/", "dir", "name").alias("dir"))
-    if files is None:
-        raise InvalidRoot(root)
-    return files, folders
-
-
 def subfolders(files: DataFrame, folder: str) -> DataFrame:
     """name, path, has_children of the folders right below one, hidden ones left out, in order without regard to case."""
     from siftline.functions import paths
@@ -238,7 +175,7 @@ def _chunks(path: str, ranges: list[tuple[int, int]] | None) -> Iterator[bytes]:
 
 
 def read_hashes(files: DataFrame, sample: int | None = None, algorithm: str = "sha256") -> DataFrame:
-    """files with digest and error: of the whole content, or with `sample` of its head, middle and tail.
+    """files with digest, error and the number of bytes read: of the whole content, or with `sample` of its head, middle and tail.
 
     algorithm: sha256, or xxh3_128 to agree with caches of tools that use it.
     """
@@ -247,7 +184,7 @@ def read_hashes(files: DataFrame, sample: int | None = None, algorithm: str = "s
         import hashlib
 
         for batch in batches:
-            digests, errors = [], []
+            digests, errors, read = [], [], []
             for path, size in zip(batch.column("path").to_pylist(), batch.column("size").to_pylist()):
                 if algorithm == "sha256":
                     h = hashlib.sha256()
@@ -255,6 +192,7 @@ def read_hashes(files: DataFrame, sample: int | None = None, algorithm: str = "s
                     import xxhash
 
                     h = xxhash.xxh3_128()
+                n = 0
                 try:
                     ranges = None
                     if sample is not None:
@@ -262,18 +200,17 @@ def read_hashes(files: DataFrame, sample: int | None = None, algorithm: str = "s
                         ranges = [(0, min(s, size)), (max(size // 2 - s // 2, 0), min(s, size)), (max(size - s, 0), min(s, size))]
                     for block in _chunks(path, ranges):
                         h.update(block)
+                        n += len(block)
                     digests.append(h.hexdigest())
                     errors.append(None)
                 except OSError as e:
                     digests.append(None)
                     errors.append(str(e))
+                read.append(n)
             columns = [batch.column(c) for c in batch.schema.names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.string()), pa.array(errors, pa.string())], [*batch.schema.names, "digest", "error"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.string()), pa.array(errors, pa.string()), pa.array(read, pa.int64())], [*batch.schema.names, "digest", "error", "read"])
 
-    from pyspark.sql.types import StringType, StructType
+    from pyspark.sql.types import LongType, StringType, StructType
 
-    schema = StructType(list(files.schema.fields)).add("digest", StringType()).add("error", StringType())
+    schema = StructType(list(files.schema.fields)).add("digest", StringType()).add("error", StringType()).add("read", LongType())
     return files.mapInArrow(run, schema)
-
-
-__all__ = ["HASH_CACHE", "WALK_INDEX", "listings", "read_hashes", "relisted", "subfolders", "unchanged", "walk"]

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from siftline.functions import paths
 from siftline.model import InvalidRoot, ScanOptions
 from siftline.operators import cache, report, similar
-from siftline.plans.scan import scan
-from siftline.sources import fswalk
+from siftline.plans.scan import scan, verified
+from siftline.sources import fswalk, treewalk
+from siftline.sources.hashstore import HashStore
+from siftline.tables import saved
 
 SMALL = ScanOptions(small_file_threshold=128, partial_hash_sample_size=128)
 
@@ -98,24 +100,170 @@ def test_links(spark, tmp_path) -> None:  # noqa: ANN001
     assert sorted(r["stage"] for r in errors.collect()) == ["traversal", "traversal"]
 
 
-def test_walk_index(spark, tmp_path) -> None:  # noqa: ANN001
-    root = put(tmp_path, {"a/1": b"1", "a/b/2": b"22", "c/3": b"333"})
-    for d in (root, f"{root}/a", f"{root}/a/b", f"{root}/c"):
-        os.utime(d, ns=(10**18, 10**18))
-    none = spark.createDataFrame([], fswalk.WALK_INDEX)
-    files, folders = fswalk.relisted(spark, root, none)
-    key = lambda df: sorted((r["path"], r["size"]) for r in df.collect())
-    assert key(files) == sorted((f"{root}/{n}", s) for n, s in (("a/1", 1), ("a/b/2", 2), ("c/3", 3)))
-    index = fswalk.listings(files, folders.withColumn("complete", F.lit(True)), 2 * 10**18)
-    assert index.count() == 4
-    put(tmp_path, {"c/4": b"4444"})
-    files, folders = fswalk.relisted(spark, root, index)
-    assert {os.path.relpath(r["dir"], root): r["reused"] for r in folders.collect()} == {".": True, "a": True, "a/b": True, "c": False}
-    assert (f"{root}/c/4", 4) in key(files)
-    files, folders = fswalk.relisted(spark, root, index, rescan_all=True)
-    assert not any(r["reused"] for r in folders.collect())
-    fresh = fswalk.listings(files, folders.withColumn("complete", F.lit(True)), int(os.stat(f"{root}/c").st_mtime_ns) + 10**9)
-    assert f"{root}/c" not in {r["dir"] for r in fresh.collect()}
+def aged(root: str, *without: str) -> None:
+    """All folders were last changed long ago."""
+    for d, _, _ in os.walk(root, topdown=False):
+        if os.path.relpath(d, root) not in without:
+            os.utime(d, ns=(10**18, 10**18))
+
+
+def rows_of(t, root: str) -> list[tuple]:  # noqa: ANN001
+    return sorted((os.path.relpath(r["path"], root), r["size"], r["dev"], r["ino"], r["mtime_ns"]) for r in t.files.collect())
+
+
+def test_second_walk_lists_only_what_changed(spark, tmp_path) -> None:  # noqa: ANN001
+    root = put(tmp_path, {"a/1": b"1", "a/b/2": b"22", "a/b/deep/er/5": b"5", "c/3": b"333", "d/old/x": b"x"})
+    aged(root)
+    first = treewalk.tree(spark, root)
+    assert (first.listed, first.reused, first.files_scanned, first.bytes_scanned) == (8, 0, 5, 8)
+    index = saved(first.index, "index")
+    again = treewalk.tree(spark, root, index=index)
+    assert (again.listed, again.reused) == (0, 8) and rows_of(again, root) == rows_of(first, root)
+    assert (again.files_scanned, again.bytes_scanned) == (5, 8)
+    key = lambda t: sorted(map(str, t.collect()))
+    assert key(again.index) == key(index)
+    # a new file, a new tree, a folder that is gone, one that is a link now, and one put back
+    put(tmp_path, {"c/4": b"4444", "c/new/er/6": b"6"})
+    os.rename(f"{root}/d/old", f"{root}/d/moved")
+    os.rename(f"{root}/a/b/deep", f"{root}/elsewhere")
+    os.symlink(f"{root}/elsewhere", f"{root}/a/b/deep")
+    now = treewalk.tree(spark, root, index=index)
+    assert rows_of(now, root) == rows_of(treewalk.tree(spark, root), root)
+    assert (now.listed, now.reused) == (9, 1)  # all but a/: root, a/b, c, c/new, c/new/er, d, d/moved, elsewhere, elsewhere/er
+    everything = treewalk.tree(spark, root, ScanOptions(rescan_all=True), index)
+    assert everything.reused == 0 and rows_of(everything, root) == rows_of(now, root)
+
+
+def test_an_index_reuses_stats(spark, tmp_path) -> None:  # noqa: ANN001
+    """An edit in place leaves the folder as it was, so its listing stands; a scan looks at what it hashes again."""
+    root = put(tmp_path, {"a/1": b"same!", "a/2": b"same!", "b/3": b"same!", "b/4": b"alone", "c/5": b"longer"})
+    aged(root)
+    first = scan(spark, root)
+    index, cache = saved(first.index, "index"), saved(first.cache, "cache")
+    put(tmp_path, {"a/1": b"other", "c/5": b"now it is far longer"})
+    aged(root)
+    again = scan(spark, root, index=index, cache=cache)
+    assert again.counters["folders_listed"] == 0 and again.counters["folders_reused"] == 4
+    assert found(again, root) == [["a/2", "b/3"]] and again.counters["hashed"] == 1 and again.counters["cached"] == 3
+    put(tmp_path, {"b/4": b"other, longer"})
+    aged(root)
+    third = scan(spark, root, index=index)
+    assert [(os.path.relpath(r["path"], root), r["stage"]) for r in third.errors.collect()] == [("b/4", "stat")]
+    assert found(third, root) == [["a/2", "b/3"]]
+    assert found(scan(spark, root, ScanOptions(rescan_all=True), index=index), root) == [["a/2", "b/3"]]
+
+
+def test_what_an_index_does_not_hold(spark, tmp_path) -> None:  # noqa: ANN001
+    root = put(tmp_path, {"a/1.tmp": b"1", "a/2": b"22", "bad/3": b"333", "young/4": b"4", "deep/below/5": b"5"})
+    with open(os.path.join(os.fsencode(root), b"bad", b"\xff"), "wb"):
+        pass
+    aged(root, "young")
+    first = treewalk.tree(spark, root)
+    assert first.errors.count() == 1
+    index = saved(first.index, "index")
+    held = {os.path.relpath(r["dir"], root) for r in index.where("kind = 'dir'").collect()}
+    assert held == {".", "a", "deep", "deep/below"}
+    again = treewalk.tree(spark, root, index=index)
+    assert (again.listed, again.reused) == (2, 4) and rows_of(again, root) == rows_of(first, root) and again.errors.count() == 1
+    # other rules don't fit it, the same ones do
+    for options in (ScanOptions(exclude_extensions=("tmp",)), ScanOptions(exclude_paths=(f"{root}/deep",)), ScanOptions(min_size=2), ScanOptions(cross_filesystems=True), ScanOptions(follow_symlinks=True)):
+        other = treewalk.tree(spark, root, options, index)
+        assert other.reused == 0 and rows_of(other, root) == rows_of(treewalk.tree(spark, root, options), root)
+    narrow = ScanOptions(exclude_extensions=("tmp",), exclude_paths=(f"{root}/deep",))
+    own = saved(treewalk.tree(spark, root, narrow).index, "index")
+    again = treewalk.tree(spark, root, narrow, own)
+    assert again.reused == 3 and rows_of(again, root) == rows_of(treewalk.tree(spark, root, narrow), root)  # young/ has aged
+    assert treewalk.tree(spark, root, ScanOptions(follow_symlinks=True)).index.count() == 0
+
+
+def test_lopsided_trees_are_dealt_to_all(spark, tmp_path, monkeypatch) -> None:  # noqa: ANN001
+    """Nine tenths below one folder, a long chain, and a folder of very many files."""
+    monkeypatch.setattr(treewalk, "DESCENT", (4, 16))
+    monkeypatch.setattr(treewalk, "SLICE", 50)
+    files = {f"big/{i}/{j}/f": b"x" for i in range(12) for j in range(6)} | {f"flat/{i}": b"y" for i in range(420)} | {"/".join(["chain"] * 40) + "/end": b"z", "s/f": b"s"}
+    root = put(tmp_path, files)
+    rounds = []
+    real = treewalk._round
+
+    def watched(todo, root, options, descent, parts, out):  # noqa: ANN001, ANN202
+        rows, more = real(todo, root, options, descent, parts, out)
+        rounds.append(sorted(r["n"] for r in rows.where("kind IN ('dir', 'file')").groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()))
+        return rows, more
+
+    monkeypatch.setattr(treewalk, "_round", watched)
+    t = treewalk.tree(spark, root, ScanOptions(read_parallelism=4))
+    assert [r[0] for r in rows_of(t, root)] == sorted(files) and t.errors.count() == 0
+    assert max(len(r) for r in rounds) == 4
+    # no task of a later round does more than a slice for each item and its descent
+    assert max(n for r in rounds for n in r) < 250 < sum(map(sum, rounds))
+
+
+class Killed(Exception):
+    pass
+
+
+def test_a_killed_scan_goes_on_from_its_last_batch(spark, tmp_path) -> None:  # noqa: ANN001
+    root, store = put(tmp_path / "t", {f"f{k:02}": bytes([k // 2]) * 100 for k in range(40)}), f"file://{tmp_path}/store"
+    seen = []
+
+    def until_third(event: dict) -> None:
+        seen.append(event)
+        if event["type"] == "hash_progress" and event["files_read"] and len({e["files_read"] for e in seen if "files_read" in e}) == 4:
+            raise Killed
+
+    with pytest.raises(Killed):
+        scan(spark, root, store=store, progress=until_third, batch=(500, 1000))
+    done = seen[-1]["files_read"]
+    assert 0 < done < 40
+    again = scan(spark, root, store=store, batch=(500, 1000))
+    assert again.counters["cached"] == done and again.counters["hashed"] == again.counters["files_read"] == 40 - done
+    assert found(again, root) == [[f"f{k:02}", f"f{k + 1:02}"] for k in range(0, 40, 2)]
+    # a part that was written but not committed doesn't count
+    held = HashStore(spark, f"{store}/sha256")
+    parts = held.committed()
+    os.unlink(f"{tmp_path}/store/sha256/commits/{parts[0]}")
+    lost = held.rows(parts[:1]).count()
+    third = scan(spark, root, store=store)
+    assert third.counters["hashed"] == lost and third.counters["cached"] == 40 - lost
+    held.compact()
+    assert len(held.committed()) == 1 and scan(spark, root, store=store).counters["cached"] == 40
+    put(tmp_path / "t", {"f00": b"?" * 100})
+    os.utime(f"{root}/f00", ns=(1, 1))
+    last = scan(spark, root, store=store)
+    assert last.counters["hashed"] == 1 and found(last, root) == found(again, root)[1:]
+    assert held.read().count() == 40
+
+
+def test_counters_and_progress(spark, tmp_path) -> None:  # noqa: ANN001
+    """Against a count by hand."""
+    big, other = b"a" * 1000, b"a" * 400 + b"b" * 200 + b"a" * 400
+    root = put(tmp_path, {"u": b"unique", "e1": b"", "e2": b"", "s1": b"small!!", "s2": b"small!!", "s3": b"smaLl!!", "b1": big, "b2": big, "b3": other})
+    os.link(f"{root}/s1", f"{root}/s1-link")
+    events = []
+    s = scan(spark, root, ScanOptions(small_file_threshold=100, partial_hash_sample_size=100, verify=True), progress=events.append)
+    # 3 samples of 300 bytes; 3 small files and 2 large ones hashed; both files of a group compared with its first
+    c = s.counters
+    assert c["files_read"] == 3 + 3 + 2 + 4 * 2
+    assert c["bytes_read"] == 3 * 300 + 3 * 7 + 2 * 1000 + 4 * 7 + 4 * 1000
+    assert (c["files"], c["same_size"], c["sampled"], c["hashed"], c["cached"]) == (10, 9, 3, 5, 0)
+    assert (c["files_checked"], c["files_total"], c["bytes_checked"], c["bytes_total"]) == (10, 10, 3034, 3034)
+    assert found(s, root) == [["b1", "b2"], ["e1", "e2"], ["s1", "s1-link", "s2"]]
+    kinds = [e["type"] for e in events]
+    assert kinds == ["progress"] + ["hash_progress"] * (len(kinds) - 1) and len(kinds) > 3
+    assert [e["files_checked"] for e in events[1:]] == [3, 4, 10, 10]
+    for name in ("files_read", "bytes_read", "files_checked", "bytes_checked"):
+        values = [e[name] for e in events[1:]]
+        assert values == sorted(values) and values[-1] == c[name]
+
+
+def test_verify_reports_a_reference_once(spark, tmp_path) -> None:  # noqa: ANN001
+    root = put(tmp_path, {"a": b"same", "b": b"same", "c": b"same", "x": b"other", "y": b"other"})
+    s = scan(spark, root)
+    least = min("abc", key=lambda n: os.stat(f"{root}/{n}").st_ino)
+    os.unlink(f"{root}/{least}")
+    os.unlink(f"{root}/{max('xy', key=lambda n: os.stat(f'{root}/{n}').st_ino)}")
+    kept, errors = verified(s.members)
+    assert kept.count() == 0 and errors.count() == 2
 
 
 def test_folders(spark, tmp_path) -> None:  # noqa: ANN001
