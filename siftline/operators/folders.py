@@ -1,9 +1,15 @@
 """Folders that duplicate one another, or are contained in another.
 
-Each file stands in a row for each folder above it, with its path from there: no recursion. A folder is fully duplicated
-if all its files have a group; equal sets of (relative path, group) are exact duplicates, and a folder is contained
-in another that has each of its pairs. Matches are claimed from the top: folders at or below a claimed one are passed over,
-in the order of depth, then path. A round claims at once all matches that no earlier one can touch.
+Files are entries of their own folder alone. Signatures are rolled up from the deepest level: a folder's combines a hash
+of the name and group of each of its files and of the name and signature of each folder in it, so each level's job has
+rows for its folders only, and none has a row for each file and each folder above it. A folder is fully duplicated if all
+files below it have a group. Folders of one signature have the same files at the same places: exact duplicates.
+
+Containment starts from each folder's rarest file, found on the way up: a folder that holds another has a file of that
+group at the same place, so it is a file of that name and group whose path ends alike that gives a candidate. Candidates
+with fewer files go at once; the others are compared level by level, and where signatures agree not looked into further.
+Matches are claimed from the top: folders at or below a claimed one are passed over, in the order of depth, then path. A
+round claims at once all matches that no earlier one can touch.
 """
 
 from __future__ import annotations
@@ -14,56 +20,119 @@ from pyspark.sql import functions as F
 from siftline.functions import paths
 from siftline.tables import dropped, saved
 
+SEEDS = 1, 2
 
-def closure(files: DataFrame, members: DataFrame, root: str) -> DataFrame:
-    """dir, rel, gid (null without a group), size: a row for each file and each folder above it, root included."""
-    of = files.join(members.select("path", F.col("group_id").alias("gid")), "path", "left").where(paths.under(F.col("path"), root) & (F.col("path") != root))
-    up = F.filter(paths.ancestors(F.col("path")), lambda d: paths.under(d, root))
-    return of.select("path", "gid", "size", F.explode(up).alias("dir")).select("dir", paths.relative(F.col("path"), F.col("dir")).alias("rel"), "gid", "size")
 
+def entries(files: DataFrame, members: DataFrame, root: str) -> DataFrame:
+    """dir, name, gid (null without a group), size: a row for each file below the root."""
+    own = files.select("path", "size").where(paths.under(F.col("path"), root) & (F.col("path") != root))
+    of = own.join(members.select("path", F.col("group_id").alias("gid")), "path", "left")
+    return of.select(paths.parent(F.col("path")).alias("dir"), paths.name(F.col("path")).alias("name"), "gid", "size")
 
-def signatures(closed: DataFrame) -> DataFrame:
-    """dir, sig, file_count, bytes of folders all of whose files have a group.
 
-    The signature combines 128 bits of hashes of the pairs as they come, so no list of a folder's files is ever made;
-    exact() compares the pairs themselves.
+def _lanes(*columns) -> list:  # noqa: ANN002
+    return [F.xxhash64(F.lit(seed), *columns).alias(lane) for seed, lane in zip(SEEDS, ("x", "y"))]
+
+
+def rolled(own: DataFrame, root: str) -> DataFrame:
+    """dir, sig, whole, file_count, bytes, inner (entries of its own), rare, saved: of all folders from the root down.
+
+    own: entries(). whole: whether all files below have a group; rare: the file below whose name and group are met least
+    often (often, dir, name, gid).
     """
-    pair = [F.bit_xor(F.xxhash64(F.lit(seed), "rel", "gid")) for seed in (1, 2)]
-    whole = closed.groupBy("dir").agg(F.count("*").alias("file_count"), F.sum("size").alias("bytes"), F.bool_and(F.col("gid").isNotNull()).alias("whole"), pair[0].alias("x"), pair[1].alias("y"))
-    return whole.where("whole").select("dir", F.concat(F.hex("x"), F.lit("-"), F.hex("y")).alias("sig"), "file_count", "bytes")
+    often = own.where("gid IS NOT NULL").groupBy("name", "gid").agg(F.count("*").alias("often"))
+    rows = own.join(often, ["name", "gid"], "left")
+    sums = [
+        F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.bool_and("whole").alias("whole"), F.sum("file_count").alias("file_count"),
+        F.sum("bytes").alias("bytes"), F.sum("inner").alias("inner"), F.min("rare").alias("rare"),
+    ]
+    rare = F.when(F.col("gid").isNotNull(), F.struct("often", "dir", "name", "gid")).alias("rare")
+    one = F.lit(1).cast("long")
+    direct = rows.select("dir", *_lanes(F.lit("file"), "name", "gid"), F.col("gid").isNotNull().alias("whole"), one.alias("file_count"), F.col("size").alias("bytes"), one.alias("inner"), rare)
+    level = paths.depth(F.col("dir")).alias("depth")
+    direct = saved(direct.groupBy("dir").agg(*sums).withColumn("depth", level), "own-files")
+    ends = direct.agg(F.max("depth")).first()[0]
+    top = direct.sparkSession.range(1).select(paths.depth(F.lit(root))).first()[0]
+    done: list[DataFrame] = []
+    for depth in range(ends or 0, top - 1, -1):
+        here = direct.where(F.col("depth") == depth).drop("depth")
+        if done:
+            below = done[-1].select(paths.parent(F.col("dir")).alias("dir"), *_lanes(F.lit("folder"), paths.name(F.col("dir")), "x", "y"), "whole", "file_count", "bytes", one.alias("inner"), "rare")
+            here = here.unionByName(below).groupBy("dir").agg(*sums)
+        done.append(saved(here, "level"))
+    if not done:
+        done = [direct.drop("depth")]
+    every = done[0]
+    for d in done[1:]:
+        every = every.unionByName(d)
+    out = saved(every.select("dir", F.concat(F.hex("x"), F.lit("-"), F.hex("y")).alias("sig"), "whole", "file_count", "bytes", "inner", "rare"), "folders")
+    dropped(*done, direct)
+    return out
 
 
-def _shared(signed: DataFrame) -> DataFrame:
+def _content(own: DataFrame, folders: DataFrame) -> DataFrame:
+    """dir, name, key: what is in each folder itself; the key tells files' groups and folders' signatures."""
+    inner = folders.select(paths.parent(F.col("dir")).alias("dir"), paths.name(F.col("dir")).alias("name"), F.concat(F.lit("d"), "sig").alias("key"))
+    return own.where("gid IS NOT NULL").select("dir", "name", F.concat(F.lit("f"), F.col("gid").cast("string")).alias("key")).unionByName(inner)
+
+
+def _shared(folders: DataFrame) -> DataFrame:
     """sig, file_count, first folder of signatures that several folders have."""
-    return signed.groupBy("sig", "file_count").agg(F.count("*").alias("dirs"), F.min(paths.sort_key(F.col("dir"))).alias("k")).where("dirs > 1").select("sig", "file_count", F.col("k.path").alias("first"))
+    return folders.where("whole").groupBy("sig", "file_count").agg(F.count("*").alias("dirs"), F.min(paths.sort_key(F.col("dir"))).alias("k")).where("dirs > 1").select("sig", "file_count", F.col("k.path").alias("first"))
 
 
-def exact(signed: DataFrame, closed: DataFrame) -> DataFrame:
-    """sig, dir, file_count, bytes of folders whose pairs are those of the first folder with their signature."""
-    near = signed.join(_shared(signed), ["sig", "file_count"])
-    pairs = closed.select("dir", "rel", "gid")
-    met = near.where("dir <> first").join(pairs, "dir").join(pairs.withColumnRenamed("dir", "first"), ["first", "rel", "gid"])
-    same = met.groupBy("sig", "dir", "first", "file_count", "bytes").agg(F.count("*").alias("n")).where("n = file_count")
+def exact(folders: DataFrame, own: DataFrame) -> DataFrame:
+    """sig, dir, file_count, bytes of fully duplicated folders whose content is that of the first with their signature.
+
+    What is in a folder itself is compared, name by name; folders in it are by their signatures.
+    """
+    near = folders.where("whole").join(_shared(folders), ["sig", "file_count"])
+    content = _content(own, folders)
+    others = near.where("dir <> first").select("sig", "dir", "first", "file_count", "bytes", "inner")
+    met = others.join(content, "dir").join(content.withColumnRenamed("dir", "first"), ["first", "name", "key"])
+    same = met.groupBy("sig", "dir", "first", "file_count", "bytes", "inner").agg(F.count("*").alias("n"))
+    same = same.where("n = inner")
     heads = near.where("dir = first").join(same.select("first").distinct(), "first", "left_semi")
     columns = ["sig", "dir", "file_count", "bytes"]
     return same.select(*columns).unionByName(heads.select(*columns))
 
 
-def contained(signed: DataFrame, closed: DataFrame) -> DataFrame:
-    """subset, superset, file_count, bytes: relational division, started from each subset's rarest pair.
+def candidates(folders: DataFrame, own: DataFrame) -> DataFrame:
+    """subset, superset, file_count, bytes: pairs that agree in the subset's rarest file, the superset not the smaller.
 
     A folder of an exact cluster isn't looked at as a subset.
     """
-    alone = signed.join(_shared(signed), ["sig", "file_count"], "left_anti")
-    pairs = closed.where("gid IS NOT NULL").select("dir", "rel", "gid")
-    often = pairs.groupBy("rel", "gid").agg(F.count("*").alias("often"))
-    own = pairs.join(alone.select("dir", "file_count", "bytes"), "dir").join(often, ["rel", "gid"])
-    rarest = own.groupBy("dir", "file_count", "bytes").agg(F.min(F.struct("often", "rel", "gid")).alias("r"))
-    first = rarest.select(F.col("dir").alias("subset"), "file_count", "bytes", F.col("r.rel").alias("rel"), F.col("r.gid").alias("gid"))
-    maybe = first.join(pairs.withColumnRenamed("dir", "superset"), ["rel", "gid"]).where("subset <> superset").select("subset", "superset", "file_count", "bytes")
-    sub = pairs.withColumnRenamed("dir", "subset")
-    both = maybe.join(sub, "subset").join(pairs.withColumnRenamed("dir", "superset"), ["superset", "rel", "gid"])
-    return both.groupBy("subset", "superset", "file_count", "bytes").agg(F.count("*").alias("n")).where("n = file_count").drop("n")
+    alone = folders.where("whole").join(_shared(folders), ["sig", "file_count"], "left_anti")
+    place = F.concat(F.lit("/"), F.when(F.col("rare.dir") == F.col("dir"), F.lit("")).otherwise(F.concat(paths.relative(F.col("rare.dir"), F.col("dir")), F.lit("/"))), F.col("rare.name"))
+    asked = alone.select(F.col("dir").alias("subset"), "file_count", "bytes", F.col("rare.name").alias("name"), F.col("rare.gid").alias("gid"), place.alias("place"))
+    path = F.concat(F.regexp_replace("dir", "/$", ""), F.lit("/"), F.col("name"))
+    met = asked.join(own.where("gid IS NOT NULL").select("dir", "name", "gid"), ["name", "gid"]).where(F.endswith(path, F.col("place")))
+    base = F.substring(path, F.lit(1), F.length(path) - F.length("place"))
+    found = met.select("subset", F.when(base == "", F.lit("/")).otherwise(base).alias("superset"), "file_count", "bytes").where("subset <> superset")
+    size = folders.select(F.col("dir").alias("superset"), F.col("file_count").alias("most"))
+    return found.join(size, "superset").where("most >= file_count").drop("most")
+
+
+def contained(folders: DataFrame, own: DataFrame) -> DataFrame:
+    """subset, superset, file_count, bytes: fully duplicated folders all of whose files another has at the same places."""
+    left = saved(candidates(folders, own), "candidates")
+    pairs = left.select("subset", "superset", F.col("subset").alias("s"), F.col("superset").alias("t"))
+    grouped = own.where("gid IS NOT NULL").select("dir", "name", "gid")
+    inner = folders.select(paths.parent(F.col("dir")).alias("s"), paths.name(F.col("dir")).alias("name"), "sig")
+    there = folders.select(F.col("dir").alias("t_below"), F.col("sig").alias("t_sig"))
+    child = lambda c: F.concat(F.regexp_replace(c, "/$", ""), F.lit("/"), F.col("name"))
+    spent = []
+    while True:
+        missing = pairs.join(grouped.withColumnRenamed("dir", "s"), "s").join(grouped.withColumnRenamed("dir", "t"), ["t", "name", "gid"], "left_anti")
+        step = pairs.join(inner, "s").select("subset", "superset", child("s").alias("s"), child("t").alias("t_below"), "sig").join(there, "t_below", "left")
+        step = saved(step.where("t_sig IS NULL OR t_sig <> sig"), "unlike")
+        bad = missing.select("subset", "superset").unionByName(step.where("t_sig IS NULL").select("subset", "superset")).distinct()
+        now = saved(left.join(bad, ["subset", "superset"], "left_anti"), "contained")
+        dropped(left, *spent)
+        left, spent = now, [step]
+        pairs = step.where("t_sig IS NOT NULL").join(left.select("subset", "superset"), ["subset", "superset"], "left_semi").select("subset", "superset", "s", F.col("t_below").alias("t"))
+        if pairs.isEmpty():
+            return left
 
 
 def claimed(clusters: DataFrame, subsets: DataFrame) -> DataFrame:
@@ -101,9 +170,9 @@ def claimed(clusters: DataFrame, subsets: DataFrame) -> DataFrame:
 
 def folder_matches(files: DataFrame, members: DataFrame, root: str) -> DataFrame:
     """kind, folders (in order), subset, superset, file_count, bytes."""
-    closed = saved(closure(files, members, root), "closure")
-    signed = saved(signatures(closed), "signatures")
-    same, within = saved(exact(signed, closed), "clusters"), saved(contained(signed, closed), "subsets")
+    own = saved(entries(files, members, root), "entries")
+    folders = rolled(own, root)
+    same, within = saved(exact(folders, own), "clusters"), contained(folders, own)
     taken = claimed(same, within)
     none = F.lit(None).cast("string")
     key = paths.sort_key(F.col("dir"))

@@ -15,6 +15,7 @@ from siftline.functions import paths, values
 from siftline.model import Action, Rule, ScanOptions
 from siftline.operators import actions, cache, exact, filters, folders, history, keep, report, similar
 from siftline.sources.tables import as_files, documents_as_files
+from siftline.tables import saved
 
 THRESHOLD, SAMPLE = 4096, 512
 PROTECTED = ("/src3",)
@@ -247,28 +248,28 @@ e AS (SELECT sig FROM w GROUP BY sig HAVING count(*) > 1)"""
 
 
 def _folders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The closure of the line items' folders (one level) and its signatures; a part's line items are one group."""
+    """The folders of line items (one level) and their entries; a part's line items are one group."""
     files = _lines(spark, sf_dir)
     shared = files.groupBy("ino").count().where("count > 1").select("ino")
     found = files.join(shared, "ino", "left_semi").select("path", F.col("ino").alias("group_id"))
-    closed = folders.closure(files.select("path", "size"), found, "/t").where("dir <> '/t'")
-    return closed, folders.signatures(closed)
+    own = saved(folders.entries(files.select("path", "size"), found, "/t"), "entries")
+    return folders.rolled(own, "/t").where("dir <> '/t'"), own
 
 
 @query(f"""WITH {_FOLDERS} SELECT min(dir) AS first_dir, count(*) AS dirs, n AS file_count, CAST(min(bytes) AS BIGINT) AS bytes FROM w WHERE sig IN (SELECT sig FROM e) GROUP BY sig, n""")
 def folder_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    closed, signed = _folders(spark, sf_dir)
+    found, own = _folders(spark, sf_dir)
     number = paths.name(F.col("dir")).cast("long")
-    return folders.exact(signed, closed).groupBy("sig", "file_count").agg(F.min(number).alias("first_dir"), F.count("*").alias("dirs"), F.min("bytes").alias("bytes")).drop("sig")
+    return folders.exact(found, own).groupBy("sig", "file_count").agg(F.min(number).alias("first_dir"), F.count("*").alias("dirs"), F.min("bytes").alias("bytes")).drop("sig")
 
 
 @query(f"""WITH {_FOLDERS}, o AS (SELECT w.* FROM w WHERE sig NOT IN (SELECT sig FROM e)), p AS (SELECT a.dir AS subset, b.dir AS superset, count(*) AS c
   FROM f AS a JOIN f AS b ON a.rel = b.rel AND a.gid = b.gid AND a.dir <> b.dir WHERE a.dir IN (SELECT dir FROM o) GROUP BY 1, 2)
 SELECT subset, superset, n AS file_count, CAST(bytes AS BIGINT) AS bytes FROM p JOIN o ON o.dir = p.subset WHERE c = n""")
 def folder_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    closed, signed = _folders(spark, sf_dir)
+    found, own = _folders(spark, sf_dir)
     number = lambda c: paths.name(F.col(c)).cast("long").alias(c)
-    return folders.contained(signed, closed).select(number("subset"), number("superset"), "file_count", "bytes")
+    return folders.contained(found, own).select(number("subset"), number("superset"), "file_count", "bytes")
 
 
 _NEST = """f AS (SELECT l_orderkey // 2 AS a, l_orderkey % 2 AS b, n, l_partkey % 7 AS gid, CAST(l_quantity AS BIGINT) AS size FROM (SELECT *, """ + _LINES + """ AS n FROM lineitem)),
@@ -345,8 +346,8 @@ def folder_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_FOLDERS} SELECT min(dir) AS kept, n AS file_count, count(*) - 1 AS removed FROM w WHERE sig IN (SELECT sig FROM e) GROUP BY sig, n")
 def folder_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which folder of each exact cluster stays; orders are padded, so that their order by path is that of their numbers."""
-    closed, signed = _folders(spark, sf_dir)
-    padded = folders.exact(signed, closed).withColumn("dir", F.concat(F.lit("/t/"), F.lpad(paths.name(F.col("dir")), 12, "0")))
+    found, own = _folders(spark, sf_dir)
+    padded = folders.exact(found, own).withColumn("dir", F.concat(F.lit("/t/"), F.lpad(paths.name(F.col("dir")), 12, "0")))
     lists = padded.groupBy("sig", "file_count").agg(F.collect_list("dir").alias("folders"))
     return lists.select(paths.name(keep.kept_folder(F.col("folders"))).cast("long").alias("kept"), "file_count", (F.size("folders") - 1).cast("long").alias("removed"))
 
