@@ -1,8 +1,10 @@
 """Exact duplicate groups of files by a funnel: size, samples, whole content, and bytes if asked for.
 
-In tables contents are hashed where they are read, in one scan, and only digests are grouped: to prune by size would take a
-scan of its own, as a column must be read to know its sizes. In trees, only paths that survive a stage are read in the next. Contents move in `verified` alone, those of groups' members. A group's files are rows of `members`;
-`groups` gathers them into lists.
+In tables contents are hashed where they are read and only digests are grouped. A table that has a size column is read in two
+phases: first keys and sizes, then the contents of files whose size others share (`funneled`); without such a column its
+contents must be read to know their sizes, and one scan hashes them all. In trees, only paths that survive a stage are read
+in the next. Contents move in `verified` alone, those of groups' members. A group's files are rows of `members`; `groups`
+gathers them into lists.
 """
 
 from __future__ import annotations
@@ -27,6 +29,19 @@ def digested(files: DataFrame, content: Column | None = None) -> DataFrame:
     return files.withColumn("digest", F.sha2(content, 256)).drop("content")
 
 
+def funneled(files: DataFrame, size: str, content: Column | None = None) -> DataFrame:
+    """A table's files that others share a size with, with the SHA-256 of their content instead of it.
+
+    size: a stored column that equal contents have alike; only it and the file id are read of files that it tells apart.
+    The shared sizes reach the scan of contents as a runtime filter where they are few, else by a semi-join; rows of
+    contents are hashed right after it. Files of a null size are hashed.
+    """
+    content = F.col("content") if content is None else content
+    shared = several(files.where(F.col(size).isNotNull()).select(size, *FILE), [size]).select(size)
+    left = files.join(shared, size, "left_semi").unionByName(files.where(F.col(size).isNull()))
+    return left.withColumn("digest", F.sha2(content, 256)).drop("content")
+
+
 def several(files: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that at least two file ids share, with the numbers of ids and paths."""
     ids = files.groupBy(*keys, *FILE).agg(F.count("*").alias("paths"))

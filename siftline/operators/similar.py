@@ -1,17 +1,20 @@
 """Images, or anything with a 64-bit sketch, that differ in few bits.
 
-Of two hashes that differ in at most k bits, cut alike into k + 1 bands, one band is equal: an equi-join on (band, bits)
-finds all pairs, the distance of each is checked, and a pair counts in its first common band only. Groups are connected
-components, so their largest distance may exceed k.
+A multi-index search: hashes are cut alike into bands, each of which allows some errors, one less in all than would let a
+pair pass that differs in more than k bits. So of two hashes that differ in at most k bits, some band's parts differ in no
+more than that band allows. One side's parts are joined with all values that near them, which are enumerated; a pair
+counts in its first such band only. Wide bands keep chance meetings few. Groups are connected components, so their largest
+distance may exceed k.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import paths
@@ -21,22 +24,33 @@ from siftline.operators.components import components
 WIDTH, HEIGHT = 9, 8
 
 
-def band_edges(k: int) -> list[tuple[int, int]]:
-    """First bit and width of k + 1 bands of 64 bits."""
-    n = min(k + 1, 64)
+def bands(k: int) -> list[tuple[int, int, int]]:
+    """First bit, width and errors allowed of each band: four bands, or as many as leave each two errors."""
+    n = min(max(4, -(-(k + 1) // 3)), k + 1, 64)
     cuts = [64 * i // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+    return [(a, b - a, (k + 1 + n - 1 - i) // n - 1) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+
+def errors(width: int, most: int) -> list[int]:
+    """All numbers of `width` bits of which at most `most` are set."""
+    return [sum(1 << b for b in bits) for n in range(min(most, width) + 1) for bits in combinations(range(width), n)]
+
+
+def _nearby(value: Column, flips: list[int]) -> Column:
+    return F.transform(F.lit(flips).cast("array<long>"), lambda flip: flip.bitwiseXOR(value))
 
 
 def pairs(hashes: DataFrame, k: int) -> DataFrame:
     """a, b, distance of rows (id, hash) with a < b that differ in at most k bits."""
-    edges = band_edges(k)
-    value = lambda h, at, width: F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
-    banded = hashes.select("id", "hash", F.posexplode(F.array(*(value(F.col("hash"), a, w) for a, w in edges))).alias("band", "bits"))
-    x, y = banded.alias("x"), banded.alias("y")
+    cuts = bands(k)
+    part = lambda h, at, width: F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+    own = hashes.select("id", "hash", F.posexplode(F.array(*(part(F.col("hash"), a, w) for a, w, _ in cuts))).alias("band", "bits"))
+    near = F.array(*(_nearby(part(F.col("hash"), a, w), errors(w, e)) for a, w, e in cuts))
+    spread = hashes.select("id", "hash", F.posexplode(near).alias("band", "near")).select("id", "hash", "band", F.explode("near").alias("bits"))
+    x, y = spread.alias("x"), own.alias("y")
     met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.id") < F.col("y.id")))
     differ = F.col("x.hash").bitwiseXOR(F.col("y.hash"))
-    first = F.array_position(F.array(*(value(differ, a, w) == 0 for a, w in edges)), True) - 1
+    first = F.array_position(F.array(*(F.bit_count(part(differ, a, w)) <= e for a, w, e in cuts)), True) - 1
     return met.where((first == F.col("x.band")) & (F.bit_count(differ) <= k)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), hamming(F.col("x.hash"), F.col("y.hash")).alias("distance"))
 
 
@@ -58,13 +72,14 @@ def widest(grouped: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def similar_groups(images: DataFrame, k: int = 10) -> DataFrame:
-    """paths (in order), max_distance of images (path, dhash)."""
-    order = images.select("path", F.col("dhash").alias("hash")).withColumn("id", F.xxhash64("path"))
-    grouped = similar(order.select("id", "hash"), k)
-    wide = widest(grouped, order.select("id", "hash"))
-    named = grouped.join(order.select("id", "path"), "id")
-    lists = named.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(paths.sort_key(F.col("path")))), lambda x: x["path"]).alias("paths"))
-    return lists.join(wide, "group").select("paths", "max_distance")
+    """paths (in order), max_distance of images (path, dhash). Images are told apart by path, hashes by themselves."""
+    every = images.select("path", F.col("dhash").alias("hash"))
+    near = pairs(every.select(F.col("hash").alias("id"), "hash").distinct(), k)
+    label = components(near.select("a", "b")).select(F.col("node").alias("hash"), "component")
+    named = every.join(label, "hash", "left").select("path", "hash", F.coalesce("component", "hash").alias("group"))
+    lists = named.groupBy("group").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(paths.sort_key(F.col("path")))), lambda x: x["path"]).alias("paths")).where("n > 1")
+    own = named.select(F.col("hash").alias("id"), "hash", "group").distinct()
+    return lists.join(widest(own.select("id", "group"), own.select("id", "hash")), "group").select("paths", "max_distance")
 
 
 def _weights(from_: int, to: int) -> np.ndarray:

@@ -8,7 +8,7 @@ import os
 import pytest
 
 from siftline.functions import values
-from siftline.model import Action, NoConfirmedDuplicate, PlanFileError, Rule
+from siftline.model import SCANS, Action, NoConfirmedDuplicate, PlanFileError, Rule
 from siftline.operators import actions, history, keep
 from siftline.operators.components import components
 from siftline.plans import act, execute
@@ -254,6 +254,24 @@ def test_folders_are_claimed_as_one_by_one(spark) -> None:  # noqa: ANN001
         assert {x["dir"] for x in folders.claimed(clusters, subsets).collect()} == taken
 
 
+def test_writers_of_history_at_once(spark, tmp_path) -> None:  # noqa: ANN001
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder = f"file://{tmp_path}/h"
+    row = {"root": "/r", "started_at": 1, "files_scanned": 5, "bytes_scanned": 7, "duplicate_groups": 1, "duplicate_files": 2}
+    acts = spark.createDataFrame([("/a", "delete", 3, True, None)], "path string, kind string, bytes long, succeeded boolean, error string")
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(lambda _: history.record(spark, folder, row, acts), range(4)))
+    assert sorted(ids) == [1, 2, 3, 4]
+    assert sorted(r["id"] for r in history.read(spark, folder).collect()) == [1, 2, 3, 4]
+    assert sorted(r["scan_id"] for r in history.read(spark, folder, "actions").collect()) == [1, 2, 3, 4]
+    # a writer that dies before it commits leaves an id unused, and nothing to see
+    assert history.claimed(spark, folder) == 5
+    spark.createDataFrame([tuple({**row, "id": 5}.get(f.split()[0]) for f in SCANS.split(", "))], SCANS).write.parquet(f"{folder}/scans/5")
+    assert history.read(spark, folder).count() == 4
+    assert history.record(spark, folder, row) == 6 and history.read(spark, folder).count() == 5
+
+
 def _edited(path: str) -> None:
     st = os.stat(path)
     with open(path, "r+b") as f:

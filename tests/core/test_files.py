@@ -314,6 +314,45 @@ def test_similar_pairs_at_all_distances(spark) -> None:  # noqa: ANN001
         assert {(p["a"], p["b"]) for p in similar.pairs(df, k).collect()} == wanted
 
 
+def test_bands_leave_no_pair_out() -> None:
+    for k in (0, 1, 3, 5, 10, 20, 63):
+        cuts = similar.bands(k)
+        assert sum(w for _, w, _ in cuts) == 64 and sum(e + 1 for _, _, e in cuts) == k + 1
+    assert [(w, e) for _, w, e in similar.bands(10)] == [(16, 2), (16, 2), (16, 2), (16, 1)]
+    assert len(similar.errors(16, 2)) == 1 + 16 + 120
+
+
+def test_equal_and_near_images(spark) -> None:  # noqa: ANN001
+    images = spark.createDataFrame([(f"/{i}", h) for i, h in enumerate([5, 5, 5, 4, -1, -1, 1 << 40, -(1 << 63)])], "path string, dhash long")
+    rows = sorted((r["paths"], r["max_distance"]) for r in similar.similar_groups(images, 1).collect())
+    assert rows == [(["/0", "/1", "/2", "/3"], 1), (["/4", "/5"], 0)]
+    # 4, 1 << 40 and the lowest long have one bit each, so any two are 2 apart, and 5 is 3 from two of them
+    assert (["/0", "/1", "/2", "/3", "/6", "/7"], 3) in [(r["paths"], r["max_distance"]) for r in similar.similar_groups(images, 2).collect()]
+
+
+def test_many_equal_hashes(spark) -> None:  # noqa: ANN001
+    """100,000 equal hashes are one to the search, and 3,000 random ones meet few others by chance."""
+    r = np.random.default_rng(8)
+    h = [int(v) for v in r.integers(-(2**63), 2**63, 3000)]
+    images = spark.range(100_000).select(F.concat(F.lit("/e/"), "id").alias("path"), F.lit(h[0]).alias("dhash")).unionByName(spark.createDataFrame([(f"/{i}", v) for i, v in enumerate(h)], "path string, dhash long"))
+    rows = similar.similar_groups(images).collect()
+    assert [(len(x["paths"]), x["max_distance"]) for x in rows] == [(100_001, 0)]
+    near = sum(len(similar.errors(w, e)) / 2**w for _, w, e in similar.bands(10))
+    assert near < 0.01  # of all pairs, where ten wide bands of few bits would look at a sixth
+
+
+def test_funnel_by_a_size_column(spark) -> None:  # noqa: ANN001
+    from siftline.operators import exact
+
+    rows = [(i, f"text {i // 2}" if i < 40 else f"{'x' * i}") for i in range(100)] + [(100, None), (101, None), (102, "text 3")]
+    files = spark.createDataFrame([(f"/{i}", None if i == 102 else len(t or ""), 0, i, t) for i, t in rows], "path string, n long, dev long, ino long, content string")
+    files = files.withColumn("size", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long")).withColumn("content", F.coalesce("content", F.lit("")).cast("binary"))
+    funneled = exact.funneled(files, "n")
+    assert funneled.count() == 43  # those with a length of their own aren't hashed
+    key = lambda df: sorted((r["path"], r["group_id"]) for r in exact.members(df).collect())
+    assert key(funneled) == key(exact.digested(files)) and len(key(funneled)) == 43
+
+
 def test_events(spark, tmp_path) -> None:  # noqa: ANN001
     import json
 
