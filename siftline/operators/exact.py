@@ -86,15 +86,28 @@ def funnel(files: DataFrame, threshold: int, sample: int) -> DataFrame:
     return out
 
 
+#: Members whose contents meet a copy of their group's first under one key, about.
+TOGETHER = 16
+
+
+def salted(members: DataFrame, together: int = TOGETHER) -> tuple[DataFrame, DataFrame]:
+    """Members with a salt, about `together` of each group for one, and ref (group_id, salt, dev, ino, path): the group's file with the
+    lowest id, for each salt."""
+    per = members.groupBy("group_id").agg(F.min(F.struct(*FILE, "path")).alias("ref"), F.ceil(F.count("*") / together).cast("int").alias("salts"))
+    rows = members.join(per.select("group_id", "salts"), "group_id").withColumn("salt", F.pmod(F.xxhash64("path"), F.col("salts")).cast("int")).drop("salts")
+    return rows, per.select("group_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "ref.dev", "ref.ino", "ref.path")
+
+
 def verified(members: DataFrame, content: Column | None = None) -> DataFrame:
     """Members whose bytes equal those of their group's file with the lowest id; groups that come down to one id go.
 
-    A group whose reference can't be read (null content) goes as a whole.
+    A group whose reference can't be read (null content) goes as a whole. The reference goes to a group's members, a copy
+    for each few of them, so no group's contents meet under one key.
     """
     content = F.col("content") if content is None else content
-    rows = members.withColumn("bytes_", content)
-    least = rows.groupBy("group_id").agg(F.min(F.struct(*FILE, "path")).alias("ref"))
-    ref = rows.join(least, "group_id").where((F.col("dev") == F.col("ref.dev")) & (F.col("ino") == F.col("ref.ino")) & (F.col("path") == F.col("ref.path"))).select("group_id", F.col("bytes_").alias("ref_"))
-    same = rows.join(ref, "group_id").where(F.col("bytes_") == F.col("ref_")).drop("bytes_", "ref_", "ref")
+    rows, refs = salted(members.withColumn("bytes_", content))
+    held = members.select("group_id", *FILE, "path", content.alias("ref_"))
+    ref = refs.join(held, ["group_id", *FILE, "path"]).select("group_id", "salt", "ref_")
+    same = rows.join(ref, ["group_id", "salt"]).where(F.col("bytes_") == F.col("ref_")).drop("bytes_", "ref_", "salt")
     left = several(same, ["group_id"]).select("group_id")
     return same.join(left, "group_id", "left_semi")

@@ -49,6 +49,19 @@ def kept(members: DataFrame, rule: Rule = Rule.ALPHABETICAL, protected: Sequence
     return least.select("group_id", F.col("k.path").alias("kept"), F.when(~F.col("k.unsafe"), F.lit(PROTECTED)).otherwise(reason).alias("keep_reason"), F.col("k.dev").alias("kept_dev"), F.col("k.ino").alias("kept_ino"))
 
 
-def kept_folder(folders: Column) -> Column:
-    """The first of a cluster's folders."""
-    return F.array_min(F.transform(folders, lambda f: paths.sort_key(f)))["path"]
+def text_key(path: Column) -> Column:
+    """Orders paths as text by UTF-16 units, as desktop tools do, with the path itself at hand; /a-b comes before /a/b."""
+    return F.struct(F.encode(path, "UTF-16BE").alias("units"), path.alias("path"))
+
+
+def kept_folders(clusters: DataFrame, by_text: bool = False, chosen: DataFrame | None = None) -> DataFrame:
+    """sig, file_count, kept, removed (how many) of exact clusters (sig, file_count, dir), combined before anything moves.
+
+    The first folder stays, by path components, or by text. chosen: dir of folders picked by hand, which go first.
+    """
+    key = (text_key if by_text else paths.sort_key)(F.col("dir"))
+    if chosen is not None:
+        picked = chosen.select("dir", F.lit(True).alias("picked")).distinct()
+        clusters = clusters.join(picked, "dir", "left")
+        key = F.struct(F.col("picked").isNull().alias("other"), key.alias("key"), F.col("dir").alias("path"))
+    return clusters.groupBy("sig", "file_count").agg(F.min(key)["path"].alias("kept"), (F.count("*") - 1).alias("removed"))

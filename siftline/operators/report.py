@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import paths
 from siftline.functions.values import LABELS, category, rounded
+from siftline.tables import saved
 
 
 def _event(df: DataFrame, kind: str, *columns) -> DataFrame:
@@ -115,13 +116,22 @@ def worst_errors(errors: DataFrame, most: int = 5) -> tuple[list, int]:
 
 def review_rows(items: DataFrame, root: str) -> DataFrame:
     """Items (path) with the chain of their folders, name, place below its top folder, and how many folders each shares
-    with the one before it in the order of chain and name."""
-    from pyspark.sql import Window
+    with the one before it in the order of chain and name.
 
+    Ranges of that order are sorted by themselves; each hands its last chain and its number of items, by top folder, to
+    those that follow. So a top folder may be of any size.
+    """
+    by, here, all_ = ["chain", "name", "path"], ["part_", "top_"], Window.partitionBy("top_").orderBy("part_")
     shown = items.withColumn("chain", paths.chain(F.col("path"), root)).withColumn("name", paths.name(F.col("path")))
-    # items of different top folders share none, so each top folder is in order by itself
-    order = Window.partitionBy(F.get("chain", F.lit(0))).orderBy("chain", "name", "path")
-    last = F.lag("chain").over(order)
+    # items of different top folders share none
+    shown = shown.withColumn("top_", F.coalesce(F.get("chain", F.lit(0)), F.lit("")))
+    cut = saved(shown.repartitionByRange(*by).withColumn("part_", F.spark_partition_id()), "review")
+    ends = cut.groupBy(*here).agg(F.count("*").alias("n_"), F.max(F.struct(*by))["chain"].alias("end_"))
+    ends = ends.select(*here, F.coalesce(F.sum("n_").over(all_.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"), F.lag("end_").over(all_).alias("last_"))
+    order = Window.partitionBy(*here).orderBy(*by)
+    last = F.coalesce(F.lag("chain").over(order), F.col("last_"))
     both = F.transform(F.arrays_zip(F.col("chain").alias("a"), F.coalesce(last, F.array().cast("array<string>")).alias("b")), lambda x: F.coalesce(x["a"] == x["b"], F.lit(False)))
     common = F.when(F.forall(both, lambda x: x), F.size(both)).otherwise(F.array_position(both, False) - 1)
-    return shown.withColumn("place", F.row_number().over(order)).withColumn("shared", common.cast("int"))
+    rows = cut.join(ends, here)
+    rows = rows.withColumn("place", (F.row_number().over(order) + F.col("before_")).cast("int")).withColumn("shared", common.cast("int"))
+    return rows.drop(*here, "before_", "last_")

@@ -56,6 +56,15 @@ def exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(_members(spark, sf_dir)).select("group_id", "size", _joined("paths").alias("paths"))
 
 
+@query(f"WITH {MEMBERS} SELECT group_id, path, size, digest FROM m")
+def funneled_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of groups in two phases: texts are read and hashed only where another document has as many characters."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = d.select(path.alias("path"), "n_chars", F.octet_length("text").cast("long").alias("size"), F.lit(0).cast("long").alias("dev"), F.col("doc_id").alias("ino"), F.col("text").cast("binary").alias("content"))
+    return exact.members(exact.funneled(files, "n_chars")).select("group_id", "path", "size", "digest")
+
+
 @query(f"WITH {MEMBERS} SELECT group_id, path, size FROM m")
 def group_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _members(spark, sf_dir).select("group_id", "path", "size")
@@ -171,6 +180,12 @@ def action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.planned(_members(spark, sf_dir), Action.DELETE, Rule.ALPHABETICAL, PROTECTED).select("group_id", "size", "kept", "path", "kind", "keep_reason")
 
 
+@query(f"""WITH {_PLAN} SELECT '{{"type":"action_summary","kind":"delete","applied":false,"bytes_reclaimed":' || CAST(coalesce(sum(size), 0) AS BIGINT) || ',"files":' || count(*) || '}}' AS value FROM p""")
+def event_action_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = actions.planned(_members(spark, sf_dir), Action.DELETE, Rule.ALPHABETICAL, PROTECTED)
+    return report.action_summary_event(actions.totals(plan), "delete", False)
+
+
 @query(f"WITH {_PLAN} SELECT count(DISTINCT group_id) AS groups, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes_reclaimed, CAST(sum(size) AS BIGINT) AS physical_bytes FROM p")
 def plan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.totals(actions.planned(_members(spark, sf_dir), Action.DELETE, Rule.ALPHABETICAL, PROTECTED))
@@ -272,6 +287,21 @@ def folder_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folders.contained(found, own).select(number("subset"), number("superset"), "file_count", "bytes")
 
 
+@query(f"""WITH {_FOLDERS}, x AS (SELECT list('/t/' || dir ORDER BY CAST(dir AS VARCHAR)) AS d, n, CAST(min(bytes) AS BIGINT) AS bytes FROM w WHERE sig IN (SELECT sig FROM e) GROUP BY sig, n),
+o AS (SELECT w.* FROM w WHERE sig NOT IN (SELECT sig FROM e)), p AS (SELECT a.dir AS subset, b.dir AS superset, count(*) AS c FROM f AS a JOIN f AS b ON a.rel = b.rel AND a.gid = b.gid AND a.dir <> b.dir WHERE a.dir IN (SELECT dir FROM o) GROUP BY 1, 2)
+SELECT '{{"type":"folder_exact","folders":["' || array_to_string(d, '","') || '"],"file_count":' || n || ',"bytes":' || bytes || ',"action":[]}}' AS value FROM x
+UNION ALL SELECT '{{"type":"folder_contained","subset":"/t/' || subset || '","superset":"/t/' || superset || '","file_count":' || n || ',"bytes":' || CAST(bytes AS BIGINT) || ',"action":[]}}' FROM p JOIN o ON o.dir = p.subset WHERE c = n""")
+def event_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact clusters and contained folders as events, before any claims."""
+    found, own = _folders(spark, sf_dir)
+    key = F.collect_list(paths.sort_key(F.col("dir")))
+    same = folders.exact(found, own).groupBy("sig", "file_count").agg(F.min("bytes").alias("bytes"), F.transform(F.array_sort(key), lambda x: x["path"]).alias("folders"))
+    none = F.lit(None).cast("string")
+    whole = same.select(F.lit("exact").alias("kind"), "folders", none.alias("subset"), none.alias("superset"), "file_count", "bytes")
+    parts = folders.contained(found, own).select(F.lit("contained").alias("kind"), F.lit(None).cast("array<string>").alias("folders"), "subset", "superset", "file_count", "bytes")
+    return report.folder_events(whole.unionByName(parts))
+
+
 _NEST = """f AS (SELECT l_orderkey // 2 AS a, l_orderkey % 2 AS b, n, l_partkey % 7 AS gid, CAST(l_quantity AS BIGINT) AS size FROM (SELECT *, """ + _LINES + """ AS n FROM lineitem)),
 p AS (SELECT '/t/' || a AS dir, b || '/' || n AS rel, gid, size FROM f UNION ALL SELECT '/t/' || a || '/' || b, CAST(n AS VARCHAR), gid, size FROM f),
 s AS (SELECT dir, list(rel || ':' || gid ORDER BY rel) AS sig, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, len(string_split(dir, '/')) AS depth, regexp_replace(dir, '/[^/]*$', '') AS up FROM p GROUP BY dir),
@@ -348,8 +378,15 @@ def folder_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which folder of each exact cluster stays; orders are padded, so that their order by path is that of their numbers."""
     found, own = _folders(spark, sf_dir)
     padded = folders.exact(found, own).withColumn("dir", F.concat(F.lit("/t/"), F.lpad(paths.name(F.col("dir")), 12, "0")))
-    lists = padded.groupBy("sig", "file_count").agg(F.collect_list("dir").alias("folders"))
-    return lists.select(paths.name(keep.kept_folder(F.col("folders"))).cast("long").alias("kept"), "file_count", (F.size("folders") - 1).cast("long").alias("removed"))
+    kept = keep.kept_folders(padded)
+    return kept.select(paths.name(F.col("kept")).cast("long").alias("kept"), "file_count", "removed")
+
+
+@query(f"WITH {_FOLDERS} SELECT min('/t/' || dir) AS kept, n AS file_count, count(*) - 1 AS removed FROM w WHERE sig IN (SELECT sig FROM e) GROUP BY sig, n")
+def folder_survivors_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the order of paths as text."""
+    found, own = _folders(spark, sf_dir)
+    return keep.kept_folders(folders.exact(found, own), by_text=True).select("kept", "file_count", "removed")
 
 
 @query(f"""WITH {_PLAN}, g AS (SELECT group_id, size, list(path ORDER BY string_split(path, '/')) AS paths FROM m GROUP BY 1, 2),
@@ -395,6 +432,15 @@ def similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.similar(_sketches(spark, sf_dir), BITS)
 
 
+@query(f"""WITH RECURSIVE {_PAIRS}, l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r(id, g) AS (SELECT a, a FROM l UNION SELECT l.b, r.g FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(g) AS g FROM r GROUP BY id), x AS (SELECT c.g, c.id, h.h FROM c JOIN h ON h.vec_id = c.id), m AS (SELECT a.g, max(bit_count(xor(a.h, b.h))) AS d FROM x AS a JOIN x AS b ON a.g = b.g GROUP BY a.g)
+SELECT '{{"type":"similar_images","paths":["' || string_agg('/' || id, '","' ORDER BY CAST(id AS VARCHAR)) || '"],"max_distance":' || d || '}}' AS value FROM x JOIN m USING (g) GROUP BY g, d""")
+def event_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar groups as events; an embedding's sketch stands for an image's hash."""
+    images = _sketches(spark, sf_dir).select(F.concat(F.lit("/"), F.col("id").cast("string")).alias("path"), F.col("hash").alias("dhash"))
+    return report.similar_events(similar.similar_groups(images, BITS))
+
+
 @query(f"""WITH RECURSIVE {_PAIRS}, l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r(id, g) AS (SELECT a, a FROM l UNION SELECT l.b, r.g FROM r JOIN l ON l.a = r.id),
 c AS (SELECT id, min(g) AS g FROM r GROUP BY id), x AS (SELECT c.g, h.h FROM c JOIN h ON h.vec_id = c.id)
 SELECT a.g AS "group", CAST(max(bit_count(xor(a.h, b.h))) AS INTEGER) AS max_distance FROM x AS a JOIN x AS b ON a.g = b.g GROUP BY a.g""")

@@ -353,6 +353,38 @@ def test_funnel_by_a_size_column(spark) -> None:  # noqa: ANN001
     assert key(funneled) == key(exact.digested(files)) and len(key(funneled)) == 43
 
 
+def test_a_large_group_is_verified_in_parts(spark) -> None:  # noqa: ANN001
+    from siftline.operators import exact
+
+    rows = [(f"/{i}", "big", 4, 0, i, b"same" if i % 100 else b"diff" if i else b"same") for i in range(2000)] + [("/x", "two", 1, 0, 5000, b"x"), ("/y", "two", 1, 0, 5001, b"y"), ("/n", "none", 1, 0, 6000, None), ("/m", "none", 1, 0, 6001, b"z")]
+    members = spark.createDataFrame(rows, "path string, group_id string, size long, dev long, ino long, content binary")
+    got = exact.verified(members)
+    assert sorted(r["path"] for r in got.collect()) == sorted(p for p, g, *_, c in rows if g == "big" and c == b"same")
+    assert set(got.columns) == set(members.columns)
+    salted, refs = exact.salted(members)
+    assert salted.count() == len(rows) and refs.where("group_id = 'big'").count() == 125
+    assert salted.groupBy("group_id", "salt").count().agg(F.max("count")).first()[0] < 3 * exact.TOGETHER
+
+
+def test_review_order_over_many_ranges(spark) -> None:  # noqa: ANN001
+    """One top folder in all ranges, others in one, and items without any folder."""
+    import random
+
+    r = random.Random(4)
+    items = [f"/r/big/{r.choice('abc')}/{r.choice('xy')}/{i}" for i in range(300)] + [f"/r/{d}/f{i}" for d in "ab" for i in range(3)] + ["/r/top1", "/r/top2", "/r/big/0"]
+    rows = report.review_rows(spark.createDataFrame([(p, 1, 2) for p in items], "path string, top int, part int"), "/r").collect()
+    chain = lambda p: p.split("/")[2:-1]
+    wanted, last, place = [], {}, {}
+    for p in sorted(items, key=lambda p: (chain(p), p.rsplit("/", 1)[1])):
+        c, top = chain(p), "".join(chain(p)[:1])
+        shared = next((k for k, (x, y) in enumerate(zip(c, last.get(top, []))) if x != y), min(len(c), len(last.get(top, []))))
+        place[top] = place.get(top, 0) + 1
+        wanted.append((p, place[top], shared))
+        last[top] = c
+    assert sorted((x["path"], x["place"], x["shared"]) for x in rows) == sorted(wanted)
+    assert {(x["top"], x["part"]) for x in rows} == {(1, 2)}
+
+
 def test_events(spark, tmp_path) -> None:  # noqa: ANN001
     import json
 

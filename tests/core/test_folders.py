@@ -95,3 +95,16 @@ def test_a_shared_signature_is_not_enough(spark, monkeypatch) -> None:  # noqa:
     files = [("/t/a/f", 1, "1"), ("/t/b/f", 1, "1"), ("/t/c/f", 1, "2"), ("/t/d/e", 1, "1")]
     found, own = table(spark, files, "/t")
     assert {r["dir"] for r in folders.exact(found, own).collect()} == {"/t/a", "/t/b"}
+
+
+def test_which_folder_stays(spark) -> None:  # noqa: ANN001
+    from siftline.operators import keep
+
+    rows = [("x", 2, d) for d in ("/a/b", "/a-b", "/z")] + [("y", 1, d) for d in ("/\U0001f600", "/\ufb00")]
+    clusters = spark.createDataFrame(rows, "sig string, file_count long, dir string")
+    of = lambda df: {r["sig"]: (r["kept"], r["removed"]) for r in df.collect()}
+    assert of(keep.kept_folders(clusters)) == {"x": ("/a/b", 2), "y": ("/\ufb00", 1)}
+    # UTF-16 puts what lies beyond 16 bits before the last characters below
+    assert of(keep.kept_folders(clusters, by_text=True)) == {"x": ("/a-b", 2), "y": ("/\U0001f600", 1)}
+    chosen = spark.createDataFrame([("/z",), ("/elsewhere",)], "dir string")
+    assert of(keep.kept_folders(clusters, chosen=chosen)) == {"x": ("/z", 2), "y": ("/\ufb00", 1)}
