@@ -9,8 +9,8 @@ still share a key if the errors aren't spread over all chunks alike: one pair in
 
 Documents that share a key are compared with the smallest document among them only (a star); where that leaves
 documents of one key in different components, they are compared with each other, round by round, in bounded cells. So
-no link between different texts is lost. Signatures more than APART values apart are set aside (a similarity of 0.8
-gets there once in 10^8 pairs); all other links are confirmed on the full sets of shingles.
+no link between different texts is lost. Pairs whose parity sketches show that their sets differ too much are set aside,
+which rules out no link; all others are confirmed on the full sets of shingles.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.common import ODD, keyed, mixed, saved, slices, trim
-from siftline.llm.partenum import cells, compared, sets_of, shingle_sets
+from siftline.llm.partenum import cells, compared, folded, near, sets_of, shingle_sets, sketch, within
 from siftline.operators.components import components
 from siftline.tables import dropped
 
@@ -32,9 +32,11 @@ WORDS, PERCENT = 2, 80
 CHUNKS, WIDTH, ERRORS = 16, 7, 1
 SIZE = CHUNKS * WIDTH
 REACH = CHUNKS * (ERRORS + 1) - 1
-APART = 48
-#: Documents of a key that are compared in one task, and pairs a document in one round before only the nearest are taken.
-GRID, OPEN = 1024, 4
+#: Documents of a key that are compared in one task; of each component, the nearest pairs that a first round looks at,
+#: and how many times as many each further round does.
+GRID, NEAREST, MORE = 1024, 32, 8
+#: Bytes of sketches that are compared at once.
+BLOCK = 8 << 20
 #: Odd multipliers, by a rule.
 TURNS = (mixed(np.arange(1, SIZE + 1, dtype=np.uint64) * ODD) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 KEPT = np.array([[i for i in range(WIDTH) if i not in out] for out in combinations(range(WIDTH), ERRORS)])
@@ -59,18 +61,9 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
     return mixed(values ^ mixed(names * ODD)).reshape(len(signatures), -1)
 
 
-def apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """In how many values signatures (rows of bytes) differ."""
-    return (one != two).sum(-1)
-
-
-def may_link(n: np.ndarray, m: np.ndarray, far: np.ndarray, percent: int) -> np.ndarray:
-    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (far <= APART)
-
-
 def signed(base: DataFrame, n: int) -> DataFrame:
-    """did, n, one, two, sig, same of each row: the number of shingles, two sums that name their set, the signature, and
-    the smallest did of the same set in this block of input; only that row has the signature."""
+    """did, n, one, two, sig, bits, same of each row: the number of shingles, two sums that name their set, the signature, a
+    parity sketch, and the smallest did of the same set in this block of input; only that row has the signature and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
@@ -80,13 +73,13 @@ def signed(base: DataFrame, n: int) -> DataFrame:
             least: dict[tuple, int] = {}
             for i in np.argsort(did, kind="stable").tolist():
                 least.setdefault(names[i], i)
-            own = [signature(s).tobytes() if len(s) and least[k] == i else None for i, (k, s) in enumerate(zip(names, sets))]
+            own, bits = ([f(s) if len(s) and least[k] == i else None for i, (k, s) in enumerate(zip(names, sets))] for f in (lambda s: signature(s).tobytes(), sketch))
             sums = np.array(names, np.uint64).view(np.int64)
-            columns = [batch.column("did"), *map(pa.array, sums.T), pa.array(own, pa.binary()), pa.array(did[[least[k] for k in names]])]
-            yield pa.RecordBatch.from_arrays(columns, ["did", "n", "one", "two", "sig", "same"])
+            columns = [batch.column("did"), *map(pa.array, sums.T), pa.array(own, pa.binary()), pa.array(bits, pa.binary()), pa.array(did[[least[k] for k in names]])]
+            yield pa.RecordBatch.from_arrays(columns, ["did", "n", "one", "two", "sig", "bits", "same"])
         trim()
 
-    return base.select("did", "text").mapInArrow(run, "did long, n long, one long, two long, sig binary, same long")
+    return base.select("did", "text").mapInArrow(run, "did long, n long, one long, two long, sig binary, bits binary, same long")
 
 
 def keys_of(reps: DataFrame) -> DataFrame:
@@ -103,72 +96,78 @@ def keys_of(reps: DataFrame) -> DataFrame:
 
 
 def close_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """a, b of those pairs that sizes and signatures let link."""
+    """a, b of those pairs that sizes and sketches let link."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIZE) for c in ("one", "two"))
-                ok = may_link(batch.column("n").to_numpy(), batch.column("m").to_numpy(), apart(one, two), percent)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
+        for batch in slices(batches, "two_bits", 4 << 20):
+            ok = near(batch.column("one_bits"), batch.column("one_n").to_numpy(), batch.column("two_bits"), batch.column("two_n").to_numpy(), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    one, two = (reps.select(F.col("did").alias(x), F.col("n").alias(n), F.col("sig").alias(y)) for x, n, y in (("a", "n", "one"), ("b", "m", "two")))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "one", "n", "two", "m").mapInArrow(check, "a long, b long").distinct()
+    one, two = (reps.select(F.col("did").alias(x), *(F.col(c).alias(f"{side}_{c}") for c in ("n", "bits"))) for x, side in (("a", "one"), ("b", "two")))
+    met = pairs.join(two, "b").join(one, "a")
+    return met.mapInArrow(check, "a long, b long").distinct()
 
 
-def meeting(did: np.ndarray, hub: int, comp: np.ndarray, half: np.ndarray, n: np.ndarray, sigs: np.ndarray, failed: list[set[int]], percent: int) -> tuple[np.ndarray, bool]:
+def meeting(did: np.ndarray, hub: int, comp: np.ndarray, half: np.ndarray, n: np.ndarray, bits: pa.Array, failed: list[set[int]], nearest: int, percent: int) -> tuple[np.ndarray, bool]:
     """Pairs of rows in different components that may link and haven't been compared, and whether these are all.
 
-    All have been compared with the hub. Halves meet each other, and a half of 2 itself. Of more than OPEN a row, each component's nearest pair is taken.
+    All have been compared with the hub. Halves meet each other, and a half of 2 itself. Of each component the `nearest` pairs are taken.
     """
-    found, step = [], max(1, (1 << 25) // max(1, len(did) * SIZE))
+    held = [np.frombuffer(x, np.uint8) for x in bits.to_pylist()]
+    size = min(map(len, held))
+    words = np.stack([folded(x, size) for x in held]).view(np.uint64)
+    found, step = [np.zeros((3, 0), np.int64)], max(1, BLOCK // (len(did) * size))
     for a in range(0, len(did), step):
         i, j = np.arange(a, min(a + step, len(did)))[:, None], np.arange(len(did))[None, :]
-        ok = (j > i) & (comp[i] != comp[j]) & (did[i] != did[j]) & (did[i] != hub) & (did[j] != hub) & ((half[i] == 2) | (half[i] != half[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-        x, y = np.nonzero(ok)
-        x += a
-        far = apart(sigs[x], sigs[y])
-        near = far <= APART
-        found.append(np.stack([x[near], y[near], far[near]]))
-    x, y, far = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
+        ok = (j > i) & (comp[i] != comp[j]) & (did[i] != did[j]) & (did[i] != hub) & (did[j] != hub) & ((half[i] == 2) | (half[i] != half[j]))
+        if ok.any():
+            far = np.bitwise_count(words[a : a + step, None] ^ words[None]).sum(2, dtype=np.int64)
+            x, y = np.nonzero(ok & within(n[i], n[j], far, percent) & within(n[i], n[j], np.abs(n[i] - n[j]), percent))
+            far, x = far[x, y], x + a
+            ok = near(bits.take(pa.array(x)), n[x], bits.take(pa.array(y)), n[y], percent)  # at their own sizes
+            found.append(np.stack([x, y, far])[:, ok])
+    x, y, far = np.concatenate(found, 1)
     if any(failed):
         new = np.array([did[q] not in failed[p] for p, q in zip(x.tolist(), y.tolist())], bool)
         x, y, far = x[new], y[new], far[new]
-    whole = len(x) <= OPEN * len(did)
-    if not whole:
-        order = np.argsort(far, kind="stable")
-        _, first = np.unique(np.concatenate([comp[x[order]], comp[y[order]]]), return_index=True)
-        near = np.unique(np.concatenate([order, order])[first])
-        x, y = x[near], y[near]
+    # each pair once for either component, nearest first, and its turn there
+    sides = np.concatenate([comp[x], comp[y]])
+    order = np.lexsort((np.tile(far, 2), sides))
+    heads = np.flatnonzero(np.append(True, sides[order][1:] != sides[order][:-1])[: len(order)])
+    turn = np.arange(len(order)) - np.repeat(heads, np.diff(np.append(heads, len(order))))
+    taken = np.zeros(len(x), bool)
+    taken[order[turn < nearest] % max(1, len(x))] = True
+    whole = bool(taken.all())
+    x, y = x[taken], y[taken]
     return np.stack([np.minimum(did[x], did[y]), np.maximum(did[x], did[y])], 1), whole
 
 
-def open_pairs(members: DataFrame, reps: DataFrame, labels: DataFrame, failed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def open_pairs(members: DataFrame, reps: DataFrame, labels: DataFrame, failed: DataFrame, nearest: int, percent: int, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """a, b: pairs of members (sig, did, hub) of a key that are in different components, may link and haven't failed (a, b);
-    and the members of keys that have more such pairs than were given."""
+    and sig: the keys that have more such pairs than were given. only: keys (sig) to look at."""
 
     def pairs(table: pa.Table) -> pa.Table:
         did, hub, comp, half, n = (table.column(c).to_numpy() for c in ("did", "hub", "component", "half", "n"))
-        sigs = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8).reshape(-1, SIZE)
-        found, whole = meeting(did, int(hub[0]), comp, half, n, sigs, [set(f or ()) for f in table.column("failed").to_pylist()], percent)
-        key = table.column("sig").slice(0, 1).to_pylist()
-        rest = np.zeros(0, np.int64) if whole else np.unique(did)
-        none = [None] * len(found)
-        columns = {"a": [*found[:, 0].tolist(), *rest.tolist()], "b": [*found[:, 1].tolist(), *[None] * len(rest)], "sig": [*none, *key * len(rest)], "hub": [*none, *hub[: len(rest)].tolist()]}
+        found, whole = meeting(did, int(hub[0]), comp, half, n, table.column("bits").combine_chunks(), [set(f or ()) for f in table.column("failed").to_pylist()], nearest, percent)
+        # the key alone stands for its members
+        rest, none = table.column("sig").slice(0, 0 if whole else 1).to_pylist(), [None] * len(found)
+        columns = {"a": [*found[:, 0].tolist(), *[None] * len(rest)], "b": [*found[:, 1].tolist(), *[None] * len(rest)], "sig": [*none, *rest]}
         return pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})
 
     of = labels.select(F.col("node").alias("did"), "component")
     now = members.join(of, "did", "left").select("sig", "did", "hub", F.coalesce("component", "did").alias("component"))
     name = lambda seed: F.sum(F.xxhash64("did", F.lit(seed)).cast("decimal(38,0)"))
     several = now.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("total"), name(1).alias("p"), name(2).alias("q")).where("x <> y")
+    if only is not None:
+        several = several.join(only, "sig", "left_semi")
     # keys of the same documents count once
     once = several.groupBy("total", "p", "q").agg(F.min("sig").alias("sig")).select("sig", "total")
     live = saved(now.join(once, "sig").select("sig", "did", "component", "hub", "total"), "live")
     both = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    known = reps.select("did", "n", F.col("sig").alias("bytes")).join(both.groupBy(F.col("a").alias("did")).agg(F.collect_set("b").alias("failed")), "did", "left")
-    found = saved(cells(live, GRID).join(known, "did").groupBy("sig", "x", "y").applyInArrow(pairs, "a long, b long, sig long, hub long"), "open")
+    known = reps.select("did", "n", "bits").join(both.groupBy(F.col("a").alias("did")).agg(F.collect_set("b").alias("failed")), "did", "left")
+    found = saved(cells(live, GRID).join(known, "did").groupBy("sig", "x", "y").applyInArrow(pairs, "a long, b long, sig long"), "open")
     dropped(live)
-    return found.where("sig IS NULL").select("a", "b").distinct(), found.where("sig IS NOT NULL").select("sig", F.col("a").alias("did"), "hub").distinct()
+    return found.where("sig IS NULL").select("a", "b").distinct(), found.where("sig IS NOT NULL").select("sig").distinct()
 
 
 def compare(base: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -193,7 +192,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     rows = saved(signed(base, n), "signatures")
     some = rows.where("sig IS NOT NULL")
     # one document stands for all with the same set
-    reps = saved(some.groupBy("n", "one", "two").agg(F.min("did").alias("did"), F.min("sig").alias("sig")), "representatives")
+    reps = saved(some.groupBy("n", "one", "two").agg(F.min("did").alias("did"), F.min("sig").alias("sig"), F.min("bits").alias("bits")), "representatives")
     equal = some.join(reps.select("n", "one", "two", F.col("did").alias("a")), ["n", "one", "two"]).select("a", F.col("did").alias("b"))
     links = equal.unionByName(rows.where("n > 0").select(F.col("same").alias("a"), F.col("did").alias("b"))).where("a <> b").distinct()
     keys = keys_of(reps)
@@ -203,9 +202,9 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     tried = compare(base, pairs, n, percent)
     links = saved(links.unionByName(tried.where("link").select("a", "b")), "links")
     labels, failed = components(links), tried.limit(0).select("a", "b")
-    members = shared.where("docs > 2").select(F.col("key").alias("sig"), "did", "hub")
+    members, nearest, left = shared.where("docs > 2").select(F.col("key").alias("sig"), "did", "hub"), NEAREST, None
     while True:
-        more, left = open_pairs(members, reps, labels, failed, percent)
+        more, left = open_pairs(members, reps, labels, failed, nearest, percent, left)
         if more.isEmpty():
             break
         checked = compare(base, more, n, percent)
@@ -217,7 +216,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
         if left.isEmpty():
             break
         failed = saved(failed.unionByName(checked.where("not link").select("a", "b")), "failed")
-        members = left
+        nearest *= MORE
         dropped(checked)
     dropped(shared, pairs, links)
     named = rows.select("did", F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("node", "did"), "did", "left")
