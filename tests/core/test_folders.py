@@ -89,6 +89,22 @@ def test_rows_grow_with_folders_not_with_depth(spark) -> None:  # noqa: ANN001
     assert [(r["subset"], r["superset"]) for r in folders.contained(found, own).collect()] == [("/t/copy", deep)]
 
 
+def test_common_files_leave_few_candidates(spark, monkeypatch) -> None:  # noqa: ANN001
+    """Where each file is met in very many folders, several together narrow candidates down; nesting is kept."""
+    monkeypatch.setattr(folders, "FEW", 4)
+    r = random.Random(11)
+    rows = []
+    for i in range(150):
+        for side in "ab"[: r.randint(1, 2)]:
+            rows += [(f"/t/{i}/{side}/{n}", 1, r.choice("123")) for n in range(r.randint(3, 6))]
+    clusters, held = check(spark, rows, "/t")
+    assert clusters and held
+    found, own = table(spark, rows, "/t")
+    pairs = folders.candidates(found, own).collect()
+    asked = {p["subset"] for p in pairs}
+    assert len(pairs) <= folders.FEW * len(asked) + len(held)  # the rarest file alone leaves many times as many
+
+
 def test_a_shared_signature_is_not_enough(spark, monkeypatch) -> None:  # noqa: ANN001
     """Folders whose hashes collide are told apart by what is in them."""
     monkeypatch.setattr(folders, "_lanes", lambda *c: [F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")])
