@@ -30,29 +30,37 @@ FEW, RARE = 16, 32
 def entries(files: DataFrame, members: DataFrame, root: str) -> DataFrame:
     """dir, name, gid (null without a group), size: a row for each file below the root."""
     own = files.select("path", "size").where(paths.under(F.col("path"), root) & (F.col("path") != root))
-    of = own.join(members.select("path", F.col("group_id").alias("gid")), "path", "left")
-    return of.select(paths.parent(F.col("path")).alias("dir"), paths.name(F.col("path")).alias("name"), "gid", "size")
+    return placed(own.join(members.select("path", F.col("group_id").alias("gid")), "path", "left"))
+
+
+def placed(files: DataFrame) -> DataFrame:
+    """entries() of files below the root that have their gid beside them: path, size, gid."""
+    return files.select(paths.parent(F.col("path")).alias("dir"), paths.name(F.col("path")).alias("name"), "gid", "size")
 
 
 def _lanes(*columns) -> list:  # noqa: ANN002
     return [F.xxhash64(F.lit(seed), *columns).alias(lane) for seed, lane in zip(SEEDS, ("x", "y"))]
 
 
-def rolled(own: DataFrame, root: str) -> DataFrame:
+def rolled(own: DataFrame, root: str, rare: bool = True) -> DataFrame:
     """dir, sig, whole, file_count, bytes, inner (entries of its own), rare, saved: of all folders from the root down.
 
     own: entries(). whole: whether all files below have a group; rare: the file below whose name and group are met least
-    often (often, dir, name, gid).
+    often (often, dir, name, gid). Only containment needs it; without it, entries aren't joined with their numbers.
     """
-    often = own.where("gid IS NOT NULL").groupBy("name", "gid").agg(F.count("*").alias("often"))
-    rows = own.join(often, ["name", "gid"], "left")
+    if rare:
+        often = own.where("gid IS NOT NULL").groupBy("name", "gid").agg(F.count("*").alias("often"))
+        rows = own.join(often, ["name", "gid"], "left")
+    else:
+        rows = own
     sums = [
         F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.bool_and("whole").alias("whole"), F.sum("file_count").alias("file_count"),
-        F.sum("bytes").alias("bytes"), F.sum("inner").alias("inner"), F.min("rare").alias("rare"),
+        F.sum("bytes").alias("bytes"), F.sum("inner").alias("inner"), *([F.min("rare").alias("rare")] if rare else []),
     ]
-    rare = F.when(F.col("gid").isNotNull(), F.struct("often", "dir", "name", "gid")).alias("rare")
+    kept = ["rare"] if rare else []
+    least = [F.when(F.col("gid").isNotNull(), F.struct("often", "dir", "name", "gid")).alias("rare")] if rare else []
     one = F.lit(1).cast("long")
-    direct = rows.select("dir", *_lanes(F.lit("file"), "name", "gid"), F.col("gid").isNotNull().alias("whole"), one.alias("file_count"), F.col("size").alias("bytes"), one.alias("inner"), rare)
+    direct = rows.select("dir", *_lanes(F.lit("file"), "name", "gid"), F.col("gid").isNotNull().alias("whole"), one.alias("file_count"), F.col("size").alias("bytes"), one.alias("inner"), *least)
     level = paths.depth(F.col("dir")).alias("depth")
     direct = saved(direct.groupBy("dir").agg(*sums).withColumn("depth", level), "own-files")
     ends = direct.agg(F.max("depth")).first()[0]
@@ -61,15 +69,15 @@ def rolled(own: DataFrame, root: str) -> DataFrame:
     for depth in range(ends or 0, top - 1, -1):
         here = direct.where(F.col("depth") == depth).drop("depth")
         if done:
-            below = done[-1].select(paths.parent(F.col("dir")).alias("dir"), *_lanes(F.lit("folder"), paths.name(F.col("dir")), "x", "y"), "whole", "file_count", "bytes", one.alias("inner"), "rare")
-            here = here.unionByName(below).groupBy("dir").agg(*sums)
-        done.append(saved(here, "level"))
+            below = done[-1].select(paths.parent(F.col("dir")).alias("dir"), *_lanes(F.lit("folder"), paths.name(F.col("dir")), "x", "y"), "whole", "file_count", "bytes", one.alias("inner"), *kept)
+            here = saved(here.unionByName(below).groupBy("dir").agg(*sums), "level")
+        done.append(here)  # the deepest level is as its files are
     if not done:
         done = [direct.drop("depth")]
     every = done[0]
     for d in done[1:]:
         every = every.unionByName(d)
-    out = saved(every.select("dir", F.concat(F.hex("x"), F.lit("-"), F.hex("y")).alias("sig"), "whole", "file_count", "bytes", "inner", "rare"), "folders")
+    out = saved(every.select("dir", F.concat(F.hex("x"), F.lit("-"), F.hex("y")).alias("sig"), "whole", "file_count", "bytes", "inner", *kept), "folders")
     dropped(*done, direct)
     return out
 
@@ -91,11 +99,11 @@ def exact(folders: DataFrame, own: DataFrame) -> DataFrame:
     What is in a folder itself is compared, name by name; folders in it are by their signatures.
     """
     near = folders.where("whole").join(_shared(folders), ["sig", "file_count"])
-    content = _content(own, folders)
+    # contents of both sides move to their folders once
+    inside = saved(near.select("dir", "first").join(_content(own, folders), "dir"), "near-contents")
+    met = inside.where("dir <> first").join(inside.where("dir = first").drop("dir"), ["first", "name", "key"])
     others = near.where("dir <> first").select("sig", "dir", "first", "file_count", "bytes", "inner")
-    met = others.join(content, "dir").join(content.withColumnRenamed("dir", "first"), ["first", "name", "key"])
-    same = met.groupBy("sig", "dir", "first", "file_count", "bytes", "inner").agg(F.count("*").alias("n"))
-    same = same.where("n = inner")
+    same = others.join(met.groupBy("dir").agg(F.count("*").alias("n")), "dir").where("n = inner")
     heads = near.where("dir = first").join(same.select("first").distinct(), "first", "left_semi")
     columns = ["sig", "dir", "file_count", "bytes"]
     return same.select(*columns).unionByName(heads.select(*columns))

@@ -124,3 +124,16 @@ def test_which_folder_stays(spark) -> None:  # noqa: ANN001
     assert of(keep.kept_folders(clusters, by_text=True)) == {"x": ("/a-b", 2), "y": ("/\U0001f600", 1)}
     chosen = spark.createDataFrame([("/z",), ("/elsewhere",)], "dir string")
     assert of(keep.kept_folders(clusters, chosen=chosen)) == {"x": ("/z", 2), "y": ("/\ufb00", 1)}
+
+
+def test_line_entries_move_twice(spark) -> None:  # noqa: ANN001
+    """By part and by order; without the rarest file, entries meet no numbers, and folders come out the same."""
+    from siftline import queries
+
+    own = queries._line_entries(spark, "/root/testdata/sf0.001")
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and plan.count("Join") == 1 and plan.count("Window [") == 1
+    held = saved(own, "entries")
+    plain_, rare = (folders.rolled(held, "/t", r) for r in (False, True))
+    assert "rare" not in plain_.columns
+    assert sorted(map(tuple, plain_.collect())) == sorted(map(tuple, rare.drop("rare").collect()))
