@@ -10,6 +10,8 @@ group at the same place, so it is a file of that name and group whose path ends
 that file is met often, folders are narrowed down by their rarest files one after the other: folders that ask for the same
 files share a node of a tree, and what holds a node's files is looked up in its children's. Candidates
 with fewer files go at once; the others are compared level by level, and where signatures agree not looked into further.
+Where no folder has folders in it, a match is one of own files alone, and nothing is rolled up: files of one name and group
+meet once, each with its folder's size and a 64-bit filter of what is in it, so hardly a pair but matches is left to count.
 Matches are claimed from the top: folders at or below a claimed one are passed over, in the order of depth, then path. A
 round claims at once all matches that no earlier one can touch.
 """
@@ -203,6 +205,64 @@ def contained(folders: DataFrame, own: DataFrame) -> DataFrame:
             return left
 
 
+def marked(own: DataFrame) -> DataFrame:
+    """entries() with n, bytes, bits of their folders: files, their bytes and a filter of names and groups, in which a bit stands for each file."""
+    bit = F.expr("CASE WHEN gid IS NOT NULL THEN shiftleft(1L, CAST(xxhash64(name, gid) & 63 AS INT)) ELSE 0L END")
+    here = Window.partitionBy("dir")
+    return own.select("dir", "name", "gid", F.count("*").over(here).alias("n"), F.sum("size").over(here).alias("bytes"), F.bit_or(bit).over(here).alias("bits"), "size")
+
+
+def flat_matches(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """exact() and contained() of folders that have no folders in them, by marked() entries.
+
+    Files of a name and group that at most FEW folders have show all pairs of these that sizes and filters let match; a pair
+    that as many files show as the subset has is one. Files that are met more often are kept apart: they are looked up for
+    pairs that lack no others, and folders that have no others go by signatures, and are narrowed down, as in contained().
+    """
+    key = Window.partitionBy("gid", "name")
+    # no more of a key than tells that it is met often
+    met = own.where("gid IS NOT NULL").withColumn("turn", F.row_number().over(key.orderBy("dir"))).where(F.col("turn") <= FEW + 1)
+    met = met.withColumn("held", F.collect_list(F.struct("dir", "n", "bits")).over(key))
+    partners = F.expr("transform(filter(held, t -> t.dir <> dir AND t.n >= n AND (bits & ~t.bits) = 0), t -> struct(t.dir AS dir, t.n AS n))")
+    mark = F.when(F.col("turn") == 1, F.expr("array(struct(CAST(NULL AS STRING) AS dir, 0L AS n))"))
+    often = F.size("held") > FEW
+    at = [F.when(F.col("t.dir").isNull(), F.col(c)).alias(c) for c in ("name", "gid")]
+    shown = met.select("dir", "n", "bytes", "name", "gid", F.explode(F.when(often, mark).otherwise(partners)).alias("t"))
+    shown = saved(shown.select(F.col("dir").alias("subset"), F.col("t.dir").alias("superset"), F.col("n").alias("file_count"), "bytes", F.col("t.n").alias("most"), *at), "shown")
+    pairs = shown.where("superset IS NOT NULL").groupBy("subset", "superset", "file_count", "bytes", "most").agg(F.count("*").alias("c"))
+    columns = ["subset", "superset", "file_count", "bytes"]
+    clusters = narrow = None
+    spent = [shown]
+    common = shown.where("superset IS NULL").select("name", "gid")
+    if common.isEmpty():
+        pairs = pairs.where("c = file_count")
+    else:
+        hot = saved(own.join(common, ["name", "gid"], "left_semi"), "often-met")
+        mine = hot.groupBy("dir", "n", "bytes").agg(F.count("*").alias("h"), *(F.bit_xor(x).alias(lane) for x, lane in zip(_lanes(F.lit("file"), "name", "gid"), "xy")))
+        mine = saved(mine, "often-met-folders")
+        pairs = saved(pairs.join(mine.select(F.col("dir").alias("subset"), "h"), "subset", "left").where("c + coalesce(h, 0) = file_count"), "shown-whole")
+        whole = mine.where("h = n").select("dir", F.concat(F.hex("x"), F.lit("-"), F.hex("y")).alias("sig"), F.lit(True).alias("whole"), F.col("n").alias("file_count"), "bytes", F.col("n").alias("inner"))
+        inside = hot.select("dir", "name", "gid")
+        clusters = saved(exact(whole, inside), "clusters")
+        alone = whole.join(_shared(whole), ["sig", "file_count"], "left_anti").select(F.col("dir").alias("subset"), "file_count", "bytes")
+        open_ = pairs.where("h IS NOT NULL").select("subset", "superset")
+        if not alone.isEmpty():
+            narrow = saved(_narrowed(alone, whole, inside, mine.select(F.col("dir").alias("superset"), F.col("n").alias("most"))), "candidates")
+            open_ = open_.unionByName(narrow.select("subset", "superset"))
+        missing = open_.join(inside.withColumnRenamed("dir", "subset"), "subset").join(inside.withColumnRenamed("dir", "superset"), ["superset", "name", "gid"], "left_anti")
+        missing = saved(missing.select("subset", "superset").distinct(), "missing")
+        pairs = pairs.join(missing, ["subset", "superset"], "left_anti")
+        narrow = narrow.join(missing, ["subset", "superset"], "left_anti").select(*columns) if narrow is not None else None
+        spent += [hot, mine]
+    # the first of the folders that have the same files, or null
+    twin = F.min(F.when(F.col("most") == F.col("file_count"), F.col("superset"))).over(Window.partitionBy("subset"))
+    pairs = saved(pairs.select(*columns, twin.alias("twin")), "flat-matches")
+    dropped(*spent)
+    same = pairs.where("twin IS NOT NULL").select(F.least("subset", "twin").alias("sig"), F.col("subset").alias("dir"), "file_count", "bytes").distinct()
+    within = pairs.where("twin IS NULL").select(*columns)
+    return same if clusters is None else same.unionByName(clusters), within if narrow is None else within.unionByName(narrow)
+
+
 def claimed(clusters: DataFrame, subsets: DataFrame) -> DataFrame:
     """match, dir of the folders that matches claim, from the top.
 

@@ -137,3 +137,54 @@ def test_line_entries_move_twice(spark) -> None:  # noqa: ANN001
     plain_, rare = (folders.rolled(held, "/t", r) for r in (False, True))
     assert "rare" not in plain_.columns
     assert sorted(map(tuple, plain_.collect())) == sorted(map(tuple, rare.drop("rare").collect()))
+
+
+@pytest.mark.parametrize("few", [1, 3, 16])
+def test_flat_matches(spark, monkeypatch, few: int) -> None:  # noqa: ANN001
+    """By own files alone, whether files are met seldom, often, or in one folder both; as the plain way, clusters too."""
+    monkeypatch.setattr(folders, "FEW", few)
+    r = random.Random(few)
+    rows = []
+    for i in range(160):
+        # contents of the later names are met less often
+        rows += [(f"/t/{i}/{n}", r.randrange(9), r.choice(["1", "2", *"345678"[: n * 2]]) if r.random() < 0.97 else None) for n in range(r.randint(1, 4))]
+    every = spark.createDataFrame(rows, "path string, size long, gid string")
+    own = saved(folders.marked(folders.placed(every)), "entries")
+    same, within = folders.flat_matches(own)
+    clusters, held = plain(rows, "/t")
+    got, sizes, counts = defaultdict(set), defaultdict(int), defaultdict(int)
+    for path, size, _ in rows:
+        sizes[above(path, "/t")[-1]] += size
+        counts[above(path, "/t")[-1]] += 1
+    for x in same.collect():
+        got[x["sig"]].add(x["dir"])
+        assert (x["file_count"], x["bytes"]) == (counts[x["dir"]], sizes[x["dir"]])
+    assert {frozenset(x) for x in got.values()} == clusters
+    found = [(x["subset"], x["superset"], x["file_count"], x["bytes"]) for x in within.collect()]
+    assert sorted(found) == sorted((s, t, counts[s], sizes[s]) for s, t in held if t != "/t") and found
+    empty = saved(folders.marked(folders.placed(every.limit(0))), "entries")
+    assert [df.count() for df in folders.flat_matches(empty)] == [0, 0]
+
+
+@pytest.mark.parametrize("name", ["folder_contained"])
+def test_pairs_of_line_folders_are_few(spark, monkeypatch, name: str) -> None:  # noqa: ANN001
+    """Line items are written once, by one move, and hardly a pair is written that doesn't match."""
+    from siftline import queries
+
+    written = defaultdict(int)
+    save = folders.saved
+
+    def counted(df, label):  # noqa: ANN001, ANN202
+        out = save(df, label)
+        if label == "entries":
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1
+        written[label] += out.count()
+        return out
+
+    monkeypatch.setattr(folders, "saved", counted)
+    monkeypatch.setattr(queries, "saved", counted)
+    rows = queries.QUERIES[name](spark, "/root/testdata/sf0.01").count()
+    items = written.pop("entries")
+    assert items == spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").count()
+    assert rows and sum(written.values()) < items
