@@ -8,8 +8,9 @@ key. Documents of a similarity of 0.8 differ in 22 values of 112 on average, and
 still share a key if the errors aren't spread over all chunks alike: one pair in a million does not.
 
 Documents that share a key are compared with the smallest document among them only (a star); where that leaves
-documents of one key in different components, they are compared with each other, round by round, in bounded cells. So
-no link between different texts is lost. Pairs whose parity sketches show that their sets differ too much are set aside,
+documents of one key in different components, they are compared with each other, round by round, in bounded cells. Near
+copies are under much the same keys: keys of one smallest document are looked at as one where that takes no more
+comparisons, so their documents meet once and not under each key. So no link between different texts is lost. Pairs whose parity sketches show that their sets differ too much are set aside,
 which rules out no link; all others are confirmed on the full sets of shingles.
 """
 
@@ -121,9 +122,12 @@ def meeting(did: np.ndarray, hub: int, comp: np.ndarray, half: np.ndarray, n: np
         i, j = np.arange(a, min(a + step, len(did)))[:, None], np.arange(len(did))[None, :]
         ok = (j > i) & (comp[i] != comp[j]) & (did[i] != did[j]) & (did[i] != hub) & (did[j] != hub) & ((half[i] == 2) | (half[i] != half[j]))
         if ok.any():
-            far = np.bitwise_count(words[a : a + step, None] ^ words[None]).sum(2, dtype=np.int64)
-            x, y = np.nonzero(ok & within(n[i], n[j], far, percent) & within(n[i], n[j], np.abs(n[i] - n[j]), percent))
-            far, x = far[x, y], x + a
+            # rows and columns that have a pair to look at
+            i, j = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+            far = np.bitwise_count(words[a + i, None] ^ words[None, j]).sum(2, dtype=np.int64)
+            one, two = n[a + i][:, None], n[j][None, :]
+            x, y = np.nonzero(ok[i][:, j] & within(one, two, far, percent) & within(one, two, np.abs(one - two), percent))
+            far, x, y = far[x, y], i[x] + a, j[y]
             ok = near(bits.take(pa.array(x)), n[x], bits.take(pa.array(y)), n[y], percent)  # at their own sizes
             found.append(np.stack([x, y, far])[:, ok])
     x, y, far = np.concatenate(found, 1)
@@ -142,6 +146,24 @@ def meeting(did: np.ndarray, hub: int, comp: np.ndarray, half: np.ndarray, n: np
     return np.stack([np.minimum(did[x], did[y]), np.maximum(did[x], did[y])], 1), whole
 
 
+def families(shared: DataFrame) -> DataFrame:
+    """sig, did, hub of the keys (key, did, hub, docs) of three or more documents, saved.
+
+    Each document of a key has met the hub. Keys of one hub are one sig of all their documents, each once, if that leaves no
+    more pairs than the keys have apart.
+    """
+    keys = shared.where("docs > 2")
+    apart = keys.where("did = hub").groupBy("hub").agg(F.sum(F.col("docs").cast("double") * F.col("docs")).alias("apart"))
+    every = saved(keys.select("hub", "did").distinct(), "hub-members")
+    sizes = every.groupBy("hub").agg(F.count("*").cast("double").alias("n")).join(apart, "hub")
+    sizes = saved(sizes.select("hub", (F.col("n") * F.col("n") <= F.col("apart")).alias("one")), "hubs")
+    as_one = every.join(sizes.where("one").select("hub"), "hub", "left_semi").select(F.xxhash64("hub").alias("sig"), "did", "hub")
+    each = keys.join(sizes.where("not one").select("hub"), "hub", "left_semi").select(F.col("key").alias("sig"), "did", "hub")
+    out = saved(as_one.unionByName(each), "families")
+    dropped(every, sizes)
+    return out
+
+
 def open_pairs(members: DataFrame, reps: DataFrame, labels: DataFrame, failed: DataFrame, nearest: int, percent: int, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """a, b: pairs of members (sig, did, hub) of a key that are in different components, may link and haven't failed (a, b);
     and sig: the keys that have more such pairs than were given. only: keys (sig) to look at."""
@@ -202,7 +224,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     tried = compare(base, pairs, n, percent)
     links = saved(links.unionByName(tried.where("link").select("a", "b")), "links")
     labels, failed = components(links), tried.limit(0).select("a", "b")
-    members, nearest, left = shared.where("docs > 2").select(F.col("key").alias("sig"), "did", "hub"), NEAREST, None
+    members, nearest, left = families(shared), NEAREST, None
     while True:
         more, left = open_pairs(members, reps, labels, failed, nearest, percent, left)
         if more.isEmpty():
@@ -218,7 +240,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
         failed = saved(failed.unionByName(checked.where("not link").select("a", "b")), "failed")
         nearest *= MORE
         dropped(checked)
-    dropped(shared, pairs, links)
+    dropped(shared, pairs, links, members)
     named = rows.select("did", F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("node", "did"), "did", "left")
     named = named.select(F.col("did").alias("doc_id"), "n_shingles", F.coalesce("component", "did").alias("component_id"))
 

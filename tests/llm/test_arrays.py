@@ -142,6 +142,32 @@ def test_near_sets_that_stars_leave_apart(spark, monkeypatch, grid: int, nearest
     same(hamming.near_duplicates(table(spark, rows)), wanted, NEAR)
 
 
+def test_near_copies_meet_once(spark, monkeypatch) -> None:  # noqa: ANN001
+    """A group of near copies of which few link is looked at once, not under each of the keys they share."""
+    rows_of = []
+    save = hamming.saved
+
+    def counted(df, name):  # noqa: ANN001, ANN202
+        out = save(df, name)
+        if name == "live":
+            rows_of.append(out.count())
+        return out
+
+    monkeypatch.setattr(hamming, "saved", counted)
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for k in range(120):
+        w = list(base)
+        for at in r.sample(range(60), 5):
+            w[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(w)))
+    wanted = kept(brute.jaccard(rows, 2, 80))
+    assert len({c for _, _, c, _ in wanted}) > 60
+    same(hamming.near_duplicates(table(spark, rows)), wanted, NEAR)
+    assert rows_of and max(rows_of) <= 25 * len(rows)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, hamming.REACH), st.integers(0, 2**32))
 def test_all_pairs_within_reach_share_a_key(errors: int, seed: int) -> None:
