@@ -159,7 +159,7 @@ def test_near_copies_meet_once(spark, monkeypatch) -> None:  # noqa: ANN001
     rows = []
     for k in range(120):
         w = list(base)
-        for at in r.sample(range(60), 5):
+        for at in r.sample(range(60), 3):
             w[at] = f"x{k}-{at}"
         rows.append((k, " ".join(w)))
     wanted = kept(brute.jaccard(rows, 2, 80))
