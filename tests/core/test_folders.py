@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from itertools import takewhile
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,3 +189,25 @@ def test_pairs_of_line_folders_are_few(spark, monkeypatch, name: str) -> None:
     items = written.pop("entries")
     assert items == spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").count()
     assert rows and sum(written.values()) < items
+
+
+def test_no_saved_table_is_gathered_by_its_file_size(spark, monkeypatch) -> None:  # noqa: ANN001
+    """Saved tables are small as files and many times larger in memory: only what a shuffle has measured, or a count, is handed to all tasks."""
+    from siftline import queries
+
+    save, gathered = folders.saved, []
+
+    def looked_at(df, label):  # noqa: ANN001, ANN202
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        for k, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                at = line.index("BroadcastExchange")
+                below = list(takewhile(lambda x: len(x) - len(x.lstrip(" :+-")) > at, lines[k + 1 :]))
+                if not any("Exchange" in x for x in below):
+                    gathered.append((label, *below))
+        return save(df, label)
+
+    monkeypatch.setattr(folders, "HANDED", 0, raising=False)
+    monkeypatch.setattr(folders, "saved", looked_at)
+    assert queries.QUERIES["folder_matches"](spark, "/root/testdata/sf0.001").count() > 0
+    assert not gathered
