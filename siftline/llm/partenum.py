@@ -9,7 +9,9 @@ that a set with at most as many empty ones can do without them; only sets with m
 
 Sets that share a signature are compared with the smallest document among them only (a star, first within a block of
 input, then among blocks' smallest), never all with all. Where a comparison fails, the members of that signature which
-are still in different components are compared with each other. So no link between components is lost.
+are still in different components are compared with each other. So no link between components is lost. Of documents with
+the same set only the smallest is looked at there, and signatures of one smallest document are taken together where that
+leaves no more pairs, so that documents which share many signatures don't meet in each of them.
 
 Before sets move to be compared, parity sketches are: two of them differ in at most as many bits as their sets do in
 elements, so pairs that are too far apart go without losing any other.
@@ -34,7 +36,8 @@ WORDS, PERCENT = 3, 90
 PARTS = 3
 #: Powers of two that bound the bits of a parity sketch; in between, it has two bits an element or more.
 SKETCH = 10, 16
-BUCKET_BYTES = 4 << 20
+#: Bytes of text whose signatures are cut into blocks together, and that a bucket has blocks of: so many blocks as one by the other.
+SLICE_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377], np.uint64)
 
 
@@ -156,7 +159,7 @@ def near(one: pa.Array, n: np.ndarray, two: pa.Array, m: np.ndarray, percent: in
     return out
 
 
-CANDIDATE, SAME, DOCUMENT, MEMBER = 0, 1, 2, 3
+CANDIDATE, DOCUMENT, MEMBER = 0, 1, 2
 #: Open pairs of a signature for each of its documents that are all given at once.
 OPEN = 1
 #: A signature that more documents of one block share sends on the smallest of them only.
@@ -166,28 +169,24 @@ GRID = 1024
 
 
 def candidates(base: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b, kind, hub, bits: pairs to compare, pairs with equal sets, each row's did, number of shingles and sketch (DOCUMENT),
-    and documents by a signature, or a number for several signatures, that at least three share (MEMBER), with the hub
-    that a document is paired with."""
+    """a, b, kind, hub, two, bits: pairs to compare, each row's did, number of shingles, two sums that name its set, and sketch
+    (DOCUMENT), and documents by a signature, or a number for several signatures, that at least three share (MEMBER), with the
+    hub that a document is paired with."""
     buckets = max(shuffle_partitions(base.sparkSession), text_bytes(base) // BUCKET_BYTES, 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", SLICE_BYTES):
             did = batch.column("did").to_numpy()
             sets = shingle_sets(batch.column("text"), n)
             sizes = np.array([len(s) for s in sets], np.int64)
-            # equal sets: the smallest document stands for all
+            # equal sets: the smallest document of the block stands for all
+            sums = np.array([[x.sum(dtype=np.uint64) for x in (mixed(s ^ SEEDS[3]), mixed(s ^ ODD))] for s in sets], np.uint64).view(np.int64)
             rep: dict[tuple, int] = {}
-            same, mine = [], []
+            mine = []
             for i in np.argsort(did, kind="stable").tolist():
-                if sizes[i]:
-                    key = (int(sizes[i]), int(mixed(sets[i] ^ SEEDS[3]).sum(dtype=np.uint64)))
-                    j = rep.setdefault(key, i)
-                    if j == i or not np.array_equal(sets[i], sets[j]):
-                        mine.append(i)
-                    elif did[i] != did[j]:
-                        same.append((did[j], did[i]))
+                if sizes[i] and rep.setdefault((int(sizes[i]), *sums[i].tolist()), i) == i:
+                    mine.append(i)
             sig, of = signatures([sets[i] for i in mine], percent)
             node = did[np.array(mine, np.int64)][of] if mine else np.zeros(0, np.int64)
             order, hub, size = star(sig, node)
@@ -196,7 +195,7 @@ def candidates(base: DataFrame, n: int, percent: int) -> DataFrame:
             held = np.c_[sig.view(np.int64), node, np.full(len(node), MEMBER), hub][crowd]
             on = ~crowd | (node == hub)
             sig, node, crowd = sig[on], node[on], crowd[on].astype(np.uint8)
-            rows = np.concatenate([np.c_[edges, np.full(len(edges), CANDIDATE), edges[:, 0]], held, np.array([(x, y, SAME, x) for x, y in same], np.int64).reshape(-1, 4)])
+            rows = np.concatenate([np.c_[edges, np.full(len(edges), CANDIDATE), edges[:, 0]], held])
             to, row_to = (sig % np.uint64(buckets)).astype(np.int64), (mixed(rows[:, 1].astype(np.uint64) ^ rows[:, 0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             order, row_order = np.lexsort((node, to)), np.argsort(row_to, kind="stable")
             sig, node, crowd, to, rows, row_to = sig[order], node[order], crowd[order], to[order], rows[row_order], row_to[row_order]
@@ -210,13 +209,13 @@ def candidates(base: DataFrame, n: int, percent: int) -> DataFrame:
                 u, v = np.searchsorted(row_to, [k, k + 1])
                 own = docs_of.get(k, [])
                 bits = [sketch(sets[i]) for i in own]
-                parts = [np.array([y - x, v - u, len(own)], "<i8"), np.diff(node[x:y], prepend=0).astype("<i8"), sig[x:y], rows[u:v].T.astype("<i8"), did[own].astype("<i8"), sizes[own].astype("<i8"), np.array([len(b) for b in bits], "<i8"), crowd[x:y]]
+                parts = [np.array([y - x, v - u, len(own)], "<i8"), np.diff(node[x:y], prepend=0).astype("<i8"), sig[x:y], rows[u:v].T.astype("<i8"), did[own].astype("<i8"), sizes[own].astype("<i8"), *sums[own].T.astype("<i8"), np.array([len(b) for b in bits], "<i8"), crowd[x:y]]
                 blocks.append(pack.compress(b"".join(p.tobytes() for p in parts) + b"".join(bits)))
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
     def receive(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
-        sig, node, crowd, rows, docs, bits = [], [], [], [], [], []
+        sig, node, crowd, rows, docs, bits, second = [], [], [], [], [], [], []
         for block in table.column("block").to_pylist():
             raw = unpack.decompress(block)
             m, r, d = np.frombuffer(raw, "<i8", 3).tolist()
@@ -225,9 +224,10 @@ def candidates(base: DataFrame, n: int, percent: int) -> DataFrame:
             at = 24 + 16 * m
             rows.append(np.frombuffer(raw, "<i8", 4 * r, at).reshape(4, -1).T)
             at += 32 * r
-            did, n, size = np.frombuffer(raw, "<i8", 3 * d, at).reshape(3, -1)
-            docs.append(np.c_[did, n, np.full(d, DOCUMENT), did])
-            at += 24 * d
+            did, n, one, two, size = np.frombuffer(raw, "<i8", 5 * d, at).reshape(5, -1)
+            docs.append(np.c_[did, n, np.full(d, DOCUMENT), one])
+            second += two.tolist()
+            at += 40 * d
             crowd.append(np.frombuffer(raw, np.uint8, m, at))
             at += m
             for k in size.tolist():
@@ -248,10 +248,43 @@ def candidates(base: DataFrame, n: int, percent: int) -> DataFrame:
             rows.append(np.c_[name[of].view(np.int64), node, np.full(len(node), MEMBER), least][open_[of]])
         rows = np.concatenate([*rows, np.c_[edges, np.full(len(edges), CANDIDATE), edges[:, 0]], *docs])
         trim()
-        return pa.table({"a": rows[:, 0], "b": rows[:, 1], "kind": rows[:, 2].astype(np.int32), "hub": rows[:, 3], "bits": pa.array([None] * (len(rows) - len(bits)) + bits, pa.binary())})
+        before = [None] * (len(rows) - len(bits))
+        return pa.table({"a": rows[:, 0], "b": rows[:, 1], "kind": rows[:, 2].astype(np.int32), "hub": rows[:, 3], "two": pa.array(before + second, pa.int64()), "bits": pa.array(before + bits, pa.binary())})
 
     sent = base.select("did", "text").mapInArrow(send, "bucket long, block binary")
-    return sent.groupBy("bucket").applyInArrow(receive, "a long, b long, kind int, hub long, bits binary")
+    return sent.groupBy("bucket").applyInArrow(receive, "a long, b long, kind int, hub long, two long, bits binary")
+
+
+def equal_sets(rows: DataFrame) -> DataFrame:
+    """did, rep, alone: documents whose set a smaller one has as well, the smallest such, and whether did has no other set."""
+    docs = rows.where((F.col("kind") == DOCUMENT) & (F.col("b") > 0)).select(F.col("a").alias("did"), F.col("b").alias("n"), F.col("hub").alias("one"), "two").distinct()
+    least = docs.groupBy("n", "one", "two").agg(F.min("did").alias("rep"))
+    of = docs.join(least, ["n", "one", "two"]).groupBy("did").agg(F.collect_set("rep").alias("reps"), F.count("*").alias("sets"))
+    return of.select("did", F.explode("reps").alias("rep"), (F.col("sets") == 1).alias("alone")).where("rep <> did")
+
+
+def by_rep(df: DataFrame, column: str, twins: DataFrame) -> DataFrame:
+    """df with twins' (did, rep) smallest document in place of each in the column."""
+    of = twins.select(F.col("did").alias(column), F.col("rep"))
+    return df.join(of, column, "left").withColumn(column, F.coalesce("rep", column)).drop("rep")
+
+
+def families(members: DataFrame) -> DataFrame:
+    """sig, did, hub of members (sig, did, hub) of a signature of three or more, saved. Of two, one has been compared with the other.
+
+    Signatures of one smallest document are one of all their documents, each once, if that leaves no more pairs than they have apart.
+    """
+    heads = members.groupBy("sig").agg(F.min("did").alias("head"), F.count("*").cast("double").alias("docs")).where("docs > 2")
+    held = saved(members.join(heads, "sig"), "held")
+    every = saved(held.groupBy("head", "did").agg(F.min("hub").alias("hub")), "head-members")
+    apart = held.where("did = head").groupBy("head").agg(F.sum(F.col("docs") * F.col("docs")).alias("apart"))
+    sizes = every.groupBy("head").agg(F.count("*").cast("double").alias("n")).join(apart, "head")
+    sizes = saved(sizes.select("head", (F.col("n") * F.col("n") <= F.col("apart")).alias("one")), "heads")
+    as_one = every.join(sizes.where("one").select("head"), "head", "left_semi").select(F.xxhash64("head").alias("sig"), "did", "hub")
+    each = held.join(sizes.where("not one").select("head"), "head", "left_semi").select("sig", "did", "hub")
+    out = saved(as_one.unionByName(each), "families")
+    dropped(held, every, sizes)
+    return out
 
 
 def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -392,22 +425,30 @@ def jaccard_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT)
     Two documents link when 100 * shared >= percent * all of their shingles of n words, lower-cased in A-Z; a text with
     fewer words is one shingle, one without words or a null text has none and links with nothing. Rows with one doc_id
     are one document. A null doc_id links with nothing and has no component. Other columns are left out; an empty table
-    gives no rows. Shingles are compared by 64-bit hashes.
+    gives no rows. Shingles are compared by 64-bit hashes, and equal sets told by two sums of 64 bits.
     """
     every = keyed(docs)
     base = every.where(~F.col("none"))
     rows = saved(candidates(base, n, percent), "partenum")
     sketches = rows.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("did"), F.col("b").alias("n"), "bits")
-    pairs = saved(rows.where(F.col("kind") == CANDIDATE).select("a", "b").distinct(), "pairs")
-    links = rows.where(F.col("kind") == SAME).select("a", "b")
+    equal = saved(equal_sets(rows), "equal")
+    # where a document has no other set, the smallest with that set stands for it
+    twins = equal.where("alone").select("did", "rep")
+    pairs = rows.where(F.col("kind") == CANDIDATE).select("a", "b").distinct()
+    pairs = by_rep(by_rep(pairs, "a", twins), "b", twins).where("a <> b")
+    pairs = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    links = equal.select(F.col("rep").alias("a"), F.col("did").alias("b"))
     labels = None
     if not pairs.isEmpty():
         close = saved(possible(pairs, sketches, percent), "possible")
         checked = compare(base, close, n, percent)
         links = saved(links.unionByName(checked.where("link").select("a", "b")), "links")
         labels = components(links)
-        of = rows.where(F.col("kind") == MEMBER).groupBy(F.col("a").alias("sig"), F.col("b").alias("did"))
-        members, failed = saved(of.agg(F.min("hub").alias("hub")), "members"), None
+        of = rows.where(F.col("kind") == MEMBER).groupBy(F.col("a").alias("sig"), F.col("b").alias("did")).agg(F.min("hub").alias("hub"))
+        of = by_rep(by_rep(of, "did", twins), "hub", twins).groupBy("sig", "did").agg(F.min("hub").alias("hub"))
+        every_one = saved(of, "members")
+        members, failed = families(every_one), None
+        dropped(every_one)
         # a hub's pair that doesn't link leaves open whether the others of that signature do
         while True:
             found = saved(unlinked(members, sketches, labels, failed, percent), "unlinked")

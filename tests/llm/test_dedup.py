@@ -245,3 +245,31 @@ def test_similar_sets_share_a_signature(size: int, percent: int, seed: int) -> N
         return
     sig, of = partenum.signatures([a, b], percent)
     assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())
+
+
+def test_copies_meet_once(spark, monkeypatch) -> None:  # noqa: ANN001
+    """Copies in all blocks and signatures in common: each set is looked at a few times where stars fail; documents of several sets keep them."""
+    r = random.Random(31)
+    base = [f"t{i}" for i in range(200)]
+    texts = []
+    for k in range(24):
+        w = list(base)
+        for at in r.sample(range(200), 4 + k % 3):
+            w[at] = f"n{k}-{at}"
+        texts.append(" ".join(w))
+    copies = [(100 * c + k, t) for c in range(6) for k, t in enumerate(texts)]
+    # one document with the set of another and one of its own, to which a third is near
+    lone = [f"u{i}" for i in range(60)]
+    several = [(2000, texts[3]), (2000, " ".join(lone)), (2001, " ".join([*lone, "z"])), (5, " ".join([*lone[1:], "y"])), (1000, ""), (1000, texts[7])]
+    rows = copies + several
+    save, live = partenum.saved, []
+
+    def counted(df, name):  # noqa: ANN001, ANN202
+        out = save(df, name)
+        if name == "live":
+            live.append(out.count())
+        return out
+
+    monkeypatch.setattr(partenum, "saved", counted)
+    same(partenum.jaccard_components(table(spark, rows).repartition(6)), brute.jaccard(rows), "doc_id n_shingles component_id")
+    assert live and live[0] <= 10 * len(texts), live
